@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm import bpe, chat, fingerprint, mixing, packing, quality, secrets, simhash
+from cutloom.llm import bpe, chat, fingerprint, mixing, packing, quality, secrets, simhash, toxicity
 from cutloom.tables import table
 
 #: The text of both rows of conversation -7.
@@ -30,6 +30,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality.quality_report(table(spark, sf_dir, "documents"), trusted)
@@ -54,7 +58,7 @@ def with_probe(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", "text").union(probe)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op3_order_minhash, op4_token_counts, op5_secret_scan, op7_quality_rules, op8_chat_formatting, op9_best_fit_packing, op10_simhash_components)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op3_order_minhash, op4_token_counts, op5_secret_scan, op6_toxicity, op7_quality_rules, op8_chat_formatting, op9_best_fit_packing, op10_simhash_components)}
 ORACLES: dict[str, str] = {
     "op1_source_mixing": mixing.SQL,
     "op8_chat_formatting": r"""
