@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm import bpe, chat, fingerprint, mixing, packing, quality, secrets, simhash, toxicity
+from cutloom.llm import bpe, chat, extract, fingerprint, mixing, packing, quality, secrets, simhash, toxicity
 from cutloom.tables import table
 
 #: The text of both rows of conversation -7.
@@ -18,6 +18,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_blocks(table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.page_report(table(spark, sf_dir, "pages"))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_report(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def with_probe(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", "text").union(probe)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op3_order_minhash, op4_token_counts, op5_secret_scan, op6_toxicity, op7_quality_rules, op8_chat_formatting, op9_best_fit_packing, op10_simhash_components)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_main_text, op3_order_minhash, op4_token_counts, op5_secret_scan, op6_toxicity, op7_quality_rules, op8_chat_formatting, op9_best_fit_packing, op10_simhash_components)}
 ORACLES: dict[str, str] = {
     "op1_source_mixing": mixing.SQL,
     "op8_chat_formatting": r"""

@@ -187,6 +187,13 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def grouped(prints: DataFrame, budget: int) -> DataFrame:
+    """(fp, root, low) of each fingerprint that has links: its group and its smallest doc_id. ``prints`` has doc_id, fp."""
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    roots = components(links(nodes.select("fp"), nodes.count(), budget))
+    return nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "low")
+
+
 def near_duplicates(documents: DataFrame, budget: int = 3, width: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach).
 
@@ -196,15 +203,27 @@ def near_duplicates(documents: DataFrame, budget: int = 3, width: int = 3, doc_i
     component_id. An empty table gives an empty result; other columns are ignored.
     """
     prints = written(with_fingerprints(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp", width).drop("text"), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")), "nodes")
-    roots = components(links(nodes.select("fp"), nodes.count(), budget))
-    grouped = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "low")
-    lows = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = grouped.join(lows, "root").select("fp", "component_id")
-    alone = nodes.join(linked.select("fp"), "fp", "left_anti").where("rows > 1").select("fp", F.col("low").alias("component_id"))
+    linked = grouped(prints, budget)
+    lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    linked = linked.join(lows, "root").select("fp", "component_id")
+    copies = prints.groupBy("fp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    alone = copies.join(linked.select("fp"), "fp", "left_anti")
     found = prints.join(linked.union(alone).withColumn("_met", F.lit(True)), "fp", "left")
     return found.select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("_met"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def deduplicated(documents: DataFrame, budget: int = 3, width: int = 3) -> DataFrame:
+    """One document of each group of ``near_duplicates``, with all its columns: the one with the smallest doc_id (null ids
+    last), then the smallest text hash; of equal rows one. A document is named by hashes of its id and text meanwhile."""
+    name = [F.xxhash64("doc_id", "text").alias("__k1"), F.hash("text", "doc_id").alias("__k2")]
+    texts = documents.select("doc_id", "text", *name)
+    prints = written(with_fingerprints(texts, "text", "fp", width).drop("text"), "fingerprints")
+    groups = prints.join(grouped(prints, budget).select("fp", "root"), "fp", "left").withColumn("group", F.coalesce("root", "fp"))
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__k1", "__k2")).alias("x")).select("x.__k1", "x.__k2")
+    same = Window.partitionBy("__k1", "__k2").orderBy("__k1")
+    rows = documents.select("*", *name).join(first, ["__k1", "__k2"], "left_semi").withColumn("__n", F.row_number().over(same))
+    return rows.where("__n = 1").select(*documents.columns)

@@ -29,7 +29,7 @@ HASH_BITS = 18
 SHORTEST, LONGEST = 3, 10
 #: Documents of the sample that a feature must occur in.
 LEAST_DOCS = 3
-STEPS, RATE, L1 = 150, 0.1, 2e-4
+STEPS, RATE, L1 = 150, 0.1, 5e-5
 HELD_OUT, FOLDS = 2, 4
 THRESHOLD = 0.3
 CACHE_CHUNKS = 300_000
