@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from cutloom.llm.common import TwoAgeCache
 
 #: Labelled documents that the model is fitted on at most; fewer if there are fewer.
-SAMPLE_DOCS = 12_000
+SAMPLE_DOCS = 8_000
 HASH_BITS = 18
 #: Beginnings of a word that are features, in characters.
 SHORTEST, LONGEST = 3, 10
@@ -67,15 +68,15 @@ class ChunkScores(TwoAgeCache):
 def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """Word of each occurrence, its sentence, the document of each sentence, and the words."""
     words: dict[str, int] = {}
-    word_of, sentence_of, doc_of = [], [], []
+    word_of, sizes, doc_of = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for sentence in dict.fromkeys(x.strip() for x in SENTENCE.findall(text.lower())):
             if found := [w for chunk in dict.fromkeys(sentence.split()) for w in LETTERS.findall(chunk)]:
-                word_of.append(np.array([words.setdefault(w, len(words)) for w in found], np.int32))
-                sentence_of.append(np.full(len(found), len(doc_of), np.int32))
+                word_of.extend(words.setdefault(w, len(words)) for w in found)
+                sizes.append(len(found))
                 doc_of.append(d)
-    flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    return flat(word_of), flat(sentence_of), np.array(doc_of, np.int32), list(words)
+    flat = lambda numbers: np.array(numbers, np.int32)
+    return flat(word_of), np.repeat(np.arange(len(sizes), dtype=np.int32), flat(sizes)), flat(doc_of), list(words)
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
@@ -86,9 +87,13 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     if not n_sentences or not 0 < toxic.sum() < n_docs:  # nothing to learn: the base rate for every sentence
         rate = (toxic.sum() + 0.5) / (n_docs + 1)
         return Model(weights, math.log(rate / (1 - rate)) - math.log(max(1.0, n_sentences / max(1, n_docs))))
-    listed = [features(w) for w in words]
-    feature_word = np.repeat(np.arange(n_words, dtype=np.int32), [len(x) for x in listed])
-    feature, back = np.unique(np.concatenate([np.array(x, np.int32) for x in listed]), return_inverse=True)
+    flat, sizes = array("i"), array("i")
+    for word in words:
+        own = features(word)
+        flat.extend(own)
+        sizes.append(len(own))
+    feature_word = np.repeat(np.arange(n_words, dtype=np.int32), np.array(sizes, np.int32))
+    feature, back = np.unique(np.array(flat, np.int32), return_inverse=True)
     # documents of each feature, counted once a document
     in_doc = np.unique(doc_of[sentence_of].astype(np.int64) * n_words + word_of)
     word_docs = np.bincount(in_doc % n_words, minlength=n_words)
@@ -129,9 +134,23 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) ->
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) != HELD_OUT)
     chosen = known.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)  # a bounded table
     rows = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    # a doc_id may have more rows: the sample holds them up to its bound
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text", "toxic").toArrow()
-    return fit(found["text"].to_pylist(), np.array(found["toxic"].to_pylist(), np.int64))
+    # a doc_id may have more rows: the sample holds them up to its bound, in the one partition that limit() leaves
+    held = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text", "toxic")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = list(batches)
+        texts = [t for b in whole for t in b.column("text").to_pylist()]
+        model = fit(texts, np.array([t for b in whole for t in b.column("toxic").to_pylist()], np.int64))
+        used = np.flatnonzero(model.weights)
+        yield pa.RecordBatch.from_pydict({"feature": pa.array([used.tolist()], pa.list_(pa.int32())), "weight": pa.array([model.weights[used].tolist()], pa.list_(pa.float64())), "bias": [model.bias]})
+
+    # one task fits the model; its weights, at most 2 ** HASH_BITS, come to the driver
+    found = held.coalesce(1).mapInArrow(fitted, "feature array<int>, weight array<double>, bias double").first()
+    weights = np.zeros(1 << HASH_BITS)
+    if found is None:
+        return fit([], np.zeros(0, np.int64))
+    weights[found["feature"]] = found["weight"]
+    return Model(weights, found["bias"])
 
 
 def sentence_scores(text: str, chunks: ChunkScores) -> list[tuple[int, int, float]]:
