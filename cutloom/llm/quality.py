@@ -39,15 +39,12 @@ def log_ratios(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
     All documents and all trusted ids count. ``buckets`` numbers come to the driver, whatever the input. All
     zero where no document is trusted.
     """
-    text = documents.select("doc_id", "text").where("text IS NOT NULL")
-
-    def counts(df: DataFrame) -> list[int]:
-        found = df.select(F.explode(ngrams(F.col("text"), buckets)).alias("b")).groupBy("b").count().collect()
-        by = dict(found)
-        return [by.get(b, 0) for b in range(buckets)]
-
-    known = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    target, raw = counts(text.join(known, "doc_id", "left_semi")), counts(text)
+    known = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
+    # merged whatever the size of `known`, which grows with the documents: texts are read and moved once for both counts
+    text = documents.select("doc_id", "text").where("text IS NOT NULL").join(known.hint("merge"), "doc_id", "left")
+    found = text.select(F.explode(ngrams(F.col("text"), buckets)).alias("b"), "trusted").groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("target")).collect()
+    counts = {r["b"]: r for r in found}
+    raw, target = ([counts[b][name] if b in counts else 0 for b in range(buckets)] for name in ("raw", "target"))
     if not sum(target):
         return [0.0] * buckets
     shift = math.log(sum(raw) + buckets) - math.log(sum(target) + buckets)
