@@ -34,7 +34,7 @@ def ngrams(text: Column, buckets: int = BUCKETS) -> Column:
 
 
 def log_ratios(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """The log ratio of each bucket, smoothed by one count: ``trusted`` (doc_id) documents against all.
+    """The log ratio of each bucket: ``trusted`` (doc_id) documents against all.
 
     All documents and all trusted ids count. ``buckets`` numbers come to the driver, whatever the input. All
     zero where no document is trusted.
@@ -47,8 +47,9 @@ def log_ratios(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
     raw, target = ([counts[b][name] if b in counts else 0 for b in range(buckets)] for name in ("raw", "target"))
     if not sum(target):
         return [0.0] * buckets
-    shift = math.log(sum(raw) + buckets) - math.log(sum(target) + buckets)
-    return [math.log(t + 1) - math.log(r + 1) + shift for t, r in zip(target, raw, strict=True)]
+    # the trusted counts are smoothed towards the corpus by one count a bucket: without evidence the ratio is 0
+    whole, good = sum(raw), sum(target) + buckets
+    return [math.log((t * whole / r + buckets) / good) if r else 0.0 for t, r in zip(target, raw, strict=True)]
 
 
 def score(text: Column, ratios: list[float]) -> Column:
