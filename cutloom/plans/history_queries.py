@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutloom.functions.scalars import content_hash
-from cutloom.operators import lake, rules
+from cutloom.operators import lake, media, rules
 from cutloom.plans.registry import query
 from cutloom.tables import table
 
@@ -168,3 +168,18 @@ def q70_approved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest joined with its approvals."""
     approvals = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey")
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").join(approvals, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_orderpriority AS value FROM orders WHERE o_orderpriority IS NULL OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')")
+def q78_unknown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose value is outside its domain."""
+    return media.unknown_values(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"])
+
+
+@query("""
+SELECT c_nationkey, c_mktsegment, c_custkey, place, "of" FROM (
+  SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS place, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS "of" FROM customer) WHERE place <= 3""")
+def q79_case_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three examples of each class, and the class's size."""
+    found = media.examples(table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], [F.desc("c_acctbal"), F.asc("c_custkey")], 3)
+    return found.select("c_nationkey", "c_mktsegment", "c_custkey", "place", "of")

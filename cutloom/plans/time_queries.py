@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutloom.functions.scalars import epoch_ms, to_samples
-from cutloom.operators import candidates, intervals, params, sequence
+from cutloom.operators import candidates, intervals, media, params, sequence
 from cutloom.plans import views
 from cutloom.plans.registry import query
 from cutloom.tables import table
@@ -224,3 +224,49 @@ def q66_transients(spark: SparkSession, sf_dir: str) -> DataFrame:
     loud = spans.where("track = 'error' AND value >= 100").select("id", "start", "end")
     speech = intervals.overlap_join(loud, spans.where("track = 'view'").select("start", "end"), 120_000).select("id")
     return loud.join(speech, "id", "left_anti").select("id", "start")
+
+
+@query(f"SELECT id, greatest(start - 2000, 0) AS context_start, \"end\" + 3000 AS context_end FROM ({SPANS})")
+def q74_context_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans with what surrounds them, for previews."""
+    return media.with_context(views.spans(spark, sf_dir), 2000, 3000).select("id", "context_start", "context_end")
+
+
+@query("""
+SELECT quantile_cont(a - b, 0.5) AS "offset", count(*) AS n FROM
+(SELECT l_orderkey AS k, max(epoch_us(l_shipdate) // 86400000000) AS a FROM lineitem GROUP BY 1) JOIN (SELECT o_orderkey AS k, epoch_us(o_orderdate) // 86400000000 AS b FROM orders) USING (k)""")
+def q75_timeline_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median distance of two timelines over the segments they share."""
+    day = lambda c: F.unix_date(F.to_date(c)).cast("bigint")
+    shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.max(day("l_shipdate")).alias("t"))
+    return media.timeline_offset(shipped, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), day("o_orderdate").alias("t")), "k")
+
+
+@query(f"""
+WITH spans AS ({SPANS})
+SELECT c.id, count(*) AS n, max(abs(p.value)) AS peak, sum(round(p.value * 100)::BIGINT * round(p.value * 100)::BIGINT)::BIGINT AS energy
+FROM (SELECT * FROM spans WHERE track = 'signup') c JOIN spans p ON p.start BETWEEN c.start - 600000 AND c.start + 600000 GROUP BY c.id""")
+def q76_edge_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peak and energy of what lies around each cut."""
+    points = views.spans(spark, sf_dir).select("id", "track", "value", F.col("start").alias("t"))
+    found = media.edge_levels(points.where("track = 'signup'"), points, 600_000, HOUR)
+    # values have two places, so their squares sum to whole ten-thousandths
+    return found.select("id", "n", "peak", F.round(F.col("mean_square") * F.col("n") * 10_000).cast("bigint").alias("energy"))
+
+
+@query("""
+WITH l AS (SELECT epoch_us(ts) // 3600000000 AS hour, event_type, round(sum(value), 2) AS level FROM events GROUP BY ALL)
+SELECT hour, event_type, level FROM (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY level DESC, event_type) AS n FROM l) WHERE n = 1""")
+def q77_dominant_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loudest track of each hour."""
+    hour = F.floor(epoch_ms(F.col("ts")) / HOUR).alias("hour")
+    levels = table(spark, sf_dir, "events").groupBy(hour, "event_type").agg(F.round(F.sum("value"), 2).alias("level"))
+    return media.dominant(levels, "hour", "event_type", "level")
+
+
+@query(f"""
+WITH spans AS ({SPANS})
+SELECT id, unnest(range(start // 60000, ("end" - 1) // 60000 + 1)) AS frame, least("end", (frame + 1) * 60000) - greatest(start, frame * 60000) AS covered FROM spans WHERE "end" > start""")
+def q80_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The minutes that each span touches, and how much of them it covers."""
+    return media.frames(views.spans(spark, sf_dir), 60_000)

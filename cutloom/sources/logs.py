@@ -37,8 +37,8 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CASE).json(path).withColumn("n", F.from_json("note", CASE_NOTE)).select("*", "n.*").drop("n")
 
 
-def decisions(spark: SparkSession, root: str, name: str = "human_decisions.json") -> DataFrame:
-    """All decisions of the files called ``name`` anywhere below ``root``: run_id, reviewer, clip_id, verdict, note, decided_at."""
+def decisions(spark: SparkSession, root: str, name: str = "*decisions.json") -> DataFrame:
+    """All decisions of the files that match ``name`` anywhere below ``root``: run_id, reviewer, clip_id, verdict, note, decided_at."""
     rows = spark.read.schema(DECISIONS).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
     return rows.select("run_id", "reviewer", F.explode("decisions").alias("d")).select("run_id", "reviewer", "d.clip_id", "d.verdict", "d.note", parsed_time(F.col("d.decided_at")).alias("decided_at"))
 

@@ -110,3 +110,18 @@ def test_lake_excludes_reviewers(spark):
     made = spark.createDataFrame([("r", "s", "t", True, "R1"), ("r", "s", "t", False, "bot")], "reason_key string, subtype string, filler_token string, accepted boolean, reviewer string")
     got = lake.label_lake(made, excluded=spark.createDataFrame([("bot",)], "reviewer string")).where("level = 0").first()
     assert (got["accept"], got["reject"]) == (1, 0)
+
+
+def test_wav_facts_and_drift(spark, tmp_path):
+    import wave
+
+    from cutloom.operators import media
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(2), w.setsampwidth(3), w.setframerate(48_000)
+        w.writeframes(b"\0" * 6 * 24_000)
+    (tmp_path / "b.wav").write_bytes(b"no wave at all")
+    row = media.wav_facts(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert [tuple(r)[1:] for r in row] == [(1, 2, 48_000, 24, 0.5)]
+    fit = media.offset_and_drift(media.drift_fixture(spark, 500, 120.0, 35.0)).first()
+    assert fit["offset_ms"] == pytest.approx(120, abs=1e-3) and fit["drift_ppm"] == pytest.approx(35, abs=1e-3) and fit["decision"] == "CORRECT"
