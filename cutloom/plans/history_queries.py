@@ -113,14 +113,14 @@ def q37_latest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT p_brand AS r, p_type AS s, split_part(p_name, ' ', 1) AS t, p_size <= 25 AS a FROM part WHERE p_partkey % 7 = 0),
+WITH h AS (SELECT p_brand AS r, p_type AS s, split_part(p_name, ' ', 1) AS t, p_size <= 25 AS a FROM part WHERE p_retailprice < 950),
 h3 AS (SELECT r, s, t, round(count(*) FILTER (a) / count(*), 3) AS rate FROM h GROUP BY ALL), h2 AS (SELECT r, s, round(count(*) FILTER (a) / count(*), 3) AS rate FROM h GROUP BY ALL), h1 AS (SELECT r, round(count(*) FILTER (a) / count(*), 3) AS rate FROM h GROUP BY ALL)
 SELECT p_partkey, coalesce(h3.rate, h2.rate, h1.rate) AS rate, CASE WHEN h3.rate IS NOT NULL THEN 3 WHEN h2.rate IS NOT NULL THEN 2 WHEN h1.rate IS NOT NULL THEN 1 ELSE 0 END AS rate_level
 FROM part p LEFT JOIN h3 ON h3.r = p_brand AND h3.s = p_type AND h3.t = split_part(p_name, ' ', 1) LEFT JOIN h2 ON h2.r = p_brand AND h2.s = p_type LEFT JOIN h1 ON h1.r = p_brand""")
 def q38_rate_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The accept rate of a case's token, else of its subtype, else of its reason."""
-    cases = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("reason_key"), F.col("p_type").alias("subtype"), F.split("p_name", " ")[0].alias("filler_token"), "p_size")
-    history = lake.label_lake(cases.where("p_partkey % 7 = 0").withColumn("accepted", F.col("p_size") <= 25))
+    cases = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("reason_key"), F.col("p_type").alias("subtype"), F.split("p_name", " ")[0].alias("filler_token"), "p_size", "p_retailprice")
+    history = lake.label_lake(cases.where("p_retailprice < 950").withColumn("accepted", F.col("p_size") <= 25))
     return lake.looked_up_rate(cases, history).select("p_partkey", "rate", "rate_level")
 
 

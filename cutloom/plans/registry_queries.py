@@ -44,14 +44,14 @@ PATH_SQL = "'scripts/' || (page_id % 13) || '/' || split_part(split_part(url, '/
 
 
 @query(f"""
-WITH files AS (SELECT DISTINCT {PATH_SQL} AS path FROM pages), listed AS (SELECT DISTINCT {PATH_SQL} AS path FROM pages WHERE page_id % 3 = 0), allowed AS (SELECT DISTINCT {PATH_SQL} AS path FROM pages WHERE page_id % 7 = 0)
+WITH files AS (SELECT DISTINCT {PATH_SQL} AS path FROM pages), listed AS (SELECT DISTINCT {PATH_SQL} AS path FROM pages WHERE url LIKE 'https%'), allowed AS (SELECT DISTINCT {PATH_SQL} AS path FROM pages WHERE url LIKE '%utm_source%')
 SELECT path FROM files WHERE path NOT IN (SELECT path FROM listed) AND split_part(path, '/', -1) NOT IN (SELECT split_part(path, '/', -1) FROM listed) AND path NOT IN (SELECT path FROM allowed)""")
 def q30_unregistered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths that no list has, by path or base name."""
     host = F.split(F.split("url", "/")[2], r"\.")[1]
     path = F.concat(F.lit("scripts/"), (F.col("page_id") % 13).cast("string"), F.lit("/"), host, F.lit("_"), (F.col("page_id") % 50).cast("string"), F.lit(".py"))
-    pages = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
-    return registry_checks.unregistered(pages.select("path").distinct(), pages.where("page_id % 3 = 0"), pages.where("page_id % 7 = 0"))
+    pages = table(spark, sf_dir, "pages").select("url", path.alias("path"))
+    return registry_checks.unregistered(pages.select("path").distinct(), pages.where("url LIKE 'https%'"), pages.where("url LIKE '%utm_source%'"))
 
 
 @query("SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON o_custkey = c_custkey")
@@ -61,13 +61,13 @@ def q72_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'name: x' ELSE 'name: x' || chr(10) || 'status: ' || replace(lower(split_part(o_orderpriority, '-', 2)), ' ', '_') END AS text FROM orders),
+WITH t AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 'name: x' ELSE 'name: x' || chr(10) || 'status: ' || replace(lower(split_part(o_orderpriority, '-', 2)), ' ', '_') END AS text FROM orders),
 s AS (SELECT CASE WHEN regexp_extract(text, '(?m)^status:\\s*(\\w+)', 1) = '' THEN 'none' ELSE regexp_extract(text, '(?m)^status:\\s*(\\w+)', 1) END AS status FROM t)
 SELECT status, count(*) AS n, status NOT IN ('urgent', 'high', 'medium', 'low') AS bad FROM s GROUP BY status""")
 def q57_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status lines of texts, and those that are no known status."""
     status = F.translate(F.lower(F.split("o_orderpriority", "-")[1]), " ", "_")
-    text = F.when(F.col("o_orderkey") % 11 == 0, "name: x").otherwise(F.concat(F.lit("name: x\nstatus: "), status))
+    text = F.when(F.col("o_orderstatus") == "P", "name: x").otherwise(F.concat(F.lit("name: x\nstatus: "), status))
     return registry_checks.statuses(table(spark, sf_dir, "orders").select(text.alias("text")), ["urgent", "high", "medium", "low"])
 
 
