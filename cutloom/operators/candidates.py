@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cutloom.functions.scalars import clamp, match_ratio
 from cutloom.operators import intervals, sequence
+from cutloom.operators.running import same
 
 
 def fillers(words: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -25,22 +26,26 @@ def pause_ms(n_cut: Column, separated: Column, per_cut: int = 60, bonus: int = 2
 
 
 def chain_extent(chain: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, cut_start, cut_end, n) of chains of timed words: all but the last word go, from the first start to the last but one's end."""
-    ordered = F.array_sort(F.collect_list(F.struct("start", "end")))
-    return chain.groupBy(*keys).agg(ordered.alias("w")).where(F.size("w") > 1).select(*keys, F.element_at("w", 1)["start"].alias("cut_start"), F.element_at("w", -2)["end"].alias("cut_end"), F.size("w").alias("n"))
+    """(keys, cut_start, cut_end, n) of chains of timed words: all but the last word go, from the first start to the last but one's end.
+
+    Only the last two words of a chain are ranked; a long chain is never gathered.
+    """
+    whole = chain.groupBy(*keys).agg(F.min("start").alias("cut_start"), F.count("*").alias("n"))
+    from_last = Window.partitionBy(*keys).orderBy(F.desc("start"), F.desc("end"))
+    ends = chain.withColumn("_n", F.row_number().over(from_last)).where("_n <= 2").where("_n = 2").select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("end").alias("cut_end"))
+    return whole.join(ends, same(whole, ends, keys, "_k_")).select(*keys, "cut_start", "cut_end", "n")
 
 
-def within_neighbours(cuts: DataFrame, keys: list[str], edge: int, pad: int = 20) -> DataFrame:
+def within_neighbours(cuts: DataFrame, keys: list[str], edge: int, slice_width: int, pad: int = 20) -> DataFrame:
     """``cuts`` (keys, start, end, id) widened by ``edge`` on both sides, but never closer than ``pad`` to the word before or after."""
-    order = Window.partitionBy(*keys).orderBy("start", "id")
-    before, after = F.lag("end").over(order), F.lead("start").over(order)
-    return cuts.withColumns({"cut_start": F.greatest(F.col("start") - edge, before + pad), "cut_end": F.least(F.col("end") + edge, after - pad)})
+    found = sequence.with_neighbours(cuts, keys, slice_width)
+    return found.withColumns({"cut_start": F.greatest(F.col("start") - edge, F.col("prev_end") + pad), "cut_end": F.least(F.col("end") + edge, F.col("next_start") - pad)}).drop("prev_end", "next_start")
 
 
 def shared_pauses(spans: DataFrame, track: str, least: int, width: int) -> DataFrame:
     """Gaps of ``least`` or more on one track in which no other track has a span: track, start, end, id (of the span before)."""
-    order = Window.partitionBy(track).orderBy("start", "id")
-    gaps = spans.select(track, F.col("end").alias("start"), F.lead("start").over(order).alias("end"), "id").where(F.col("end") - F.col("start") >= least)
+    after = sequence.with_neighbours(spans.select(track, "start", "end", "id"), [track], 100 * width)
+    gaps = after.select(track, F.col("end").alias("start"), F.col("next_start").alias("end"), "id").where(F.col("end") - F.col("start") >= least)
     others = spans.select(F.col(track).alias("_other"), "start", "end")
     broken = intervals.overlap_join(gaps, others, width).where(F.col(track) != F.col("_other")).select("id")
     return gaps.join(broken, "id", "left_anti")

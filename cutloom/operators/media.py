@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutloom.operators import intervals
+from cutloom.operators.running import same
 
 
 def little_endian(content: Column, at: int, size: int) -> Column:
@@ -74,6 +75,8 @@ def unknown_values(rows: DataFrame, key: str, column: str, allowed: list[str]) -
 
 
 def examples(cases: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
-    """Up to ``most`` cases of each class, with the class's size."""
+    """Up to ``most`` cases of each class, with ``of``, the class's size. The rank limit is applied before the shuffle as well as after."""
     own = Window.partitionBy(*by)
-    return cases.withColumns({"place": F.row_number().over(own.orderBy(*order)), "of": F.count("*").over(own)}).where(F.col("place") <= most)
+    sizes = cases.groupBy(*(F.col(c).alias(f"_k_{c}") for c in by)).agg(F.count("*").alias("of"))
+    first = cases.withColumn("place", F.row_number().over(own.orderBy(*order))).where(F.col("place") <= most)
+    return first.join(sizes, same(first, sizes, by, "_k_")).select(*cases.columns, "place", "of")

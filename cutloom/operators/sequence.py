@@ -27,10 +27,17 @@ def near_any(words: DataFrame, keys: list[str], test: Column, reach: int = 2) ->
     return F.coalesce(F.greatest(hit.over(order.rowsBetween(-reach, -1)), hit.over(order.rowsBetween(1, reach))), F.lit(0)) == 1
 
 
-def gaps(spans: DataFrame, keys: list[str]) -> DataFrame:
+def with_neighbours(spans: DataFrame, keys: list[str], slice_width: int) -> DataFrame:
+    """``spans`` (keys, start, end, id) with ``prev_end`` and ``next_start`` of the spans before and after of their keys; null at the ends."""
+    forward = with_running(spans, keys, ["start", "id"], F.floor(F.col("start") / slice_width), prev_end=("last", "end"))
+    back = forward.withColumns({"_back": -F.col("start"), "_back_id": -F.col("id")})
+    return with_running(back, keys, ["_back", "_back_id"], F.floor(F.col("_back") / slice_width), next_start=("last", "start")).drop("_back", "_back_id")
+
+
+def gaps(spans: DataFrame, keys: list[str], slice_width: int) -> DataFrame:
     """``spans`` (keys, start, end, id) with gap_before and gap_after to the neighbours of a key; null at its ends."""
-    order = Window.partitionBy(*keys).orderBy("start", "id")
-    return spans.withColumns({"gap_before": F.col("start") - F.lag("end").over(order), "gap_after": F.lead("start").over(order) - F.col("end")})
+    found = with_neighbours(spans, keys, slice_width)
+    return found.withColumns({"gap_before": F.col("start") - F.col("prev_end"), "gap_after": F.col("next_start") - F.col("end")}).drop("prev_end", "next_start")
 
 
 def sentences(points: DataFrame, keys: list[str], gap: int, slice_width: int) -> DataFrame:

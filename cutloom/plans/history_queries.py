@@ -155,11 +155,11 @@ def q54_candidate_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT o_custkey, avg(o_totalprice) AS liking FROM orders GROUP BY 1)
-SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY round(liking, 2) DESC NULLS LAST, c_custkey) AS shown_at FROM customer LEFT JOIN p ON o_custkey = c_custkey""")
+SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 1000 ORDER BY round(liking, 2) DESC NULLS LAST, c_custkey) AS shown_at FROM customer LEFT JOIN p ON o_custkey = c_custkey""")
 def q58_preference_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A preference orders the cases of a page and changes nothing else."""
     liking = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("liking"))
-    order = Window.partitionBy("c_nationkey").orderBy(F.desc_nulls_last(F.round("liking", 2)), "c_custkey")
+    order = Window.partitionBy("c_nationkey", F.floor(F.col("c_custkey") / 1000)).orderBy(F.desc_nulls_last(F.round("liking", 2)), "c_custkey")
     return table(spark, sf_dir, "customer").join(liking, "c_custkey", "left").select("c_nationkey", "c_custkey", F.row_number().over(order).alias("shown_at"))
 
 

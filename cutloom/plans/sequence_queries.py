@@ -96,7 +96,7 @@ def q61_sentence_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT conv_id, turn, CASE WHEN length(text) < 200 THEN 'short' WHEN regexp_matches(text, '[0-9]') THEN 'figures' ELSE 'plain' END AS tier,
-       row_number() OVER (PARTITION BY CASE WHEN length(text) < 200 THEN 'short' WHEN regexp_matches(text, '[0-9]') THEN 'figures' ELSE 'plain' END, conv_id % 16 ORDER BY length(text) DESC, conv_id, turn) AS place
+       row_number() OVER (PARTITION BY CASE WHEN length(text) < 200 THEN 'short' WHEN regexp_matches(text, '[0-9]') THEN 'figures' ELSE 'plain' END, conv_id // 100 ORDER BY length(text) DESC, conv_id, turn) AS place
 FROM conversations""")
 def q44_priority_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns by review tier, ranked within a tier and page group (a tier alone would be one task)."""
@@ -104,5 +104,5 @@ def q44_priority_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     size = F.char_length("text")
     tiered = table(spark, sf_dir, "conversations").withColumn("tier", F.when(size < 200, "short").when(F.col("text").rlike("[0-9]"), "figures").otherwise("plain"))
-    order = Window.partitionBy("tier", F.col("conv_id") % 16).orderBy(F.desc(size), "conv_id", "turn")
+    order = Window.partitionBy("tier", F.floor(F.col("conv_id") / 100)).orderBy(F.desc(size), "conv_id", "turn")
     return tiered.select("conv_id", "turn", "tier", F.row_number().over(order).alias("place"))

@@ -145,7 +145,7 @@ SELECT id, start - lag("end") OVER w AS gap_before, lead(start) OVER w - "end" A
 FROM spans WINDOW w AS (PARTITION BY user_id ORDER BY start, id)""")
 def q64_rhythm_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps to the speaker's span before and after, and whether they are too tight or drag."""
-    gapped = sequence.gaps(views.spans(spark, sf_dir), ["user_id"])
+    gapped = sequence.gaps(views.spans(spark, sf_dir), ["user_id"], DAY)
     rhythm = F.when(F.col("gap_before") < 50, "too_tight").when(F.col("gap_after") > HOUR, "dragging").otherwise("ok")
     return gapped.select("id", "gap_before", "gap_after", rhythm.alias("rhythm"))
 
@@ -156,7 +156,7 @@ SELECT id, greatest(start - 180, coalesce(lag("end") OVER w + 20, start - 180))
 FROM spans WINDOW w AS (PARTITION BY user_id ORDER BY start, id)""")
 def q47_neighbour_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts widened at their edges, but not into the words beside them."""
-    return candidates.within_neighbours(views.spans(spark, sf_dir), ["user_id"], 180).select("id", "cut_start", "cut_end")
+    return candidates.within_neighbours(views.spans(spark, sf_dir), ["user_id"], 180, DAY).select("id", "cut_start", "cut_end")
 
 
 @query(f"""
@@ -195,7 +195,7 @@ def q41_edl_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH spans AS ({SPANS}), timed AS (SELECT user_id, track, start, "end" FROM spans)
-SELECT user_id, track, list_min(list(start)) AS cut_start, list_sort(list({{'s': start, 'e': "end"}}))[-2].e AS cut_end, count(*)::INT AS n
+SELECT user_id, track, list_min(list(start)) AS cut_start, list_sort(list({{'s': start, 'e': "end"}}))[-2].e AS cut_end, count(*) AS n
 FROM timed GROUP BY user_id, track HAVING count(*) > 1""")
 def q65_chain_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain's cut: from its first start to the end of its last but one."""

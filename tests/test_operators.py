@@ -114,7 +114,7 @@ def test_restarts_find_what_all_pairs_find(spark):
 def test_neighbours_are_never_eaten(spark, spans):
     made, _ = spans
     flat = spark.createDataFrame([(i, "k", 100 * i, 100 * i + 70) for i in range(20)], "id long, k string, start long, end long")
-    cut = {r["id"]: r for r in candidates.within_neighbours(flat, ["k"], 180).collect()}
+    cut = {r["id"]: r for r in candidates.within_neighbours(flat, ["k"], 180, 500).collect()}
     for i in range(1, 19):
         assert cut[i]["cut_start"] >= cut[i - 1]["end"] + 20 and cut[i]["cut_end"] <= cut[i + 1]["start"] - 20
     assert cut[0]["cut_start"] == -180 and cut[19]["cut_end"] == 1970 + 180
