@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import TwoAgeCache, tokenizer_file
+from cutloom.llm.common import ChunkCache, tokenizer_file
 
 #: Chunks that each of the two ages of a worker's cache holds at most.
 CACHE_CHUNKS = 400_000
@@ -36,7 +36,7 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-class MergeCounter(TwoAgeCache):
+class MergeCounter(ChunkCache):
     """Tokens of a chunk, by chunk. Looking up a chunk that is not there counts it."""
 
     def __init__(self, path: str, most: int = CACHE_CHUNKS):
@@ -51,7 +51,7 @@ class MergeCounter(TwoAgeCache):
         special = [regex.escape(t["content"]) for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(special)) if special else None
 
-    def make(self, chunk: str) -> int:
+    def make_new(self, chunk: str) -> int:
         """Special strings count one each; between them the text is normalised and merged."""
         parts = self.special.split(chunk) if self.special else [chunk]
         total = len(parts) - 1

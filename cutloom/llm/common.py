@@ -49,3 +49,22 @@ class TwoAgeCache(dict):
             self.clear()
         self[key] = found
         return found
+
+
+class ChunkCache(TwoAgeCache):
+    """Values of text chunks without spaces, where a word's value does not depend on its case or on what follows it.
+
+    Only words are made by ``make_new``; a capitalised word has the value of the plain one, and a word with a full stop
+    or comma that of both together.
+    """
+
+    def make_new(self, chunk: str):
+        raise NotImplementedError
+
+    def make(self, chunk: str):
+        if chunk.isalpha():
+            plain = chunk.lower() if chunk.isascii() else chunk
+            return self[plain] if plain != chunk else self.make_new(chunk)
+        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self[chunk[-1]]
+        return self.make_new(chunk)

@@ -12,7 +12,9 @@ lengths, ranks the pieces of each length (a hot length over many tasks), and pla
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,25 +24,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cutloom.llm.common import TwoAgeCache, tokenizer_file, written
+from cutloom.llm.bpe import byte_symbols
+from cutloom.llm.common import ChunkCache, tokenizer_file, written
 
 #: Chunks that each of the two ages of a worker's cache of token ids holds at most.
 CACHE_CHUNKS = 350_000
 #: Rows that are ranked together within a length.
-RANK_ROWS = 20_000
+RANK_ROWS = 1_000
 
 
-class ChunkIds(TwoAgeCache):
+class ChunkIds(ChunkCache):
     """Token ids of a chunk without spaces or line feeds, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, most: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
         super().__init__(most)
-        self.encode = Tokenizer.from_file(path).encode
-
-    def make(self, chunk: str) -> bytes:
-        return np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.symbols = self.tokenizer.model, byte_symbols()
+
+    def make_new(self, chunk: str) -> bytes:
+        if chunk.isalpha() and chunk == chunk.lower() and unicodedata.is_normalized("NFC", chunk):
+            # a plain word is one pre-token that the normaliser leaves alone: the merges are all there is to do
+            bytes_of = chunk if chunk.isascii() else "".join([self.symbols[b] for b in chunk.encode()])
+            return array("I", [token.id for token in self.model.tokenize(bytes_of)]).tobytes()
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cutloom.llm.common import TwoAgeCache
+from cutloom.llm.common import ChunkCache
 
 #: Labelled documents that the model is fitted on at most; fewer if there are fewer.
 SAMPLE_DOCS = 8_000
@@ -54,14 +54,14 @@ class Model:
         return float(self.weights[features(word)].sum())
 
 
-class ChunkScores(TwoAgeCache):
+class ChunkScores(ChunkCache):
     """The summed word weights of a chunk between spaces."""
 
     def __init__(self, model: Model, most: int = CACHE_CHUNKS):
         super().__init__(most)
         self.model = model
 
-    def make(self, chunk: str) -> float:
+    def make_new(self, chunk: str) -> float:
         return sum(map(self.model.word, LETTERS.findall(chunk.lower())))
 
 
