@@ -41,7 +41,9 @@ def log_ratios(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
     """
     known = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
     # merged whatever the size of `known`, which grows with the documents: texts are read and moved once for both counts
-    text = documents.select("doc_id", "text").where("text IS NOT NULL").join(known.hint("merge"), "doc_id", "left")
+    text = documents.select("doc_id", "text").where("text IS NOT NULL")
+    named = text.where("doc_id IS NOT NULL").join(known.hint("merge"), "doc_id", "left")
+    text = named.unionByName(text.where("doc_id IS NULL").withColumn("trusted", F.lit(None).cast("boolean")))  # not all into one task
     found = text.select(F.explode(ngrams(F.col("text"), buckets)).alias("b"), "trusted").groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("target")).collect()
     counts = {r["b"]: r for r in found}
     raw, target = ([counts[b][name] if b in counts else 0 for b in range(buckets)] for name in ("raw", "target"))
