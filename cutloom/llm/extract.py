@@ -31,7 +31,14 @@ APART_WORDS = frozenset(["ad", "ads", "adv", "advert", "adverts", "advertisement
 COMMENT_WORDS = frozenset(["comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond", "responses"])
 BODY_WORDS = frozenset(["article", "body", "content", "entry", "main", "post", "story", "text"])
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: A comment or declaration; a tag; a tag with a quote that does not end, or that the next one or the page's end cuts off. Loops never give back
+#: what they took, so a broken page is read in one pass.
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
+    r"|<(/?)([a-zA-Z][^\s/><]*+)((?:[^><\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/><]*+)([^><]*+)(?:>|(?=<)|\Z)",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 NAME = re.compile(r"[a-z]+")
 NO_SPACE = re.compile(r"\S")

@@ -20,8 +20,10 @@ def test_article_keeps_all_and_only_its_text():
 
 
 def test_broken_and_empty_pages():
-    for page in (None, "", "<p", "<!--", "<script>x", "<a href='", "</p></p>", "&", "<nav>" * 500):
+    for page in (None, "", "<p", "<!--", "<script>x", "<a href='", "</p></p>", "&", "<nav>" * 500, "<a " + "x" * 100_000, "<a b='" * 20_000):
         assert extract.main_text(page) == ""
+    assert extract.main_text("<" * 50_000) == "<" * 50_000  # no markup, so text
+    assert extract.main_text("<article><p <b>One is here.</b><p title='a > b'>Two is here.<p title=\"x>Three is here.") == "One is here.\nTwo is here.\nThree is here."
     assert extract.main_text("<article>" + "<p>A paragraph that is here.</p>" * 3000).count("\n") == 2999
 
 
