@@ -222,8 +222,10 @@ def deduplicated(documents: DataFrame, budget: int = 3, width: int = 3) -> DataF
     name = [F.xxhash64("doc_id", "text").alias("__k1"), F.hash("text", "doc_id").alias("__k2")]
     texts = documents.select("doc_id", "text", *name)
     prints = written(with_fingerprints(texts, "text", "fp", width).drop("text"), "fingerprints")
-    groups = prints.join(grouped(prints, budget).select("fp", "root"), "fp", "left").withColumn("group", F.coalesce("root", "fp"))
-    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__k1", "__k2")).alias("x")).select("x.__k1", "x.__k2")
+    # copies are one row before groups are: no fingerprint, however many documents have it, is one task's
+    low = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__k1", "__k2")).alias("x"))
+    groups = low.join(grouped(prints, budget).select("fp", "root"), "fp", "left").withColumn("group", F.coalesce("root", "fp"))
+    first = groups.groupBy("group").agg(F.min("x").alias("x")).select("x.__k1", "x.__k2")
     same = Window.partitionBy("__k1", "__k2").orderBy("__k1")
     rows = documents.select("*", *name).join(first, ["__k1", "__k2"], "left_semi").withColumn("__n", F.row_number().over(same))
     return rows.where("__n = 1").select(*documents.columns)
