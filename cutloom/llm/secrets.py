@@ -112,7 +112,8 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -
     """
     keyed = documents.withColumn("__text_hash", F.xxhash64("text"))
     key = ["doc_id", "__text_hash"]
-    rows = keyed.select(*key, parts_of(F.coalesce("text", F.lit(""))).alias("parts")).where(F.size("parts") > 0)
+    # a text that comes again under its id is one: its matches are placed once
+    rows = keyed.select(*key, parts_of(F.coalesce("text", F.lit(""))).alias("parts")).where(F.size("parts") > 0).dropDuplicates(key)
     every = spans(rows, key, scope).where("kind IS NOT NULL").select(*key, F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e")).alias("x"))
     cuts = every.groupBy(*key).agg(F.array_sort(F.collect_set("x")).alias("__cuts"))
     text, start = F.col("text"), F.struct(F.lit("").alias("done"), F.lit(0).alias("upto"))

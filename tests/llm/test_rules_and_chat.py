@@ -100,6 +100,14 @@ def test_base_spans_and_redaction(leaky, odd, nothing):
     assert secrets.secret_report(nothing).count() == 0 and secrets.redacted(nothing).count() == 0
 
 
+def test_repeated_rows_are_redacted_like_one(spark):
+    text = "some words password=hunter2hunter2 and clean words that stay"
+    rows = [(5, text), (5, text), (5, text), (None, text), (None, text), (6, text), (5, "another text"), (None, None)]
+    want = [(i, t and t.replace("password=hunter2hunter2", "[SECRET]")) for i, t in rows]
+    clean = secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter(map(tuple, clean.collect())) == Counter(want)
+
+
 def kinds(spark, text):
     said = secrets.secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
     return [s.split(":")[0] for s in said.split(",") if s]
