@@ -47,3 +47,9 @@ def with_running(df: DataFrame, keys: list[str], order: list[str], slice_by: Col
         value = {"sum": F.when(own.isNull() & old.isNull(), None).otherwise(F.coalesce(own, F.lit(0)) + F.coalesce(old, F.lit(0))), "max": F.greatest(own, old), "min": F.least(own, old), "last": F.coalesce(own, old)}[kind]
         joined = joined.withColumn(name, value)
     return joined.select(*df.columns, *what)
+
+
+def with_place(df: DataFrame, keys: list[str], order: list[str], slice_by: Column) -> DataFrame:
+    """``df`` with ``place``: the row number in the whole of its key along ``order``, counted by slice as in ``with_running``."""
+    counted = with_running(df.withColumn("_one", F.lit(1)), keys, order, slice_by, _before=("sum", "_one"))
+    return counted.select(*df.columns, (F.coalesce("_before", F.lit(0)) + 1).alias("place"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.operators import candidates, sequence
+from cutloom.operators import candidates, running, sequence
 from cutloom.plans import views
 from cutloom.plans.registry import query
 from cutloom.tables import table
@@ -106,3 +106,14 @@ def q44_priority_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiered = table(spark, sf_dir, "conversations").withColumn("tier", F.when(size < 200, "short").when(F.col("text").rlike("[0-9]"), "figures").otherwise("plain"))
     order = Window.partitionBy("tier", F.floor(F.col("conv_id") / 100)).orderBy(F.desc(size), "conv_id", "turn")
     return tiered.select("conv_id", "turn", "tier", F.row_number().over(order).alias("place"))
+
+
+@query("""
+SELECT conv_id, turn, tier, row_number() OVER (PARTITION BY tier ORDER BY length(text) DESC, conv_id, turn) AS place
+FROM (SELECT *, CASE WHEN length(text) < 200 THEN 'short' WHEN regexp_matches(text, '[0-9]') THEN 'figures' ELSE 'plain' END AS tier FROM conversations)""")
+def q44b_tier_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns ranked within their whole review tier, a tier sliced by text length."""
+    size = F.char_length("text")
+    tiered = table(spark, sf_dir, "conversations").withColumn("tier", F.when(size < 200, "short").when(F.col("text").rlike("[0-9]"), "figures").otherwise("plain"))
+    sized = tiered.select("conv_id", "turn", "tier", (-size).alias("down"))
+    return running.with_place(sized, ["tier"], ["down", "conv_id", "turn"], F.struct("down", F.floor(F.col("conv_id") / 1000))).select("conv_id", "turn", "tier", "place")
