@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one beside the warehouse where that is unset."""
+    """The folder all executors share, ``spark.checkpoint.dir``. Where it is unset, a session of one machine (master ``local``)
+    takes a folder in the warehouse; on a cluster that is an error, as the executors might not see each other's files."""
     place = spark.conf.get("spark.checkpoint.dir", "")
+    if not place and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return place or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 
@@ -22,6 +26,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted``, each with as many ``_`` before it as it takes to be none of ``df``'s columns (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    depth = 1
+    while taken & {"_" * depth + w.lower() for w in wanted}:
+        depth += 1
+    return ["_" * depth + w for w in wanted]
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     """The path of a public tokenizer's file on this machine (every executor has the package)."""
     import public_tokenizers
@@ -29,9 +42,14 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Longer keys are made each time and not kept: a text without spaces is one key, and whole texts must not pile up in a cache.
+LONGEST_KEY = 64
+
+
 class TwoAgeCache(dict):
     """A bounded cache that looks up in C: what is missing is taken from the former age or else made by
-    ``make(key)``; when the present age holds ``most`` keys it becomes the former one."""
+    ``make(key)``; when the present age holds ``most`` keys it becomes the former one. No key is longer than LONGEST_KEY
+    characters, so ``most`` bounds the bytes as well."""
 
     def __init__(self, most: int):
         super().__init__()
@@ -44,6 +62,8 @@ class TwoAgeCache(dict):
         found = self.former.get(key)
         if found is None:
             found = self.make(key)
+            if len(key) > LONGEST_KEY:
+                return found
         if len(self) >= self.most:
             self.former = dict(self)
             self.clear()

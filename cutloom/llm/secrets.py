@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutloom.llm.arrays import at, indices, let
+from cutloom.llm.common import free_names, written
 
 #: Kinds in the order in which spans with one start are listed: strong ones, then the method's own.
 KINDS = ("assign", "access", "hex", "ident", "weak_secret", "endpoint")
@@ -25,6 +26,10 @@ ENDPOINT = r"(?i)\b(?:https?|ftp|jdbc:[a-z]+|mongodb|redis|postgres(?:ql)?|mysql
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 #: Code points before and after a part's start in which its other parts must start.
 SCOPE = 200
+#: Kinds by the part of a credential that they are: 0 identifier, 1 secret, 2 endpoint.
+ROLES = (1, 0, 1, 0, 1, 2)
+#: What names a text: its id and two hashes of both, so that null ids and equal ids with different texts are apart.
+KEY = ["k1", "k2"]
 SPAN = "array<struct<kind:int,i:int,gap:int,size:int,strong:boolean>>"
 
 
@@ -60,70 +65,114 @@ def parts_of(text: Column) -> Column:
     )
 
 
-def spans(rows: DataFrame, key: list[str], scope: int = SCOPE) -> DataFrame:
-    """(key, kind, start, end) of every strong match and every complete weak one, in code points, end exclusive.
+def keyed(documents: DataFrame, names: list[str]) -> DataFrame:
+    """``documents`` with two hashes of doc_id and text, none of them null, as columns ``names``."""
+    return documents.withColumns({names[0]: F.xxhash64("doc_id", "text"), names[1]: F.hash("text", "doc_id")})
 
-    ``rows`` has the ``key`` columns, which name a text, and ``parts``. A weak identifier is complete with a secret (strong or
-    weak) in its scope, a weak secret with an identifier, an endpoint with both. Weak spans that overlap a strong one are left
-    out. What is not reported has a null kind, and so has the one row of a text without matches: no text goes missing.
+
+def placed_parts(rows: DataFrame) -> DataFrame:
+    """(k1, k2, kind, start, end, strong) of every match, in code points, end exclusive. ``rows`` has k1, k2 and ``parts``, once a key."""
+    each = rows.select(*KEY, F.explode("parts").alias("p")).select(*KEY, "p.*")
+    so_far = Window.partitionBy(*KEY, "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far)).withColumn("start", F.col("end") - F.col("size"))
+    # an assignment or an access identifier with too short a value is no match; it only kept the others apart
+    return placed.where("strong OR kind > 2").select(*KEY, "kind", "start", "end", (F.col("kind") <= 2).alias("strong"))
+
+
+def linked_pairs(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """(k1, k2, a, b): every two parts of different roles of a text whose starts are at most ``scope`` apart, a of the lesser role; both are
+    structs (start, end, kind).
+
+    An interval join: a part is in one bin of ``scope`` code points, its partner in that bin or one beside it, and bins of one text are
+    joined by equality. Matches of a kind do not overlap, so a part has no more partners than fit beside each other into its scope.
     """
-    each = rows.select(*key, F.explode_outer("parts").alias("p")).select(*key, "p.*").repartition(*key)
-    so_far = Window.partitionBy(*key, "kind").orderBy("i")
-    end = F.sum(F.col("gap") + F.col("size")).over(so_far)
-    strong_kinds = F.col("kind") <= 2
-    placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).withColumn("kind", F.when(F.expr("kind > 2 OR strong"), F.col("kind")))
-    # one sort by start serves the joins of all intervals of a text
-    by_start = Window.partitionBy(*key).orderBy("start", "kind")
-    around = Window.partitionBy(*key).orderBy("start").rangeBetween(-scope, scope)
-    secret, ident = F.col("kind").isin(0, 2, 4), F.col("kind").isin(1, 3)
-    near = lambda what: F.count(F.when(what, 1)).over(around) > 0
-    placed = placed.select(
-        *key, "kind", "start", "end",
-        near(secret).alias("by_secret"), near(ident).alias("by_ident"),
-        F.max(F.when(strong_kinds, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1)).alias("strong_before"),
-        F.min(F.when(strong_kinds, F.col("start"))).over(by_start.rowsBetween(1, Window.unboundedFollowing)).alias("strong_after"),
-    )
+    role = F.get(F.array(*map(F.lit, ROLES)), F.col("kind"))
+    sided = parts.select(*KEY, role.alias("role"), F.struct("start", "end", "kind").alias("x"), F.floor(F.col("start") / F.lit(scope)).alias("bin"))
+    left = sided.select(*KEY, "bin", F.col("role").alias("a_role"), F.col("x").alias("a"))
+    right = sided.select(*KEY, F.explode(F.array(*(F.col("bin") + d for d in (-1, 0, 1)))).alias("bin"), F.col("role").alias("b_role"), F.col("x").alias("b"))
+    pairs = left.join(right, [*KEY, "bin"]).where("a_role < b_role").where(F.abs(F.col("a.start") - F.col("b.start")) <= scope)
+    return pairs.select(*KEY, "a_role", "b_role", "a", "b")
+
+
+def spans(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """(k1, k2, kind, start, end, strong, links) of every strong match and every complete weak one.
+
+    ``rows`` has k1, k2, which name a text, and ``parts``, once a key. A weak identifier is complete with a secret (strong or weak)
+    in its scope, a weak secret with an identifier, an endpoint with both. Weak spans that overlap a strong one are left out.
+    ``links`` has the partners of identifiers: structs (start, end, kind) of the secrets and endpoints in their scope.
+    """
+    parts = placed_parts(rows)
+    pairs = linked_pairs(parts, scope)
+    one = pairs.select(*KEY, F.col("a.kind").alias("kind"), F.col("a.start").alias("start"), F.col("b_role").alias("met"), F.when(F.col("a_role") == 0, F.col("b")).alias("partner"))
+    other = pairs.select(*KEY, F.col("b.kind").alias("kind"), F.col("b.start").alias("start"), F.col("a_role").alias("met"), F.lit(None).cast("struct<start:bigint,end:bigint,kind:int>").alias("partner"))
+    met = one.unionByName(other).groupBy(*KEY, "kind", "start").agg(F.bool_or(F.col("met") == 0).alias("by_ident"), F.bool_or(F.col("met") == 1).alias("by_secret"), F.array_sort(F.collect_set("partner")).alias("links"))
+    by_start = Window.partitionBy(*KEY).orderBy("start", "kind")
+    placed = parts.withColumns(
+        {
+            "strong_before": F.max(F.when(F.col("strong"), F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1)),
+            "strong_after": F.min(F.when(F.col("strong"), F.col("start"))).over(by_start.rowsBetween(1, Window.unboundedFollowing)),
+        }
+    ).join(met, [*KEY, "kind", "start"], "left")
     clear = (F.coalesce("strong_before", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("strong_after") >= F.col("end"), F.lit(True))
     complete = F.when(F.col("kind") == 3, F.col("by_secret")).when(F.col("kind") == 4, F.col("by_ident")).otherwise(F.col("by_secret") & F.col("by_ident"))
-    reported = placed.withColumn("kind_order", F.when(strong_kinds | (complete & clear), F.col("kind")))
-    return reported.select(*key, F.get(F.array(*map(F.lit, KINDS)), F.col("kind_order")).alias("kind"), "kind_order", "start", "end")
+    return placed.where(F.col("strong") | (complete & clear)).select(*KEY, "kind", "start", "end", "strong", "links")
+
+
+def said(x: Column) -> Column:
+    """kind:start:end of a struct."""
+    return F.concat_ws(":", F.get(F.array(*map(F.lit, KINDS)), x["kind"]), x["start"].cast("string"), x["end"].cast("string"))
 
 
 def secret_report(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """For each row: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+    """For each row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, links.
 
-    ``spans`` lists kind:start:end by start, then kind, comma-joined; ``base_sha256`` digests the strong ones so listed. A null
-    text counts as empty: no spans. Rows with one doc_id, null ones too, are scanned apart. An empty table gives an
-    empty result; other columns are ignored. No text is moved: only matches are.
+    ``spans`` lists kind:start:end by start, then kind, comma-joined; ``base_sha256`` digests the strong ones so listed. ``links`` lists
+    identifier>partner, each as kind:start:end, for the secrets and endpoints in an identifier's scope. A null text counts as
+    empty: no spans. Equal rows are scanned once and reported as often as they come; rows with one doc_id, null ones too, and
+    different texts are apart. Very long texts are read whole; ties of start go by kind. An empty table gives an empty result; other
+    columns are ignored. No text is moved: only matches and hashes are; they are written when the report is asked for.
     """
-    rows = documents.select("doc_id", F.monotonically_increasing_id().alias("_row"), parts_of(F.coalesce("text", F.lit(""))).alias("parts"))
-    all_spans = spans(rows, ["_row", "doc_id"], scope)
-    item = F.struct("start", "kind_order", F.concat_ws(":", "kind", "start", "end").alias("said"))
-    count = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).cast("bigint").alias(f"n_{kind}")
-    joined = lambda items: F.array_join(F.transform(items, lambda x: x["said"]), ",")
-    listed = all_spans.groupBy("_row", "doc_id").agg(count("assign"), count("access"), count("hex"), F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), item))).alias("items"))
-    return listed.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.filter("items", lambda x: x["kind_order"] <= 2)), 256).alias("base_sha256"), joined(F.col("items")).alias("spans"))
+    rows = keyed(documents.select("doc_id", "text"), KEY).select(*KEY, "doc_id", parts_of(F.coalesce("text", F.lit(""))).alias("parts"))
+    # a text that comes again under its id is one row with a count
+    rows = rows.groupBy(*KEY).agg(F.first("doc_id").alias("doc_id"), F.first("parts").alias("parts"), F.count("*").alias("copies"))
+    rows = written(rows, "secret_parts")
+    found = spans(rows.where(F.size("parts") > 0), scope)
+    item = F.struct("start", "kind", "end", "strong", "links")
+    count = lambda kind: F.count_if(F.col("kind") == KINDS.index(kind)).alias(f"n_{kind}")
+    listed = found.groupBy(*KEY).agg(count("assign"), count("access"), count("hex"), F.array_sort(F.collect_list(item)).alias("items"))
+    joined = lambda items, what: F.array_join(F.transform(items, what), ",")
+    all_items = F.coalesce("items", F.array().cast(listed.schema["items"].dataType))
+    linked = F.flatten(F.transform(F.filter(all_items, lambda x: x["links"].isNotNull()), lambda x: F.transform(x["links"], lambda y: F.concat(said(x), F.lit(">"), said(y)))))
+    counts = [F.coalesce(f"n_{kind}", F.lit(0).cast("bigint")).alias(f"n_{kind}") for kind in KINDS[:3]]
+    report = rows.join(listed, KEY, "left").select(
+        "doc_id", *counts,
+        F.sha2(joined(F.filter(all_items, lambda x: x["strong"]), said), 256).alias("base_sha256"),
+        joined(all_items, said).alias("spans"),
+        F.array_join(linked, ",").alias("links"),
+        "copies",
+    )
+    return report.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("copies")
 
 
 def redacted(documents: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """``documents`` with every span of their texts, overlapping ones as one, replaced by ``mark``; all rows and columns stay.
 
-    Texts are named by doc_id and a hash of the text, so repeated rows and rows with one doc_id are redacted alike and apart.
+    Texts are named by hashes of doc_id and text, and a text that comes again under its id is scanned once, so repeated rows are redacted
+    alike and rows with one doc_id, null ones too, apart. Null texts stay null and empty ones empty; very long texts are redacted whole; an
+    empty table stays empty; other columns may have any names. The matches are written when the function is called.
     """
-    keyed = documents.withColumn("__text_hash", F.xxhash64("text"))
-    key = ["doc_id", "__text_hash"]
-    # a text that comes again under its id is one: its matches are placed once
-    rows = keyed.select(*key, parts_of(F.coalesce("text", F.lit(""))).alias("parts")).where(F.size("parts") > 0).dropDuplicates(key)
-    every = spans(rows, key, scope).where("kind IS NOT NULL").select(*key, F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e")).alias("x"))
-    cuts = every.groupBy(*key).agg(F.array_sort(F.collect_set("x")).alias("__cuts"))
-    text, start = F.col("text"), F.struct(F.lit("").alias("done"), F.lit(0).alias("upto"))
+    k1, k2, cuts_name = free_names(documents, "k1", "k2", "cuts")
+    named = keyed(documents, [k1, k2])
+    rows = named.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), parts_of(F.coalesce("text", F.lit(""))).alias("parts")).where(F.size("parts") > 0).dropDuplicates(KEY)
+    every = spans(written(rows, "secret_parts"), scope).select(*KEY, F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e")).alias("x"))
+    cuts = every.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.array_sort(F.collect_set("x")).alias(cuts_name))
+    text, start = F.col("text"), F.struct(F.array().cast("array<string>").alias("done"), F.lit(0).alias("upto"))
 
     def step(so_far: Column, cut: Column) -> Column:
         apart = cut["s"] >= so_far["upto"]
-        done = F.when(apart, F.concat(so_far["done"], F.substring(text, so_far["upto"] + 1, cut["s"] - so_far["upto"]), F.lit(mark))).otherwise(so_far["done"])
+        done = F.when(apart, F.concat(so_far["done"], F.array(F.substring(text, so_far["upto"] + 1, cut["s"] - so_far["upto"]), F.lit(mark)))).otherwise(so_far["done"])
         return F.struct(done.alias("done"), F.greatest(cut["e"], so_far["upto"]).alias("upto"))
 
-    clean = F.aggregate("__cuts", start, step, lambda x: F.concat(x["done"], F.substring(text, x["upto"] + 1, F.char_length(text))))
-    cuts = cuts.select(F.col("doc_id").alias("__cut_id"), F.col("__text_hash").alias("__cut_hash"), "__cuts")
-    joined = keyed.join(cuts, F.col("doc_id").eqNullSafe(F.col("__cut_id")) & (F.col("__text_hash") == F.col("__cut_hash")), "left")
-    return joined.withColumn("text", F.when(F.col("__cuts").isNull(), text).otherwise(clean)).select(*documents.columns)
+    clean = F.aggregate(cuts_name, start, step, lambda x: F.concat(F.array_join(x["done"], ""), F.substring(text, x["upto"] + 1, F.char_length(text))))
+    found = named.join(cuts, [k1, k2], "left")
+    return found.withColumn("text", F.when(F.col(cuts_name).isNull(), text).otherwise(clean)).select(*documents.columns)
