@@ -60,11 +60,13 @@ def chunk_ids(path: str) -> ChunkIds:
 
 
 def pieces_of(documents: DataFrame, capacity: int, end_id: int, tokenizer: str, keep_ids: bool = False) -> DataFrame:
-    """The pieces of each document: its ids and ``end_id``, cut only where they exceed ``capacity``."""
+    """The pieces of each document: its ids and ``end_id``, cut only where they exceed ``capacity``. ``row_id`` tells the
+    rows of one doc_id apart."""
     schema = T.StructType(
         [
             T.StructField("doc_id", documents.schema["doc_id"].dataType),
             T.StructField("piece", T.IntegerType()),
+            T.StructField("row_id", T.LongType()),
             T.StructField("start", T.LongType()),
             T.StructField("length", T.LongType()),
             T.StructField("ids_crc32", T.LongType()),
@@ -76,16 +78,16 @@ def pieces_of(documents: DataFrame, capacity: int, end_id: int, tokenizer: str,
         ids_of, closing, width = chunk_ids(tokenizer).ids, np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, text, row_id in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids = ids_of(text.as_py()) + closing
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
-                    rows.append((doc_id.as_py(), piece, at // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else [])))
+                    rows.append((doc_id.as_py(), piece, row_id, at // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else [])))
             columns = list(zip(*rows, strict=True)) or [()] * len(schema)
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], schema.names)
 
-    return documents.select("doc_id", "text").mapInArrow(cut, schema)
+    return documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id")).mapInArrow(cut, schema)
 
 
 def plan_rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -137,22 +139,23 @@ def ranked(pieces: DataFrame, rows: int) -> DataFrame:
     """``pieces`` with ``rank`` from 0 within each length. A length is dealt over hash buckets of
     about RANK_ROWS rows; the offset of a bucket is the sum of those before it."""
     buckets = max(1, -(-rows // RANK_ROWS))
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("row_id", "piece"), F.lit(buckets)))
     sizes = dealt.groupBy("length", "_bucket").count()
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "_bucket").orderBy("row_id", "piece")
     numbered = dealt.withColumn("_n", F.row_number().over(within) - 1)
     return numbered.join(sizes, ["length", "_bucket"]).withColumn("rank", F.col("_offset") + F.col("_n")).drop("_bucket", "_offset", "_n")
 
 
 def pack(documents: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids as bytes with ``keep_ids``).
+    """One row a piece: doc_id, piece, row_id, start, length, ids_crc32, sequence_id, offset (and ids as bytes with ``keep_ids``).
 
     Every document is packed whole: null and empty texts give one piece that holds ``end_id`` alone; only texts
     over ``capacity`` ids are cut, into full pieces and a rest. Rows with one doc_id, also null, are
-    packed row by row; ties of length are broken by hash bucket, doc_id, piece and checksum. An empty table gives
-    an empty result. Other columns are ignored.
+    packed row by row: ``row_id``, a number of the row in this run's written pieces, tells them apart and with the piece breaks ties of
+    length. An empty table gives an empty result; other columns are ignored, whatever their names. A call tokenises, writes the
+    pieces and plans at once; the returned rows are placed when they are read.
     """
     spark = documents.sparkSession
     pieces = written(pieces_of(documents, capacity, end_id, tokenizer or tokenizer_file(), keep_ids), "pieces")
@@ -165,10 +168,16 @@ def pack(documents: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, ranks, _, sequences, offsets = shared.value.T
-        keys = lengths * (1 << 48) + ranks
+        # the plan is sorted by length, then rank: each length is a slice of it, within which a rank is searched
+        known, starts = np.unique(lengths, return_index=True)
+        ends = np.r_[starts[1:], len(lengths)]
         for batch in batches:
-            rank = batch.column("rank").to_numpy()
-            at = np.searchsorted(keys, batch.column("length").to_numpy() * (1 << 48) + rank, side="right") - 1
+            rank, own = batch.column("rank").to_numpy(), np.searchsorted(known, batch.column("length").to_numpy())
+            at = np.empty(len(rank), np.int64)
+            order = np.argsort(own, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(order) else ():
+                a, e = starts[own[part[0]]], ends[own[part[0]]]
+                at[part] = a + np.searchsorted(ranks[a:e], rank[part], side="right") - 1
             found = [pa.array(sequences[at] + rank - ranks[at]), pa.array(offsets[at])]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], schema.names)
 
