@@ -11,11 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutloom.llm.arrays import let
+
 OPEN, OPENED, CLOSE = "<turn ", ">\n", "\n</turn>\n"
 #: Signs of the template and what stands for them inside roles and texts; undone in reverse order.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
 
 
+#: Code points of a block in which masked places are looked up.
+BLOCK = 4096
+
+
 def escaped(text: Column) -> Column:
     for sign, code in ESCAPES:
         text = F.replace(text, F.lit(sign), F.lit(code))
@@ -53,7 +59,7 @@ def messages(events: DataFrame) -> DataFrame:
 def rendered(turns: DataFrame, learn: str = "assistant") -> DataFrame:
     """One row a conversation: conv_id, formatted, loss_mask (array of start, length in code points of formatted).
 
-    ``turns`` has conv_id, seq, role, text (not null); those with one seq go by role and text. Each turn is rendered in its own
+    Null conv_ids are one conversation, equal turns each count, an empty table gives an empty result. ``turns`` has conv_id, seq, role, text (not null); those with one seq go by role and text. Each turn is rendered in its own
     row; only rendered turns are gathered. The mask covers the texts of role ``learn``, without marks.
     """
     head = F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(OPENED))
@@ -79,23 +85,67 @@ def read_back(formatted: Column) -> Column:
     return F.transform(turns, lambda x: F.struct(unescaped(F.substring(x, F.lit(len(OPEN) + 1), cut(x) - len(OPEN) - 1)).alias("role"), unescaped(F.substring(x, cut(x) + len(OPENED), F.char_length(x))).alias("text")))
 
 
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The texts of ``formatted`` at the places (start, length) of ``mask``, unescaped, one after the other.
+
+    The string is cut into blocks once and a place is looked up in its own blocks, so long conversations are not read again for every turn.
+    """
+    blocks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def cut(of: Column, x: Column) -> Column:
+        first, last = F.floor(x["start"] / BLOCK).cast("int"), F.floor((x["start"] + x["length"]) / BLOCK).cast("int")
+        own = F.array_join(F.slice(of, first + 1, last - first + 1), "")
+        return unescaped(F.substring(own, (x["start"] - first * BLOCK + 1).cast("int"), x["length"].cast("int")))
+
+    return let(blocks, lambda of: F.array_join(F.transform(mask, lambda x: cut(of, x)), ""))
+
+
 def format_chats(events: DataFrame, learn: str = "assistant") -> DataFrame:
     """Events to formatted conversations: conv_id, formatted, loss_mask.
 
-    Rows with a null conv_id are one conversation; an empty table gives an empty result; other columns are ignored.
-    One conversation is one value, so its rendered turns meet in one row, however many they are; events are folded and rendered
+    Rows with a null conv_id are one conversation; null texts and roles are empty; equal events each count; ties of seq go as ``messages``
+    and ``rendered`` say; an empty table gives an empty result; other columns are ignored, whatever their names. One conversation
+    is one value, so its rendered turns meet in one row, however many or long they are; events are folded and rendered
     before that, spread over message ids.
     """
     return rendered(messages(events.select("conv_id", "message_id", "seq", "op", "role", "text")), learn)
 
 
+def as_events(turns: DataFrame) -> DataFrame:
+    """Turns (conv_id, turn, role, text) as the log that a chat server might have kept of them; ``messages`` folds it to the turns again.
+
+    A turn whose text hash is odd was streamed: a first answer that was thrown away, a regeneration, and the text in up to three deltas. The others were
+    sent at once as a draft and edited. Equal rows are messages of their own.
+    """
+    copy = Window.partitionBy("conv_id", "turn", "said").orderBy("said")
+    told = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("role", "text").alias("said"))
+    told = told.withColumn("message_id", F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("")), "said", F.row_number().over(copy)))
+    third = F.floor(F.char_length("text") / 3).cast("int")
+    event = lambda op, text, role, n: F.struct(F.lit(op).alias("op"), text.alias("text"), role.alias("role"), F.lit(n).alias("n"))
+    nothing, text, role = F.lit(None).cast("string"), F.col("text"), F.col("role")
+    streamed = F.array(
+        event("message", F.lit("…"), role, 0),
+        event("delta", F.substring(text, F.lit(1), third), nothing, 1),
+        event("regenerate", nothing, nothing, 2),
+        event("delta", F.substring(text, F.lit(1), third), nothing, 3),
+        event("delta", F.substring(text, third + 1, third), nothing, 4),
+        event("delta", F.substring(text, 2 * third + 1, F.char_length(text)), nothing, 5),
+    )
+    drafted = F.array(event("message", F.concat(F.lit("draft of "), F.char_length(text).cast("string")), role, 0), event("edit", text, nothing, 1))
+    each = told.select("conv_id", "turn", "message_id", F.explode(F.when(F.pmod("said", F.lit(2)) == 1, streamed).otherwise(drafted)).alias("e"))
+    return each.select("conv_id", "message_id", F.struct("turn", "e.n").alias("seq"), "e.op", "e.role", "e.text")
+
+
 def chat_report(conversations: DataFrame, learn: str = "assistant") -> DataFrame:
     """For each conversation of (conv_id, turn, role, text) rows, read back from its formatted text: conv_id, n_turns,
-    turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    events = conversations.select("conv_id", F.monotonically_increasing_id().alias("message_id"), F.col("turn").alias("seq"), F.lit("message").alias("op"), "role", "text")
-    chats = format_chats(events, learn).withColumn("turns", read_back(F.col("formatted")))
-    # a mask entry starts where its turn's text does: the n-th entry is the n-th learnt turn
-    chats = chats.withColumn("learnt", F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == learn), lambda x: x["text"]), ""))
+    turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    Rows go through the log of ``as_events`` and are folded, rendered and read again; the loss columns are of the text that the loss mask
+    covers. Null conv_ids are one conversation; null turns come first; rows of one turn go by role and text, equal ones each count;
+    null texts and roles are empty; an empty table gives an empty result; other columns are ignored. A very long conversation is one value.
+    """
+    chats = format_chats(as_events(conversations), learn).withColumn("turns", read_back(F.col("formatted")))
+    chats = chats.withColumn("learnt", under_mask(F.col("formatted"), F.col("loss_mask")))
     return chats.select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),
