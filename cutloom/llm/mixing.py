@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutloom.llm.arrays import WORD
-from cutloom.llm.common import written
+from cutloom.llm.common import free_names, written
 
 STEPS = 30
 BLOCK_TOKENS = 1_000_000
@@ -37,12 +37,14 @@ class Mixture:
 
 
 def counted(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, n_tokens): null sources are the source '', tokens are words."""
-    return documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("n_tokens"))
+    """(doc_id, source, n_tokens, copies): null sources are the source '', tokens are words. Rows that agree in all three, as those of one id
+    or without an id may, are one row with their number, so that no id is a crowded key of a permutation."""
+    n_tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("n_tokens")
+    return documents.groupBy("doc_id", F.coalesce("source", F.lit("")).alias("source"), n_tokens).agg(F.count("*").alias("copies"))
 
 
 def mixture(rows: DataFrame, max_repeats: float | None = 4.0, target_entropy: float | None = None, budget: int | None = None) -> Mixture:
-    """The mixture of ``rows`` (source, n_tokens).
+    """The mixture of ``rows`` (source, n_tokens, copies).
 
     ``max_repeats``: the smallest exponent with which no source gives more than so many times its tokens;
     ``target_entropy`` (nats): the largest exponent whose weights have at least that entropy. Without ``budget`` it is the
@@ -50,7 +52,7 @@ def mixture(rows: DataFrame, max_repeats: float | None = 4.0, target_entropy: fl
     and give their documents once. A step of the
     search that needs all sources is an aggregate over their table, of which four numbers come to the driver.
     """
-    sources = written(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "sources")
+    sources = written(rows.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens")), "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     share = F.col("tokens") / F.lit(float(total or 1))
     known = sources.where("tokens > 0").select("source", "tokens", share.alias("p"))
@@ -95,28 +97,30 @@ def order_key(epoch: Column, seed: int = SEED) -> Column:
 
 
 def joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` with the plan of their source, whatever share of the rows one source holds."""
-    plan = plan.withColumnRenamed("source", "_of")
+    """``rows`` with the plan of their source, whatever share of the rows one source holds. The plan's other names are not among the rows'."""
+    of, salt_of, salt = free_names(rows, "of", "salt_of", "salt")
+    plan = plan.withColumnRenamed("source", of)
     if plan.count() <= MOST_BROADCAST:
-        return rows.join(F.broadcast(plan), F.coalesce("source", F.lit("")) == F.col("_of")).drop("_of")
-    salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt_of", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(salted, (F.coalesce("source", F.lit("")) == F.col("_of")) & (F.col("_salt_of") == F.col("_salt"))).drop("_of", "_salt", "_salt_of")
+        return rows.join(F.broadcast(plan), F.coalesce("source", F.lit("")) == F.col(of)).drop(of)
+    salted = plan.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt_of, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(salted, (F.coalesce("source", F.lit("")) == F.col(of)) & (F.col(salt_of) == F.col(salt))).drop(of, salt, salt_of)
 
 
 def streamed(rows: DataFrame, mix: Mixture, seed: int = SEED) -> DataFrame:
     """(doc_id, source, n_tokens, epoch, key, start, quota): each copy that the quotas take, with the tokens of its source before it."""
     plan = mix.sources.select("source", "tokens", "quota", "full", "rest")
-    copies = joined(rows, plan).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("rest") > 0, F.col("full")).otherwise(F.greatest("full", F.lit(1)) - 1))))
-    copies = copies.where("rest > 0 OR full > 0").withColumn("key", order_key(F.col("epoch"), seed))
+    drawn = joined(rows, plan).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("rest") > 0, F.col("full")).otherwise(F.greatest("full", F.lit(1)) - 1))))
+    drawn = drawn.where("rest > 0 OR full > 0").withColumn("key", order_key(F.col("epoch"), seed))
     # the running sum of a permutation: within parts of it, and over the sums of the parts before
-    copies = copies.withColumn("part", F.substring("key", 1, PART_DIGITS))
-    parts = copies.groupBy("source", "epoch", "part").agg(F.sum("n_tokens").alias("sum"))
+    drawn = drawn.withColumns({"part": F.substring("key", 1, PART_DIGITS), "all_tokens": F.col("n_tokens") * F.col("copies")})
+    parts = drawn.groupBy("source", "epoch", "part").agg(F.sum("all_tokens").alias("sum"))
     over_parts = Window.partitionBy("source", "epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("source", "epoch", "part", F.coalesce(F.sum("sum").over(over_parts), F.lit(0)).alias("before"))
     within = Window.partitionBy("source", "epoch", "part").orderBy("key", "n_tokens", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    copies = copies.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(parts, ["source", "epoch", "part"])
-    offset = F.col("before") + F.col("inside")
-    taken = copies.where((F.col("epoch") < F.col("full")) | (offset < F.col("rest")))
+    drawn = drawn.withColumn("inside", F.coalesce(F.sum("all_tokens").over(within), F.lit(0))).join(parts, ["source", "epoch", "part"])
+    each = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+    offset = F.col("before") + F.col("inside") + F.col("copy") * F.col("n_tokens")
+    taken = each.where((F.col("epoch") < F.col("full")) | (offset < F.col("rest")))
     return taken.select("doc_id", "source", "n_tokens", "epoch", "key", (offset + F.col("epoch") * F.col("tokens")).alias("start"), "quota")
 
 
@@ -124,28 +128,41 @@ def mix_blocks(documents: DataFrame, max_repeats: float | None = 4.0, target_ent
     """The mixed stream, one row a copy of a document: doc_id, source, epoch, n_tokens, block, position (in its block, from 1).
 
     Null sources are the source ''; null texts have no tokens; null and repeated doc_ids are copies like others (those with one key go
-    by tokens). An empty table gives an empty result; other columns are ignored. No text is moved.
+    by tokens). Sources without tokens give their documents once, in the first block. Very long texts are counted whole; an empty table gives
+    an empty result; other columns are ignored. No text is moved. A call counts and writes the tokens and bisects the exponent at once; the
+    returned rows are dealt when they are read.
     """
     rows = written(counted(documents), "tokens")
     mix = mixture(rows, max_repeats, target_entropy, budget)
     blocks = max(1, -(-mix.budget // block_tokens))
     block = F.when(F.col("quota") > 0, F.least(F.floor(F.col("start").cast("double") / F.col("quota") * F.lit(float(blocks))), F.lit(blocks - 1))).otherwise(0).cast("bigint")
-    stream = streamed(rows, mix, seed).withColumn("block", block)
-    order = Window.partitionBy("block").orderBy("key", "doc_id", "epoch", "n_tokens")
-    return stream.select("doc_id", "source", "epoch", "n_tokens", "block", F.row_number().over(order).cast("bigint").alias("position"))
+    # a block has a bounded number of tokens but not of documents: its positions are counted by parts of the key
+    stream = streamed(rows, mix, seed).withColumns({"block": block, "part": F.substring("key", 1, 2)})
+    sizes = stream.groupBy("block", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("block", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    order = Window.partitionBy("block", "part").orderBy("key", "doc_id", "epoch", "n_tokens")
+    numbered = stream.withColumn("number", F.row_number().over(order)).join(sizes, ["block", "part"])
+    return numbered.select("doc_id", "source", "epoch", "n_tokens", "block", (F.col("before") + F.col("number")).alias("position"))
 
 
 def mixed(documents: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
     """``documents`` as often as the mixture takes each: all columns, one row a copy. Rows are kept where they are; of the epoch that
-    is taken in part come those up to the last key that the quota reaches."""
+    is taken in part come those up to the last key that the quota reaches.
+
+    Null sources are the source ''; null and empty texts have no tokens and come once where their source has none; rows of one id, or without an
+    id, come equally often; very long texts count whole; an empty table stays empty; other columns may have any names. The mixture is
+    worked out when the function is called.
+    """
     rows = written(counted(documents), "tokens")
     mix = mixture(rows, max_repeats, target_entropy, budget)
     partial = streamed(rows, mix, seed).join(mix.sources.select(F.col("source").alias("_s"), F.col("full").alias("_f")), (F.col("source") == F.col("_s")) & (F.col("epoch") == F.col("_f")))
-    last = partial.groupBy("source").agg(F.max("key").alias("__last"))
-    plan = written(mix.sources.select("source", F.col("full").alias("__full")).join(last, "source", "left"), "mixture")
-    more = F.coalesce((order_key(F.col("__full"), seed) <= F.col("__last")).cast("int"), F.lit(0))
-    found = joined(documents, plan).withColumn("__copies", (F.col("__full") + more).cast("int"))
-    return found.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*documents.columns)
+    last = partial.groupBy("source").agg(F.max("key").alias("last"))
+    full_name, last_name, copies, copy = free_names(documents, "full", "last", "copies", "copy")
+    plan = written(mix.sources.select("source", "full").join(last, "source", "left").select("source", F.col("full").alias(full_name), F.col("last").alias(last_name)), "mixture")
+    more = F.coalesce((order_key(F.col(full_name), seed) <= F.col(last_name)).cast("int"), F.lit(0))
+    found = joined(documents, plan).withColumn(copies, (F.col(full_name) + more).cast("int"))
+    return found.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*documents.columns)
 
 
 #: The rows of ``mix_blocks`` with its defaults.
