@@ -1,8 +1,11 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text. A classifier gives each block the cost of calling it content and of calling it boilerplate: these are the capacities of
-its edges to the two terminals. Blocks that follow each other, or hang below one element, are joined by edges that
-cost if their labels differ. A minimum cut is the cheapest labelling; the content side, in page order, is the text.
+A page is a tree of elements with blocks of text in it. A classifier gives blocks (by their text) and elements (by tag and words of class, id and
+role, for each block inside) the costs of calling them content and of calling them boilerplate: the capacities of their edges to the two
+terminals. A block is tied to its element, an element to the one around it, and a block to the next one by edges that cost if their labels differ,
+so whatever an element says reaches its blocks through the cut only, up to the capacity on the way: a
+block that stands out keeps its own label, and one that does not takes its surroundings'. A minimum cut is the cheapest
+labelling; the blocks on the content side, in page order, are the text.
 """
 
 from __future__ import annotations
@@ -18,18 +21,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is no text of the page, up to their end tag.
-RAW = frozenset(["script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "title", "textarea"])
+#: Elements whose content is not shown as text, up to their end tag (a title is text inside a drawing).
+RAW = frozenset(["script", "style", "noscript", "template", "iframe", "object", "canvas", "audio", "video", "title", "textarea", "annotation", "annotation-xml"])
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
 #: Elements that run inside a block; all others part blocks.
-INLINE = frozenset(["a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"])
-#: Elements that hold no content whatever is in them.
-APART = frozenset(["nav", "aside", "footer", "form", "button", "select", "dialog", "menu", "fieldset", "head"])
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mspace mstyle semantics svg g text tspan path title desc".split()
+)
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 BODY = frozenset(["article", "main"])
-#: Words of class, id and role attributes.
-APART_WORDS = frozenset(["ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "alert", "alertdialog", "banner", "breadcrumb", "breadcrumbs", "byline", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "dialog", "disclaimer", "footer", "gdpr", "header", "hidden", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pager", "pagination", "paywall", "popup", "promo", "promotion", "recommended", "related", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "toc", "toolbar", "topbar", "widget"])
-COMMENT_WORDS = frozenset(["comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond", "responses"])
-BODY_WORDS = frozenset(["article", "body", "content", "entry", "main", "post", "story", "text"])
+
+#: Log-odds of content that a tag gives for each block inside its element.
+TAGS = {"article": 2.8, "main": 2.8, "nav": -3.0, "aside": -3.0, "footer": -3.0, "header": -2.5, "head": -3.0, "menu": -3.0, "dialog": -3.0, "form": -2.8, "fieldset": -2.8, "button": -2.8, "select": -2.8}
+#: Log-odds that words of class, id and role attributes give; of several the least counts.
+WORDS = (
+    (-4.0, "comment comments commentlist disqus replies respond responses"),
+    (-3.0, "ad ads adv advert adverts advertisement advertising alert alertdialog banner breadcrumb breadcrumbs byline complementary consent contentinfo cookie cookies copyright dialog disclaimer"),
+    (-3.0, "footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination paywall popup promo promotion recommended reply share sharing"),
+    (-3.0, "sidebar signup social sponsor sponsored subscribe subscription tags toc toolbar topbar"),
+    (-1.5, "header hidden search"),
+    (-1.0, "discussion related"),
+    (1.5, "article body content entry main post story text"),
+)
+WORD_ODDS = {word: odds for odds, words in reversed(WORDS) for word in words.split()}
+#: From here on words or tags name something that is no part of an article even if it stands in one.
+FOREIGN = -2.0
+#: Reader comments: no share of a page's text makes them its article.
+COMMENTS = -4.0
+#: A form, sidebar or the like that holds so much of a page's plain text is a wrapper round the page.
+WRAPPER_SHARE = 0.6
 
 #: A comment or declaration; a tag; a tag with a quote that does not end, or that the next one or the page's end cuts off. Loops never give back
 #: what they took, so a broken page is read in one pass.
@@ -43,61 +64,93 @@ ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^
 NAME = re.compile(r"[a-z]+")
 NO_SPACE = re.compile(r"\S")
 
-#: Log-odds that a block is content, by where it stands and what it looks like (fixed weights: pages carry no labels to learn from).
-WEIGHTS = {"bias": -1.0, "body": 4.0, "likely": 1.5, "apart": -6.0, "sealed": -9.0, "links": -3.0, "length": 0.45, "stop": 0.6, "heading": 0.5, "item": -0.6, "notice": -3.0}
-#: Cost of different labels: for blocks that follow each other below one element or not, and for the nearest earlier block below the same element.
-NEXT_SAME, NEXT_OTHER, SIBLING = 0.8, 0.3, 0.4
+#: Log-odds that a block is content by its text: to begin with, by length, closing sign, shares of linked letters and of odd signs, few words, tag.
+BIAS, LENGTH, STOP, LINKED, ODD, FEW, PARAGRAPH, HEADING, ITEM, COPYRIGHT = -0.6, 0.55, 0.5, -1.6, -1.0, -0.3, 0.3, 0.4, -0.1, -1.5
+ODD_SIGN = re.compile(r"[^\w\s.,;:!?'\"()’”“»«-]")
+#: What a page without markup has for each block.
+PLAIN = 1.0
+#: Costs of different labels: of a block and its element; of an element and the one around it, for each block inside, if they are parts of one
+#: text, and if the one around may well hold different things; of two blocks in a row.
+TO_ELEMENT, TO_PARENT, TO_PLACE, TO_NEXT = 2.4, 1.6, 0.25, 0.2
+#: Elements that hold the parts of one text; so do all inside an article that are not foreign to it.
+LEAVES = HEADINGS | frozenset(["p", "li", "dt", "dd", "td", "th", "pre", "caption", "figcaption"])  # with one block they are that block
+TEXT_PARTS = frozenset(["p", "ul", "ol", "dl", "li", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "blockquote", "pre", "figure", "section", "hgroup"])
+
+
+@dataclass
+class Element:
+    tag: str
+    parent: int
+    odds: float  # what its tag and words say
+    blocks: int = 0  # inside, at any depth
+    branches: int = 0  # blocks and elements with blocks right below
+    letters: int = 0  # not linked, inside
+    body: bool = False  # whether an article or main element is inside
+    joined: bool = False  # whether it and the element around are parts of one text
 
 
 @dataclass
 class Block:
     text: str
-    parent: int
-    score: float
+    element: int
+    odds: float
+    letters: int  # not linked
     content: bool = False
 
 
-def zone_of(tag: str, attributes: str, above: str) -> str:
-    """What an element says of the text in it: body, likely, plain, apart, or sealed (apart, and nothing inside can tell otherwise)."""
-    if above == "sealed" or tag in APART:
-        return "sealed"
-    words: set[str] = set()
-    for found in ATTRIBUTE.finditer(attributes) if attributes else ():
+def shown(attributes: str) -> bool:
+    """Whether an element with these attributes is shown."""
+    for found in ATTRIBUTE.finditer(attributes):
         name, value = found[1].lower(), (found[2] or "").strip("\"'").lower()
         if name == "hidden" and not found[2] or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return "sealed"
-        if name in ("class", "id", "role"):
-            words.update(NAME.findall(value))
-    if words & COMMENT_WORDS:
-        return "sealed"
-    if tag in ("html", "body"):
-        return above
-    if tag in BODY:
-        return "body"
-    if tag == "header":
-        return above if above == "body" else "apart"
-    if words & APART_WORDS and not (tag not in INLINE and words & {"main", "article"}):
-        return "apart"
-    if words & BODY_WORDS and above == "plain":
-        return "likely"
-    return above
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order, each with its log-odds of being content."""
-    found: list[Block] = []
-    stack: list[tuple[str, str, int]] = [("", "plain", 0)]  # tag, zone, number of the nearest parting element
+            return False
+    return True
+
+
+def odds_of(tag: str, attributes: str) -> float:
+    """What a tag and the words of its class, id and role say of each block inside."""
+    words: set[str] = set()
+    for found in ATTRIBUTE.finditer(attributes) if attributes and tag not in ("html", "body") else ():
+        if found[1].lower() in ("class", "id", "role"):
+            words.update(NAME.findall((found[2] or "").lower()))
+    said = [WORD_ODDS[w] for w in words if w in WORD_ODDS]
+    by_words = min(said, default=0.0)
+    by_tag = TAGS.get(tag, 0.0)
+    return min(by_words, by_tag) if min(by_words, by_tag) < 0 else max(by_words, by_tag)
+
+
+def text_odds(text: str, tag: str, link_share: float) -> float:
+    z = BIAS + LENGTH * min(math.log1p(len(text) / 20), 3.5) + LINKED * link_share + ODD * len(ODD_SIGN.findall(text)) / len(text)
+    if text[-1] in ".!?:\"'»”…":
+        z += STOP
+    elif text.count(" ") < 2:
+        z += FEW
+    if tag in HEADINGS:
+        z += HEADING
+        z += HEADING * (tag == "h1")
+    elif tag == "p":
+        z += PARAGRAPH
+    elif tag in ("li", "td", "th", "dt", "dd"):
+        z += ITEM
+    if text[0] == "©" or text[:9].lower() == "copyright":
+        z += COPYRIGHT
+    return z
+
+
+def parsed(page: str) -> tuple[list[Element], list[Block]]:
+    """The elements of a page, each after the one around it (the page itself first), and its blocks in order."""
+    elements, blocks = [Element("", 0, 0.0)], []
+    stack: list[tuple[str, int]] = [("", 0)]  # tag, number of the nearest parting element
     texts: list[str] = []
-    letters = linked = elements = 0
-    links = 0
+    letters = linked = links = drawing = 0
 
     def close() -> None:
         nonlocal letters, linked
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                tag = next((t for t, _, _ in reversed(stack) if t not in INLINE), "")
-                found.append(Block(text, stack[-1][2], score_of(text, tag, stack[-1][1], linked / max(1, letters))))
+                number = stack[-1][1]
+                blocks.append(Block(text, number, text_odds(text, elements[number].tag, linked / max(1, letters)), letters - linked))
             texts.clear()
         letters = linked = 0
 
@@ -128,16 +181,19 @@ def blocks_of(page: str) -> list[Block]:
                 close()
             if name == "a" and links:
                 links -= 1
+            if name == "svg" and drawing:
+                drawing -= 1
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == name:
-                    if any(zone != stack[depth - 1][1] for _, zone, _ in stack[depth:]):
+                    if stack[-1][1] != stack[depth - 1][1]:
                         close()
                     del stack[depth:]
                     break
                 if name in INLINE and stack[depth][0] not in INLINE:
                     break  # an inline end tag does not close a block
             continue
-        if name in RAW:
+        hidden = bool(attributes) and name not in VOID and name not in ("html", "body") and not attributes.endswith("/") and not shown(attributes)
+        if name in RAW and not (name == "title" and drawing):
             ended = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
             at = ended.end() if ended else end
             continue
@@ -145,11 +201,12 @@ def blocks_of(page: str) -> list[Block]:
             close()
         if name in VOID or attributes.endswith("/"):
             continue
-        zone = zone_of(name, attributes, stack[-1][1])
-        if zone != stack[-1][1]:
+        odds = odds_of(name, attributes)
+        parts = name not in INLINE or odds <= FOREIGN or hidden
+        if parts and name in INLINE:
             close()
-        elements += name not in INLINE
         links += name == "a"
+        drawing += name == "svg"
         if name == "p":  # a paragraph ends where the next begins
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == "p":
@@ -157,24 +214,40 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if stack[depth][0] not in INLINE:
                     break
-        # blocks hang below the element around the paragraph, heading or item that holds them
-        parent = stack[-1][2] if name in INLINE or name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6") else elements
-        stack.append((name, zone, parent))
+        if parts:
+            around = stack[-1][1]
+            elements.append(Element(name, around, -math.inf if hidden or elements[around].odds == -math.inf else odds))
+        stack.append((name, len(elements) - 1 if parts else stack[-1][1]))
     close()
-    return found
-
-
-def score_of(text: str, tag: str, zone: str, link_share: float) -> float:
-    z = WEIGHTS["bias"] + WEIGHTS.get(zone, 0.0) + WEIGHTS["links"] * link_share + WEIGHTS["length"] * math.log1p(len(text) / 20)
-    if text[-1] in ".!?:\"'»”…":
-        z += WEIGHTS["stop"]
-    if tag in ("h1", "h2", "h3"):
-        z += WEIGHTS["heading"]
-    elif tag in ("li", "td", "th", "dt", "dd"):
-        z += WEIGHTS["item"]
-    if zone != "body" and (text[0] == "©" or text[:9].lower() == "copyright"):
-        z += WEIGHTS["notice"]
-    return z
+    return elements, [b for b in blocks if elements[b.element].odds != -math.inf]
+
+
+def weighed(elements: list[Element], blocks: list[Block]) -> None:
+    """Counts what is inside each element, and takes back the odds of those that stand round the article or, as articles, in foreign parts."""
+    for b in blocks:
+        own = elements[b.element]
+        own.blocks += 1
+        own.branches += 1
+        own.letters += b.letters
+    for k in range(len(elements) - 1, 0, -1):
+        e = elements[k]
+        around = elements[e.parent]
+        around.blocks += e.blocks
+        around.branches += e.blocks > 0
+        around.letters += e.letters
+        around.body |= e.body or e.blocks > 0 and e.tag in BODY and e.odds > 0
+    page = elements[0]
+    page.odds = PLAIN if len(elements) == 1 else 0.0
+    inside, foreign = [False] * len(elements), [False] * len(elements)
+    for k, e in enumerate(elements[1:], 1):
+        wraps = e.body or not page.body and e.odds > COMMENTS and e.letters > WRAPPER_SHARE * page.letters
+        if e.odds < 0 and wraps or e.tag == "header" and inside[e.parent] and e.odds == TAGS["header"]:
+            e.odds = 0.0
+        if e.odds > 0 and foreign[e.parent]:
+            e.odds = 0.0
+        e.joined = FOREIGN < e.odds <= 0 and (inside[e.parent] or e.tag in TEXT_PARTS)
+        inside[k] = inside[e.parent] or e.odds > 0
+        foreign[k] = foreign[e.parent] or e.odds <= FOREIGN
 
 
 def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -250,17 +323,35 @@ def flow_sides(z: list[float], nodes: list[int], near: list[dict[int, float]]) -
                 level[u] = -1  # no way on from here in this round
 
 
+def graph(elements: list[Element], blocks: list[Block]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Scores and edges of the cut: the blocks first, then the elements that say something or hold more than one thing. What hangs in
+    others is tied to the node above by the least tie on the way."""
+    scores, edges, node, tie = [b.odds for b in blocks], [], [-1] * len(elements), [TO_ELEMENT] * len(elements)
+    for k, e in enumerate(elements):
+        up = node[e.parent] if k else -1
+        way = min(TO_PARENT if e.joined else TO_PLACE, tie[e.parent])
+        if not e.blocks or not e.odds and e.branches < 2:
+            node[k], tie[k] = up, tie[e.parent] if e.tag in LEAVES else way
+            continue
+        node[k] = len(scores)
+        scores.append(e.odds * e.blocks)
+        if up >= 0:
+            edges.append((up, node[k], way * e.blocks))
+    for i, b in enumerate(blocks):
+        if node[b.element] >= 0:
+            edges.append((node[b.element], i, tie[b.element]))
+        if i:
+            edges.append((i - 1, i, TO_NEXT))
+    return scores, edges
+
+
 def labelled(page: str | None) -> list[Block]:
     """The blocks of a page with their labels."""
-    blocks = blocks_of(page) if page else []
-    edges, last = [], {}
-    for i, block in enumerate(blocks):
-        if i:
-            edges.append((i - 1, i, NEXT_SAME if blocks[i - 1].parent == block.parent else NEXT_OTHER))
-        if (before := last.get(block.parent)) is not None and before != i - 1:
-            edges.append((before, i, SIBLING))
-        last[block.parent] = i
-    for block, content in zip(blocks, minimum_cut([b.score for b in blocks], edges), strict=True):
+    if not page:
+        return []
+    elements, blocks = parsed(page)
+    weighed(elements, blocks)
+    for block, content in zip(blocks, minimum_cut(*graph(elements, blocks)), strict=False):
         block.content = content
     return blocks
 
@@ -273,7 +364,7 @@ def with_main_text(pages: DataFrame, page: str = "html", out: str = "text") -> D
     """``pages`` with the main text of each whole page as column ``out``: content blocks in page order, joined by a line feed.
 
     Character references are decoded, white space in a block becomes one space. Null, empty and textless pages give an empty text;
-    broken markup is read as far as it goes; repeated rows give the same; an empty table stays empty; other columns pass
+    broken markup is read as far as it goes, very long pages whole; repeated rows give the same; an empty table stays empty; other columns pass
     through (one named ``out`` is replaced). No shuffle.
     """
 

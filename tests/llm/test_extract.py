@@ -1,7 +1,10 @@
+import html
 import itertools
 import random
+import re
 
 from cutloom.llm import extract
+from cutloom.tables import table
 
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><h1>Site name</h1></header><div id="cookie-notice">We use cookies. Accept them all.</div><nav><a href=x>Home</a></nav>
 <div class="layout"><div class="content"><h2>Story title</h2><p class=byline>By someone</p><p>First paragraph of the <b>story</b> with an &eacute;t&eacute; and a <a href="x">link</a>, long enough
@@ -37,6 +40,60 @@ def test_minimum_cut_is_minimal():
         assert abs(cost(extract.minimum_cut(z, edges)) - min(map(cost, itertools.product([0, 1], repeat=n)))) < 1e-9
 
 
+LINE = "A paragraph of the story that says something at some length, and then goes on."
+LINKS = "<a href=a>Home</a> <a href=b>News</a>"
+WHOLE = {
+    f'<form id="aspnetForm"><nav>{LINKS}</nav><div><h1>Title</h1><p>{LINE}</p><p>Short.</p></div><footer>&copy; x</footer></form>': ["Title", LINE, "Short."],
+    f'<form id="aspnetForm"><nav>{LINKS}</nav><article><h1>Title</h1><p>{LINE}</p><p>Short.</p></article><footer>&copy; x</footer></form>': ["Title", LINE, "Short."],
+    f'<div class="elementor-widget"><h1>Title</h1></div><div class="elementor-widget"><p>{LINE}</p><p>Short</p></div><div class="sidebar"><p>Read our other things too.</p></div>': ["Title", LINE, "Short"],
+    f'<article><h1>Title</h1><p>{LINE}</p><section class="related-work"><h2>Related work</h2><p>{LINE}</p><p>Few did.</p></section></article>': ["Title", LINE, "Related work", LINE, "Few did."],
+    f'<article><h1>Title</h1><p>{LINE}</p><div class="discussion"><h2>Discussion</h2><p>{LINE}</p><p>Yes</p></div></article>': ["Title", LINE, "Discussion", LINE, "Yes"],
+    "<article><p>We have <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <svg><title>a</title><text>b</text></svg> here.</p></article>": ["We have x=2 and ab here."],
+    f'<div class="content has-sidebar"><div class="post"><h1>Title</h1><p>{LINE}</p></div><div class="sidebar"><p>Buy our things now, they are good.</p></div></div>': ["Title", LINE],
+    f"<div>{LINKS}</div><div><h1>Title</h1><p>{LINE}</p><p>No</p><p>{LINE}</p></div><div><a href=c>Imprint</a></div>": ["Title", LINE, "No", LINE],
+    f'<article><h1>Title</h1><p>Tiny one.</p></article><div id="comments"><div class="comment"><p>{LINE * 4}</p></div></div>': ["Title", "Tiny one."],
+    f'<article><h1>Title</h1><ul>{"<li>thing</li>" * 30}</ul><ul>{"<li><a href=q>Other story</a></li>" * 8}</ul><aside><p>{LINE}</p></aside><p><a href=x>Download all of it</a></p></article>': ["Title", *["thing"] * 30, "Download all of it"],
+}
+
+
+def test_whole_articles_and_nothing_else():
+    for page, lines in WHOLE.items():
+        assert extract.main_text(f"<html><body>{page}</body></html>").split("\n") == lines
+
+
+def alone(page):
+    """The text by the blocks' and elements' own odds, without any edge."""
+    elements, blocks = extract.parsed(page)
+    return "\n".join(b.text for b in blocks if b.odds + elements[b.element].odds >= 0)
+
+
+def test_the_cut_decides():
+    flips = [0, 0]
+    for page, lines in WHOLE.items():
+        for block in extract.labelled(page):
+            flips[block.content] += block.content != (block.odds >= 0)
+    assert min(flips) > 3  # to boilerplate, to content
+    assert sum(alone(page).split("\n") == lines for page, lines in WHOLE.items()) < len(WHOLE) / 2
+
+
+def test_given_pages_are_their_articles(spark, sf):
+    pages = table(spark, sf, "pages").collect()
+    flips = 0
+    for row in pages:
+        inside = re.search(r"<article>(.*)</article>", row["html"], re.S)[1]
+        parts = re.split(r"<[^>]*>", re.sub(r"</?(?:b|i|em|a)\b[^>]*>", "", inside))
+        want = [" ".join(html.unescape(x).split()) for x in parts]
+        assert extract.main_text(row["html"]) == "\n".join(filter(None, want))
+        flips += sum(b.content != (b.odds >= 0) for b in extract.labelled(row["html"]))
+    assert flips > len(pages) / 2
+
+
+def test_large_pages():
+    parts = "".join(f"<p>{LINE}</p><p>No {i}</p>" for i in range(2000))
+    assert extract.main_text(f"<nav>{LINKS * 50}</nav><div>{parts}</div>").count("\n") == 3999
+    assert extract.main_text("<div>" * 5000 + LINE) == LINE
+
+
 def test_report(spark):
     rows = [(1, "u", PAGE), (2, None, None), (None, "u", ""), (1, "u", PAGE)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars").repartition(3)
