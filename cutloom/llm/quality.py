@@ -17,6 +17,8 @@ from cutloom.llm.arrays import WORD, at, indices, let, run_starts
 
 BUCKETS = 10_000
 THRESHOLD = -0.3
+#: Bits of the Bloom filter of trusted ids: 8 MB to every executor, whatever the input.
+FILTER_BITS = 1 << 26
 MIN_WORDS = 50
 #: More repeated words than this share (in percent) fail.
 MAX_REPEATED = 50
@@ -33,20 +35,42 @@ def ngrams(text: Column, buckets: int = BUCKETS) -> Column:
     return let(tokens, lambda t: F.concat(F.transform(t, lambda x: bucket(x)), F.transform(indices(F.size(t) - 1), lambda i: bucket(at(t, i), at(t, i + 1)))))
 
 
+def bloom_bits(ids: DataFrame) -> DataFrame:
+    """(page, bits) of a Bloom filter of FILTER_BITS bits over ``ids`` (doc_id): at most FILTER_BITS / 32,768 rows of 4 kB, whatever the input."""
+    places = ids.select(F.explode(F.array(*filter_places(F.col("doc_id")))).alias("place")).withColumn("page", F.expr("place div 32768"))
+    # places are moved, not each task's bits of all pages
+    return places.repartition("page").groupBy("page").agg(F.expr("bitmap_construct_agg(place % 32768)").alias("bits"))
+
+
+def filter_places(doc_id: Column) -> list[Column]:
+    """The two bits of an id."""
+    return [F.pmod(F.xxhash64(doc_id, F.lit(i)), F.lit(FILTER_BITS)) for i in (1, 2)]
+
+
+def maybe_trusted(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``documents`` (doc_id, text) whose id may be among ``ids``: all that are, and few others while the filter is not full."""
+    pages, found = F.broadcast(bloom_bits(ids)), documents
+    for i, place in enumerate(filter_places(F.col("doc_id"))):
+        found = found.withColumn("_place", place)
+        found = found.join(pages.select(F.col("page").alias("_page"), F.col("bits").alias("_bits")), F.expr("_place div 32768") == F.col("_page"))
+        byte = F.conv(F.hex(F.substring("_bits", (F.expr("(_place % 32768) div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        found = found.where(F.getbit(byte, F.pmod("_place", F.lit(8)).cast("int")) == 1).select(*documents.columns)
+    return found
+
+
 def log_ratios(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """The log ratio of each bucket: ``trusted`` (doc_id) documents against all.
 
-    All documents and all trusted ids count. ``buckets`` numbers come to the driver, whatever the input. All
-    zero where no document is trusted.
+    All documents and all trusted ids count. All documents are counted where they lie; for the trusted counts only texts that pass a Bloom filter
+    of the trusted ids are moved, to be merged with the ids, which decide. ``buckets`` numbers come to the driver, whatever the
+    input. All zero where no document is trusted. The counts are taken when the function is called.
     """
-    known = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
-    # merged whatever the size of `known`, which grows with the documents: texts are read and moved once for both counts
+    known = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
     text = documents.select("doc_id", "text").where("text IS NOT NULL")
-    named = text.where("doc_id IS NOT NULL").join(known.hint("merge"), "doc_id", "left")
-    text = named.unionByName(text.where("doc_id IS NULL").withColumn("trusted", F.lit(None).cast("boolean")))  # not all into one task
-    found = text.select(F.explode(ngrams(F.col("text"), buckets)).alias("b"), "trusted").groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("target")).collect()
-    counts = {r["b"]: r for r in found}
-    raw, target = ([counts[b][name] if b in counts else 0 for b in range(buckets)] for name in ("raw", "target"))
+    counted = lambda df: {r["b"]: r["count"] for r in df.select(F.explode(ngrams(F.col("text"), buckets)).alias("b")).groupBy("b").count().collect()}
+    raw_counts = counted(text)
+    target_counts = counted(maybe_trusted(text.where("doc_id IS NOT NULL"), known).join(known.hint("merge"), "doc_id", "left_semi"))
+    raw, target = ([counts.get(b, 0) for b in range(buckets)] for counts in (raw_counts, target_counts))
     if not sum(target):
         return [0.0] * buckets
     # the trusted counts are smoothed towards the corpus by one count a bucket: without evidence the ratio is 0
@@ -78,7 +102,7 @@ def quality_report(documents: DataFrame, trusted: DataFrame, threshold: float =
 
     ``trusted`` has the doc_ids of trusted documents (null and repeated ids count once or not at all). A null text
     counts as empty and fails the base rules, as do texts under MIN_WORDS words. A score equal to the threshold is kept.
-    Rows with one doc_id each give a row; an empty table gives an empty result; other columns are ignored.
+    Rows with one doc_id each give a row, very long texts are read whole; an empty table gives an empty result; other columns are ignored.
     """
     ratios = log_ratios(documents, trusted, buckets)
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
