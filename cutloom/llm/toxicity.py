@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,8 @@ from cutloom.llm.common import ChunkCache
 
 #: Labelled documents that the model is fitted on at most; fewer if there are fewer.
 SAMPLE_DOCS = 8_000
+#: Characters that these documents have together at most; those that come after in the order of the sample are not fitted.
+SAMPLE_CHARS = 100_000_000
 HASH_BITS = 18
 #: Beginnings of a word that are features, in characters.
 SHORTEST, LONGEST = 3, 10
@@ -129,13 +131,22 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
-    """The model fitted on at most ``sample`` labelled documents outside the held-out fold, chosen by a hash of their id."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) != HELD_OUT)
-    chosen = known.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)  # a bounded table
+def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """The model fitted on at most ``sample`` labelled documents outside the held-out fold, chosen by a hash of their id, as many of them as have
+    ``sample_chars`` characters together at most.
+
+    Rows with a null doc_id, text or label are no examples; of repeated rows each is one; ties of the hash go by doc_id, text and label. Without
+    examples of both labels the model gives every document the base rate. Whole texts are fitted. The model is fitted when the function is called.
+    """
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) != HELD_OUT).select("doc_id", "toxic")
+    there = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id").distinct()
+    chosen = known.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)  # a bounded table
     rows = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    # a doc_id may have more rows: the sample holds them up to its bound, in the one partition that limit() leaves
-    held = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text", "toxic")
+    # bounded in rows, then over those in characters
+    order = ["_hash", "doc_id", "text", "toxic"]
+    first = rows.withColumn("_hash", F.xxhash64("doc_id")).where(F.char_length("text") <= sample_chars).orderBy(*order).limit(sample)
+    up_to = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = first.withColumn("_chars", F.sum(F.char_length("text")).over(up_to)).where(F.col("_chars") <= sample_chars).select("text", "toxic")
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = list(batches)
@@ -144,7 +155,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) ->
         used = np.flatnonzero(model.weights)
         yield pa.RecordBatch.from_pydict({"feature": pa.array([used.tolist()], pa.list_(pa.int32())), "weight": pa.array([model.weights[used].tolist()], pa.list_(pa.float64())), "bias": [model.bias]})
 
-    # one task fits the model; its weights, at most 2 ** HASH_BITS, come to the driver
+    # one task fits the model to a sample of bounded size; its weights, at most 2 ** HASH_BITS, come to the driver
     found = held.coalesce(1).mapInArrow(fitted, "feature array<int>, weight array<double>, bias double").first()
     weights = np.zeros(1 << HASH_BITS)
     if found is None:
