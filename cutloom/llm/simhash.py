@@ -16,11 +16,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cutloom.llm.common import written
+from cutloom.llm.common import free_names, written
 
 SEED = 42
 #: Fingerprints that one group of the trie join gets about.
@@ -29,6 +29,12 @@ GROUP_ROWS = 200_000
 PAIRS_AT_ONCE = 1_000_000
 #: Linked pairs that are held before they are folded into stars.
 LINKS_AT_ONCE = 2_000_000
+#: Pairs of values below a pair of nodes up to which they are compared without going down.
+SMALL = 16
+#: Fingerprints of one block value that one task gets; more are dealt by further bits, MOST_BELOW at most.
+CROWD, MOST_BELOW = 50_000, 10
+#: Pairs of trie nodes: a0, a1, b0, b1 (ranges of sorted values) and the bits in which they differ.
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
@@ -72,46 +78,55 @@ def stars(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
         label = after
 
 
-def trie_links(values: np.ndarray, exact_bits: int, budget: int) -> np.ndarray:
-    """The star label of each of the distinct, sorted unsigned ``values``, linked where they share the
-    top ``exact_bits`` bits and differ in at most ``budget`` others."""
+def trie_links(values: np.ndarray, exact_bits: int, budget: int, starts: Pairs | None = None) -> np.ndarray:
+    """The star label of each of the distinct, sorted unsigned ``values``, linked where they differ in at most ``budget`` bits.
+
+    ``starts`` are pairs of trie nodes at depth ``exact_bits`` (without them each node and itself): ranges [a0, a1) and [b0, b1) of values, and
+    the bits in which the two nodes differ. The join goes down from them level by level, and prunes a pair of nodes when its bits
+    exceed the budget; where few values are left below a pair they are compared at once.
+    """
     n = len(values)
-    tops = values >> np.uint64(64 - exact_bits)
-    starts = np.flatnonzero(np.r_[True, tops[1:] != tops[:-1]])
-    ends = np.r_[starts[1:], n]
-    many = ends - starts > 1
-    starts, ends = starts[many], ends[many]
     label = np.arange(n)
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def keep(left: np.ndarray, right: np.ndarray) -> None:
-        nonlocal label
-        if len(left):
-            held.append((left, right))
-        if sum(len(x) for x, _ in held) > LINKS_AT_ONCE:
-            fold()
-
     def fold() -> None:
         nonlocal label
         held.append((np.arange(n), label))
         label = stars(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), n)
         held.clear()
 
+    def keep(left: np.ndarray, right: np.ndarray) -> None:
+        near = np.bitwise_count(values[left] ^ values[right]) <= budget
+        if near.any():
+            held.append((left[near], right[near]))
+        if sum(len(x) for x, _ in held) > LINKS_AT_ONCE:
+            fold()
+
+    def all_of(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> None:
+        """Compares every value of each small pair of nodes."""
+        size = (a1 - a0) * (b1 - b0)
+        which = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+        wide = (b1 - b0)[which]
+        left, right = a0[which] + at // wide, b0[which] + at % wide
+        own = (a0 == b0)[which]
+        once = ~own | (left < right)
+        keep(left[once], right[once])
+
     zeros: dict[int, np.ndarray] = {}
-    todo = [(exact_bits, starts, ends, starts, ends, np.zeros(len(starts), np.int64))]
+    todo = [(exact_bits, *(starts or pairs_of_nodes(values, exact_bits, 0)))]
     while todo:
         depth, a0, a1, b0, b1, bits = todo.pop()
         if len(a0) > PAIRS_AT_ONCE:
             half = len(a0) // 2
             todo += [(depth, *(x[:half] for x in (a0, a1, b0, b1, bits))), (depth, *(x[half:] for x in (a0, a1, b0, b1, bits)))]
             continue
-        # a pair of leaves needs no more levels: count what is left of it at once
-        leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
-        left, right = a0[leaf], b0[leaf]
-        near = (left != right) & (np.bitwise_count(values[left] ^ values[right]) <= budget)
-        keep(left[near], right[near])
-        a0, a1, b0, b1, bits = (x[~leaf] for x in (a0, a1, b0, b1, bits))
-        if depth == 64 or not len(a0):
+        # few values below: compare them at once
+        small = (a1 - a0) * (b1 - b0) <= SMALL
+        if small.any():
+            all_of(*(x[small] for x in (a0, a1, b0, b1)))
+        a0, a1, b0, b1, bits = (x[~small] for x in (a0, a1, b0, b1, bits))
+        if not len(a0):
             continue
         if depth not in zeros:
             zeros[depth] = np.r_[0, np.cumsum((values >> np.uint64(63 - depth)) & np.uint64(1) == 0)]
@@ -135,21 +150,51 @@ def trie_links(values: np.ndarray, exact_bits: int, budget: int) -> np.ndarray:
     return label
 
 
-def links(fingerprints: DataFrame, n: int, budget: int = 3, fp: str = "fp") -> DataFrame:
+def pairs_of_nodes(values: np.ndarray, depth: int, mask: int) -> Pairs:
+    """Where the trie join of sorted ``values`` starts: at ``depth``, each node with itself or, with a ``mask``, every two nodes whose prefixes differ by it."""
+    tops = values >> np.uint64(64 - depth)
+    starts = np.flatnonzero(np.r_[True, tops[1:] != tops[:-1]])
+    ends = np.r_[starts[1:], len(values)]
+    if not mask:
+        many = ends - starts > 1
+        starts, ends = starts[many], ends[many]
+        return starts, ends, starts, ends, np.zeros(len(starts), np.int64)
+    found = tops[starts]
+    partner = found ^ np.uint64(mask)
+    at = np.minimum(np.searchsorted(found, partner), len(found) - 1)
+    both = (found[at] == partner) & (found < partner)
+    return starts[both], ends[both], starts[at[both]], ends[at[both]], np.full(both.sum(), mask.bit_count())
+
+
+def links(fingerprints: DataFrame, n: int, budget: int = 3, fp: str = "fp", crowd: int = CROWD) -> DataFrame:
     """Edges (u, v) that connect exactly the distinct ``fp`` values (longs) that chains of links of at most
-    ``budget`` differing bits connect. ``n``: how many values there are about."""
+    ``budget`` differing bits connect. ``n``: how many values there are about.
+
+    A block value with more than ``crowd`` fingerprints is no one task's: the trie is followed for some bits more before rows are
+    dealt, and each pair of nodes there that is within the budget is a group of its own.
+    """
     blocks = budget + 1
     width = 64 // blocks
     groups = max(1, -(-n * blocks // GROUP_ROWS))
     turned = F.explode(F.array(*(F.struct(F.lit(i).alias("turn"), F.when(F.lit(i == 0), F.col(fp)).otherwise(F.shiftleft(fp, i * width).bitwiseOR(F.shiftrightunsigned(fp, 64 - i * width))).alias("turned")) for i in range(blocks))))
-    dealt = fingerprints.select(turned.alias("x")).select("x.*")
-    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("turn", F.shiftrightunsigned("turned", 64 - width)), F.lit(groups)))
+    dealt = fingerprints.select(turned.alias("x")).select("x.*").withColumn("top", F.shiftrightunsigned("turned", 64 - width))
+    # at most ``blocks`` times 2 ** ``width`` counts; only crowded ones are kept
+    counts = dealt.groupBy("turn", "top").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    deeper = F.least(F.lit(MOST_BELOW), F.ceil(F.log2(F.col("n") / F.lit(crowd))) + 1).cast("int")
+    dealt = dealt.join(F.broadcast(counts.select("turn", "top", deeper.alias("deeper"))), ["turn", "top"], "left")
+    dealt = dealt.withColumn("below", F.coalesce("deeper", F.lit(0)))
+    masks = F.array(*(F.lit(m) for m in range(1 << MOST_BELOW) if m.bit_count() <= budget))
+    own = F.when(F.col("below") == 0, F.array(F.lit(0))).otherwise(F.filter(masks, lambda m: m < F.pow(F.lit(2.0), F.col("below"))))
+    sub = F.when(F.col("below") > 0, F.expr(f"shiftrightunsigned(turned, {64 - width} - below) & (shiftleft(1L, below) - 1)")).otherwise(F.lit(0).cast("bigint"))
+    dealt = dealt.withColumn("sub", sub).withColumn("mask", F.explode(own))
+    crowded = F.xxhash64("turn", "top", "mask", F.least("sub", F.col("sub").bitwiseXOR(F.col("mask").cast("bigint"))))
+    dealt = dealt.withColumn("group", F.when(F.col("below") == 0, F.pmod(F.xxhash64("turn", "top"), F.lit(groups))).otherwise(crowded)).select("turn", "turned", "below", "mask", "group")
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for turn, own in frame.groupby("turn"):
+        for (turn, below, mask), own in frame.groupby(["turn", "below", "mask"]):
             values = np.sort(own["turned"].to_numpy().view(np.uint64))
-            label = trie_links(values, width, budget)
+            label = trie_links(values, width + below, budget, pairs_of_nodes(values, width + below, mask))
             linked = np.flatnonzero(label != np.arange(len(values)))
             back = np.uint64(turn * width)
             whole = values if turn == 0 else (values >> back) | (values << (np.uint64(64) - back))
@@ -200,7 +245,8 @@ def near_duplicates(documents: DataFrame, budget: int = 3, width: int = 3, doc_i
     Null and wordless texts have fingerprint zero and link like others; texts of fewer than ``width`` words hash
     as one shingle; equal fingerprints are one node, so copies, however many, never make pairs. Rows with the same
     doc_id each give a row. A null doc_id is never the smallest; a group of null doc_ids alone has a null
-    component_id. An empty table gives an empty result; other columns are ignored.
+    component_id. Very long texts are read whole. An empty table gives an empty result; other columns are ignored. Fingerprints, links
+    and components are worked out, and written, when the function is called.
     """
     prints = written(with_fingerprints(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp", width).drop("text"), "fingerprints")
     linked = grouped(prints, budget)
@@ -218,14 +264,16 @@ def near_duplicates(documents: DataFrame, budget: int = 3, width: int = 3, doc_i
 
 def deduplicated(documents: DataFrame, budget: int = 3, width: int = 3) -> DataFrame:
     """One document of each group of ``near_duplicates``, with all its columns: the one with the smallest doc_id (null ids
-    last), then the smallest text hash; of equal rows one. A document is named by hashes of its id and text meanwhile."""
-    name = [F.xxhash64("doc_id", "text").alias("__k1"), F.hash("text", "doc_id").alias("__k2")]
+    last), then the smallest text hash; of equal rows one. A document is named by hashes of its id and text meanwhile.
+
+    Nulls, short and very long texts are as in ``near_duplicates``; an empty table stays empty; other columns may have any names."""
+    k1, k2 = free_names(documents, "k1", "k2")
+    name = [F.xxhash64("doc_id", "text").alias(k1), F.hash("text", "doc_id").alias(k2)]
     texts = documents.select("doc_id", "text", *name)
     prints = written(with_fingerprints(texts, "text", "fp", width).drop("text"), "fingerprints")
     # copies are one row before groups are: no fingerprint, however many documents have it, is one task's
-    low = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__k1", "__k2")).alias("x"))
+    low = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", k1, k2)).alias("x"))
     groups = low.join(grouped(prints, budget).select("fp", "root"), "fp", "left").withColumn("group", F.coalesce("root", "fp"))
-    first = groups.groupBy("group").agg(F.min("x").alias("x")).select("x.__k1", "x.__k2")
-    same = Window.partitionBy("__k1", "__k2").orderBy("__k1")
-    rows = documents.select("*", *name).join(first, ["__k1", "__k2"], "left_semi").withColumn("__n", F.row_number().over(same))
-    return rows.where("__n = 1").select(*documents.columns)
+    first = groups.groupBy("group").agg(F.min("x").alias("x")).select(f"x.{k1}", f"x.{k2}")
+    # equal rows are one before they are moved
+    return documents.select("*", *name).join(first, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*documents.columns)

@@ -88,3 +88,22 @@ def test_trie_join_loses_no_link(spark, seed, monkeypatch):
         mine.setdefault(roots.get(signed, signed), set()).add(signed)
         plain.setdefault(g, set()).add(signed)
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, plain.values()))
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_crowded_blocks_lose_no_link(spark, seed):
+    """All values share a block, so that it is dealt by further bits; chains of small steps go across them."""
+    pick = np.random.default_rng(seed)
+    base = pick.integers(0, 2**48, 150, dtype=np.uint64)
+    near = base.copy()
+    for _ in range(3):
+        near = np.concatenate([near, base ^ (np.uint64(1) << pick.integers(30, 48, len(base), dtype=np.uint64)) ^ (np.uint64(1) << pick.integers(0, 48, len(base), dtype=np.uint64))])
+    values = np.unique(near | (np.uint64(0xABCD) << np.uint64(48)))
+    frame = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(frame, len(values), crowd=10)).collect()}
+    mine, plain = {}, {}
+    for v, g in zip(values, plain_groups([int(x) for x in values]), strict=True):
+        signed = int(np.uint64(v).view(np.int64))
+        mine.setdefault(roots.get(signed, signed), set()).add(signed)
+        plain.setdefault(g, set()).add(signed)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, plain.values()))
