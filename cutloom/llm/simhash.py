@@ -33,6 +33,8 @@ LINKS_AT_ONCE = 2_000_000
 SMALL = 16
 #: Fingerprints of one block value that one task gets; more are dealt by further bits, MOST_BELOW at most.
 CROWD, MOST_BELOW = 50_000, 10
+#: Tasks that the fingerprints of one group are dealt over where they meet the group's row.
+SALTS = 16
 #: Pairs of trie nodes: a0, a1, b0, b1 (ranges of sorted values) and the bits in which they differ.
 Pairs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -250,8 +252,9 @@ def near_duplicates(documents: DataFrame, budget: int = 3, width: int = 3, doc_i
     """
     prints = written(with_fingerprints(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp", width).drop("text"), "fingerprints")
     linked = grouped(prints, budget)
-    lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = linked.join(lows, "root").select("fp", "component_id")
+    lows = linked.groupBy("root").agg(F.min("low").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # a group may hold a third of all fingerprints: it is salted, and a left join streams the fingerprints, never the groups
+    linked = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(lows, ["root", "salt"], "left").select("fp", "component_id")
     copies = prints.groupBy("fp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     alone = copies.join(linked.select("fp"), "fp", "left_anti")
     found = prints.join(linked.union(alone).withColumn("_met", F.lit(True)), "fp", "left")
