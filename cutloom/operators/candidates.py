@@ -42,6 +42,20 @@ def within_neighbours(cuts: DataFrame, keys: list[str], edge: int, slice_width:
     return found.withColumns({"cut_start": F.greatest(F.col("start") - edge, F.col("prev_end") + pad), "cut_end": F.least(F.col("end") + edge, F.col("next_start") - pad)}).drop("prev_end", "next_start")
 
 
+def widened(cuts: DataFrame, keys: list[str], slice_width: int, edge: Column, pad: int = 20, onset: int = 30) -> DataFrame:
+    """``cuts`` (keys, start, end, id) widened by their own ``edge``: no closer than ``pad`` to the word before, and ``onset`` before the next, which is kept."""
+    found = sequence.with_neighbours(cuts, keys, slice_width)
+    return found.withColumns({"cut_start": F.greatest(F.col("start") - edge, F.col("prev_end") + pad), "cut_end": F.least(F.col("end") + edge, F.col("next_start") - onset)}).drop("prev_end", "next_start")
+
+
+def refined(cuts: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """``cuts`` (id, start, end) with cut_start and cut_end: the refined ones of ``boundaries`` (id, refined_start, refined_end) where given, and ``origin``."""
+    joined = cuts.join(boundaries, "id", "left")
+    both, none = F.col("refined_start").isNotNull() & F.col("refined_end").isNotNull(), F.col("refined_start").isNull() & F.col("refined_end").isNull()
+    origin = F.when(none, "asr").when(both, "refined").otherwise("mixed")
+    return joined.withColumns({"cut_start": F.coalesce("refined_start", "start"), "cut_end": F.coalesce("refined_end", "end"), "origin": origin}).drop("refined_start", "refined_end")
+
+
 def shared_pauses(spans: DataFrame, track: str, least: int, width: int) -> DataFrame:
     """Gaps of ``least`` or more on one track in which no other track has a span: track, start, end, id (of the span before)."""
     after = sequence.with_neighbours(spans.select(track, "start", "end", "id"), [track], 100 * width)
@@ -60,7 +74,7 @@ def answered(words: DataFrame, others: DataFrame, track: str, reach: int, width:
 
 
 def restarts(words: DataFrame, keys: list[str], k: int = 4, least: float = 0.75) -> DataFrame:
-    """Places where the ``k`` words from here on resemble the ``k`` before: keys, pos, ratio.
+    """Places where the ``k`` words from here on resemble the ``k`` before by matching blocks, the longest first: keys, pos, ratio.
 
     Words that both sides hold bound the ratio from above, so places that cannot reach it are dropped before it is computed.
     """
@@ -69,6 +83,18 @@ def restarts(words: DataFrame, keys: list[str], k: int = 4, least: float = 0.75)
     return both.where(possible >= least * k).withColumn("ratio", match_ratio("pre", "post")).where(F.col("ratio") >= least).select(*keys, "pos", "ratio")
 
 
+def restarts_in_order(words: DataFrame, keys: list[str], k: int = 4) -> DataFrame:
+    """Places where the ``k`` words from here on are the ``k`` before, or are so with one word of each left out: keys, pos, ratio (1, or 1 - 1 / k).
+
+    Words match in order, wherever they stand; ``restarts`` may find fewer. Places where the sides do not even share so many words are dropped before that is looked at.
+    """
+    less_one = lambda side: F.array(*(F.array(*(F.get(side, F.lit(j)) for j in range(k) if j != i)) for i in range(k)))
+    both = sequence.around(words, keys, k).where((F.size("pre") == k) & (F.size("post") == k))
+    both = both.where(F.size(F.filter("pre", lambda x: F.array_contains(F.col("post"), x))) >= k - 1)
+    ratio = F.when(F.col("pre") == F.col("post"), 1.0).when(F.arrays_overlap(less_one(F.col("pre")), less_one(F.col("post"))), 1 - 1 / k)
+    return both.withColumn("ratio", ratio).where("ratio IS NOT NULL").select(*keys, "pos", "ratio")
+
+
 def snapped(points: DataFrame, frames: DataFrame, reach: int, width: int) -> DataFrame:
     """``points`` (id, t) with ``snapped_t``: the frame (t, energy) of least energy within ``reach``, the earliest of equals; t itself where none is."""
     around = points.select("id", F.col("t").alias("own_t"), (F.col("t") - reach).alias("start"), (F.col("t") + reach + 1).alias("end"))

@@ -41,6 +41,34 @@ def splice_strategy(probability: Column, gap_ms: Column, in_silence: Column, spa
     )
 
 
+def single_character_guard(word: Column, foreign_near: Column, probability: Column, least: float = 0.6) -> Column:
+    """Whether a word is one character that is never cut: a foreign word is near it, or its probability is under ``least``."""
+    return (F.char_length(word) == 1) & (foreign_near | F.coalesce(probability < least, F.lit(False)))
+
+
+def inside_edges(start: Column, end: Column, duration: Column, edge: float) -> Column:
+    """Whether a cut stays out of the first and last ``edge`` of a recording."""
+    return (start >= edge) & (end <= duration - edge)
+
+
+def list_guard(kind: Column, allowed: Sequence[str], forbidden: Column, at_edge: Column) -> Column:
+    """Why a case may not be cut by a machine: its kind is not listed, it is forbidden, or it is at an edge; else open."""
+    return first_match([(~kind.isin(*allowed), "not_listed"), (forbidden, "forbidden"), (at_edge, "edge")], "open")
+
+
+def preference_triage(hard_negative: Column, target: Column) -> Column:
+    """drop a hard negative, keep a main target, leave the rest to a person."""
+    return first_match([(hard_negative, "drop"), (target, "keep")], "human_review")
+
+
+def ordered_checks(checks: Sequence[tuple[str, DataFrame]]) -> tuple[str, str | None]:
+    """(PASS, None), or (FAIL, name of the first check whose table of problems has a row). Later checks are not run."""
+    for name, problems in checks:
+        if not problems.isEmpty():
+            return "FAIL", name
+    return "PASS", None
+
+
 def artifact_risk(level_db: Column, review: float = -50, block: float = -25) -> Column:
     """OK below ``review`` dBFS, BLOCK from ``block`` on, HUMAN_REVIEW between or without a level."""
     return F.when(level_db < review, "OK").when(level_db >= block, "BLOCK").otherwise("HUMAN_REVIEW")

@@ -24,6 +24,20 @@ def label_lake(decisions: DataFrame, levels: list[str] = LEVELS, excluded: DataF
     return rolled.select(level.cast("int").alias("level"), *levels, "accept", "reject", "total", F.round(F.col("accept") / F.col("total"), 3).alias("accept_rate"))
 
 
+def leaf_cases(decisions: DataFrame, case_id: str, levels: list[str] = LEVELS) -> DataFrame:
+    """The decided cases with their leaf's accept, reject, total and accept_rate: ``case_id``, levels, counts. Null levels are 'unknown'; a row a case, so
+    no leaf's cases are gathered."""
+    rows = decisions.where("accepted IS NOT NULL").withColumns({c: F.coalesce(c, F.lit("unknown")) for c in levels})
+    leaves = rows.groupBy(*levels).agg(F.count_if("accepted").alias("accept"), F.count_if(~F.col("accepted")).alias("reject"), F.count("*").alias("total"))
+    leaves = leaves.withColumn("accept_rate", F.round(F.col("accept") / F.col("total"), 3))
+    return rows.select(*levels, case_id).join(leaves, levels)
+
+
+def bag_difference(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows that ``old`` has more often than ``new`` (change: removed) and the other way (added), each as often as that."""
+    return old.exceptAll(new).withColumn("change", F.lit("removed")).unionByName(new.exceptAll(old).withColumn("change", F.lit("added")))
+
+
 def looked_up_rate(cases: DataFrame, lake: DataFrame) -> DataFrame:
     """``cases`` (reason_key, subtype, filler_token) with rate and rate_level of the most special lake row there is."""
     part = lambda level, cols: lake.where(F.col("level") == level).select(*(F.col(c).alias(f"_{level}{c}") for c in cols), F.col("accept_rate").alias(f"_rate{level}"))

@@ -55,11 +55,9 @@ def frames(spans: DataFrame, step: int) -> DataFrame:
 
 
 def dominant(levels: DataFrame, window: str, track: str, level: str) -> DataFrame:
-    """The loudest track of each window, the first by name of equals: window, track, level."""
-    best = F.max_by(F.struct(track, level), F.struct(F.col(level), F.col("_last")))
-    # names compare backwards: of equal levels the first name wins
-    ordered = levels.withColumn("_last", F.translate(track, "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"))
-    return ordered.groupBy(window).agg(best.alias("x")).select(window, f"x.{track}", f"x.{level}")
+    """The loudest track of each window, the first by name of equals: window, track, level. A null level is the least."""
+    best = F.min_by(F.struct(track, level), F.struct(F.col(level).isNull(), -F.col(level), F.col(track)))
+    return levels.groupBy(window).agg(best.alias("x")).select(window, f"x.{track}", f"x.{level}")
 
 
 def edge_levels(cuts: DataFrame, points: DataFrame, reach: int, width: int) -> DataFrame:

@@ -26,15 +26,17 @@ def normal(name: Column) -> Column:
     return F.translate(F.lower(name), "_", "-")
 
 
-def dependency_gaps(installed: DataFrame, used: DataFrame, declared: DataFrame, aliases: DataFrame, always: DataFrame) -> DataFrame:
+def dependency_gaps(installed: DataFrame, used: DataFrame, declared: DataFrame, aliases: DataFrame, standard: DataFrame, unused_allowed: DataFrame | None = None) -> DataFrame:
     """(name, problem): installed but unused, and used but undeclared names.
 
-    ``aliases`` (import_name, package) says which package an import comes from; ``always`` (name) needs neither use nor declaration.
-    All others have a column name.
+    ``aliases`` (import_name, package) says which package an import comes from; names of the ``standard`` library need neither use nor
+    declaration, those of ``unused_allowed`` no use, but a declaration if they are used. All others have a column name.
     """
     as_package = used.join(aliases, used["name"] == aliases["import_name"], "left").select(normal(F.coalesce("package", "name")).alias("name")).distinct()
-    have, said, free = (df.select(normal(F.col("name")).alias("name")).distinct() for df in (installed, declared, always))
+    have, said, free = (df.select(normal(F.col("name")).alias("name")).distinct() for df in (installed, declared, standard))
     unused = have.join(as_package, "name", "left_anti").join(free, "name", "left_anti").withColumn("problem", F.lit("unused"))
+    if unused_allowed is not None:
+        unused = unused.join(unused_allowed.select(normal(F.col("name")).alias("name")).distinct(), "name", "left_anti")
     undeclared = as_package.join(said, "name", "left_anti").join(free, "name", "left_anti").join(have, "name", "left_semi").withColumn("problem", F.lit("undeclared"))
     return unused.union(undeclared)
 
@@ -45,6 +47,22 @@ def verdict(problems: DataFrame) -> DataFrame:
     return counts.withColumn("verdict", F.when(F.col("n_undeclared") > 0, "FAIL").when(F.col("n_unused") > 0, "WARN").otherwise("PASS"))
 
 
+def registered_paths(tools: DataFrame, columns: list[str], prefix: str) -> DataFrame:
+    """Paths (path) of a registry, one for each of ``columns`` that is given, without a leading ``prefix``."""
+    said = F.explode(F.array_compact(F.array(*columns)))
+    return tools.select(said.alias("p")).select(F.when(F.startswith("p", F.lit(prefix)), F.substring(F.col("p"), F.lit(len(prefix) + 1), F.char_length("p"))).otherwise(F.col("p")).alias("path"))
+
+
+def allowed_paths(allowlists: DataFrame) -> DataFrame:
+    """The files (path) of all buckets of allowlists (buckets: map to structs with an array ``files``)."""
+    return allowlists.select(F.explode(F.map_values("buckets")).alias("b")).select(F.explode("b.files").alias("path")).distinct()
+
+
+def without_prefix(files: DataFrame, prefix: str) -> DataFrame:
+    """Files (path) whose base name does not begin with ``prefix``."""
+    return files.where(~F.startswith(F.element_at(F.split("path", "/"), -1), F.lit(prefix)))
+
+
 def unregistered(files: DataFrame, registered: DataFrame, allowed: DataFrame) -> DataFrame:
     """Files (path) that no registered path, no registered base name and no allowed path matches: one anti-join each."""
     base = F.element_at(F.split("path", "/"), -1)

@@ -20,12 +20,12 @@ SELECT name, 'unused' AS problem FROM installed WHERE name NOT IN (SELECT name F
 UNION ALL SELECT name, 'undeclared' FROM used WHERE name NOT IN (SELECT name FROM declared) AND name NOT IN (SELECT name FROM free) AND name IN (SELECT name FROM installed)"""
 
 
-def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gaps(spark: SparkSession, sf_dir: str, whitelisted: bool = False) -> DataFrame:
     part = table(spark, sf_dir, "part").withColumn("name", F.concat_ws("_", "p_name", "p_type"))
     used = part.join(table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")), "p_partkey").select(F.lower("name").alias("name")).distinct()
     aliases = spark.createDataFrame([("red bolt_small", "hot gear_large")], "import_name string, package string")
-    free = spark.createDataFrame([("small ring_economy",)], "name string")
-    return registry_checks.dependency_gaps(part.where("p_size < 40"), used, part.where("p_retailprice < 950"), aliases, free)
+    free = spark.createDataFrame([("small ring_economy",)], "name string")  # plays the standard library
+    return registry_checks.dependency_gaps(part.where("p_size < 40"), used, part.where("p_retailprice < 950"), aliases, free, part.where("p_retailprice > 1700") if whitelisted else None)
 
 
 @query(GAPS_SQL)
@@ -40,6 +40,17 @@ def q71_dependency_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry_checks.verdict(gaps(spark, sf_dir))
 
 
+WHITELIST_SQL = f"""{NAMES_SQL}, spare AS (SELECT DISTINCT replace(lower(p_name || '_' || p_type), '_', '-') AS name FROM part WHERE p_retailprice > 1700)
+SELECT name, 'unused' AS problem FROM installed WHERE name NOT IN (SELECT name FROM used) AND name NOT IN (SELECT name FROM free) AND name NOT IN (SELECT name FROM spare)
+UNION ALL SELECT name, 'undeclared' FROM used WHERE name NOT IN (SELECT name FROM declared) AND name NOT IN (SELECT name FROM free) AND name IN (SELECT name FROM installed)"""
+
+
+@query(WHITELIST_SQL)
+def q91_whitelisted_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a whitelist, which excuses unused names but no undeclared ones."""
+    return gaps(spark, sf_dir, whitelisted=True)
+
+
 PATH_SQL = "'scripts/' || (page_id % 13) || '/' || split_part(split_part(url, '/', 3), '.', 2) || '_' || (page_id % 50) || '.py'"
 
 

@@ -68,10 +68,20 @@ def q26_restart_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "pos", shared.alias("shared")).where("shared >= 3")
 
 
-@query()
+TRIPLES = "[[{0}[2], {0}[3], {0}[4]], [{0}[1], {0}[3], {0}[4]], [{0}[1], {0}[2], {0}[4]], [{0}[1], {0}[2], {0}[3]]]"
+
+
+@query(f"""
+WITH around AS (
+  SELECT doc_id, pos,
+         list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS pre,
+         list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS post
+  FROM ({views.WORDS_SQL}))
+SELECT doc_id, pos, CASE WHEN pre = post THEN 1.0 ELSE 0.75 END::DOUBLE AS ratio FROM around
+WHERE len(pre) = 4 AND len(post) = 4 AND (pre = post OR list_has_any({TRIPLES.format("pre")}, {TRIPLES.format("post")}))""")
 def q27_self_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Restarts by match ratio of the words before and after (a matching-blocks ratio, which SQL lacks)."""
-    return candidates.restarts(views.words(spark, sf_dir), ["doc_id"])
+    """Places where at least three of the four words before come again in order in the four from here on."""
+    return candidates.restarts_in_order(views.words(spark, sf_dir), ["doc_id"])
 
 
 @query(f"""

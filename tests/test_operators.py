@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cutloom.functions import scalars
-from cutloom.operators import candidates, gates, intervals, lake, params, registry_checks, rules, running, sequence
+from cutloom.operators import candidates, gates, intervals, lake, media, params, registry_checks, rules, running, sequence, verification
 
 
 def rows(df):
@@ -111,6 +111,19 @@ def test_restarts_find_what_all_pairs_find(spark):
     assert [r[1] for r in sorted(candidates.restarts(words, ["d"]).collect(), key=lambda r: r["pos"])] == want
 
 
+def test_restarts_in_order_find_common_subsequences(spark):
+    pick = random.Random(4)
+    text = " ".join(pick.choices("a b c d e f".split(), k=300))
+    words = sequence.tokens(spark.createDataFrame([(1, text)], "d long, text string"), ["d"])
+    w = text.split(" ")
+
+    def common(a, b):
+        return 0 if not a or not b else 1 + common(a[1:], b[1:]) if a[0] == b[0] else max(common(a[1:], b), common(a, b[1:]))
+
+    want = [(1, i + 1, common(w[i - 4 : i], w[i : i + 4]) / 4) for i in range(4, len(w) - 3) if common(w[i - 4 : i], w[i : i + 4]) >= 3]
+    assert sorted(map(tuple, candidates.restarts_in_order(words, ["d"]).collect())) == want
+
+
 def test_neighbours_are_never_eaten(spark, spans):
     made, _ = spans
     flat = spark.createDataFrame([(i, "k", 100 * i, 100 * i + 70) for i in range(20)], "id long, k string, start long, end long")
@@ -212,6 +225,48 @@ def test_dependency_gaps(spark):
     assert registry_checks.verdict(found.limit(0)).first()["verdict"] == "PASS"
 
 
+def test_a_whitelist_excuses_no_undeclared_name(spark):
+    names = lambda *xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    aliases = spark.createDataFrame([], "import_name string, package string")
+    found = registry_checks.dependency_gaps(names("idle", "tool", "json"), names("tool", "json"), names("other"), aliases, names("json"), names("idle", "tool"))
+    assert rows(found) == [("tool", "undeclared")]
+
+
+def test_registered_and_allowed_paths(spark):
+    tools = spark.createDataFrame([("/opt/x/scripts/a.py", None), (None, "scripts/b.py"), ("c/opt/x/d.py", "e.py"), (None, None)], "full_path string, script string")
+    assert [r[0] for r in rows(registry_checks.registered_paths(tools, ["full_path", "script"], "/opt/x/"))] == ["c/opt/x/d.py", "e.py", "scripts/a.py", "scripts/b.py"]
+    lists = spark.sql("SELECT map('one', named_struct('files', array('p', 'q')), 'two', named_struct('files', array('q', 'r'))) AS buckets")
+    assert [r[0] for r in rows(registry_checks.allowed_paths(lists))] == ["p", "q", "r"]
+
+
+def test_the_first_name_wins_of_equal_levels(spark):
+    made = [(1, "abc", 2.0), (1, "ab", 2.0), (2, "a", 1.0), (2, "B", 1.0), (3, "x", None), (3, "y", -1.0), (4, "track10", 3.0), (4, "track2", 3.0)]
+    found = media.dominant(spark.createDataFrame(made, "w int, track string, level double"), "w", "track", "level")
+    assert [r[:2] for r in rows(found)] == [(1, "ab"), (2, "B"), (3, "y"), (4, "track10")]
+
+
+def test_verification(spark):
+    """Probabilities of the golden rows: 0.4876 and 0.46 are rejected, 0.75 is kept."""
+    cuts = spark.createDataFrame([(1, "filler", 0, 100), (2, "filler", 1000, 1100), (3, "filler", 2000, 2100), (4, "noise", 3000, 3100), (5, "filler", 9000, 9100)], "id long, kind string, start long, end long")
+    words = spark.createDataFrame([(50, 80, 0.4876), (1000, 1050, 0.9), (1050, 1200, 0.46), (2000, 2100, 0.75), (3000, 3100, 0.1), (3100, 3200, None)], "start long, end long, probability double")
+    found = verification.word_evidence(cuts, words, 500, ("filler",))
+    assert rows(found.select("id", "n_words", "min_probability", "heard")) == [
+        (1, 1, 0.4876, "REJECT_LOW_PROB_HALLUCINATION"), (2, 2, 0.46, "REJECT_LOW_PROB_HALLUCINATION"), (3, 1, 0.75, "KEEP"), (4, 1, 0.1, "KEEP"), (5, 0, None, "NO_WORD")]
+    levels = spark.createDataFrame([(0, 50, -60.0, 1), (50, 120, -50.0, 1), (1000, 1100, -30.0, 1), (2000, 2050, -70.0, 1)], "start long, end long, level double, side int")
+    silence = verification.silences(levels, ["side"], 1000, -40.0, 100)
+    assert rows(silence.select("start", "end")) == [(0, 120)]
+    assert [r[1] for r in rows(verification.silent(cuts, silence, 500).select("id", "in_silence"))] == [True, False, False, False, False]
+
+
+def test_guards_and_order_of_checks(spark):
+    made = [("a", True, 0.9, True), ("a", False, 0.4, True), ("a", False, 0.9, False), ("a", False, None, False), ("ab", True, 0.1, False)]
+    frame = spark.createDataFrame(made, "word string, near boolean, p double, want boolean")
+    assert all(r["want"] == r["g"] for r in frame.withColumn("g", gates.single_character_guard(F.col("word"), F.col("near"), F.col("p"))).collect())
+    none, some = frame.limit(0), frame
+    assert gates.ordered_checks([("one", none), ("two", some), ("three", some)]) == ("FAIL", "two")
+    assert gates.ordered_checks([("one", none)]) == ("PASS", None)
+
+
 def test_imports_and_declarations(spark):
     text = "import os, numpy.linalg\nfrom  pandas.core import x\n  import re\nprint('import no')\n"
     sources = spark.createDataFrame([("/a/b.py", text), ("/a/venv/c.py", "import hidden")], "path string, text string")
