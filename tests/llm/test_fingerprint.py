@@ -78,3 +78,43 @@ def test_signature_matches_plain_selection(spark):
         h = frame.select(F.xxhash64(*frame.columns)).first()[0]
         want.add((b << 32) | (h & 0xFFFFFFFF))
     assert set(plain_signature_order([text], spark)[0]) == want
+
+
+def test_neighbours_of_far_and_crowded_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "SLICE_ROWS", 4)
+    ids = [-9 * 10**18, 9 * 10**18, 10**15, *range(60), *[7] * 50, *[None] * 20]
+    texts = [f"text number {n} of row {i}" for i, n in enumerate(ids)]
+    made = list(zip(ids, texts, strict=True)) + [(7, "equal rows")] * 5
+    rows = spark.createDataFrame(made, "id long, t string").repartition(5)
+    found = [(r["id"], r["t"], r["next"]["id"], r["next"]["t"]) for r in fingerprint.with_next(rows, ["id", "t"], by="t", key="id").collect()]
+    assert sorted(map(str, made)) == sorted(str(x[:2]) for x in found)
+    # every row is the next one of exactly one, and ids descend but where the ring closes
+    assert sorted(str(x[2:]) for x in found) == sorted(map(str, made))
+    key = lambda x: (x is not None, x or 0)
+    rising = [x for x in found if key(x[2]) > key(x[0])]
+    assert len(rising) == 1 and rising[0][0] is None and rising[0][2] == 9 * 10**18
+
+
+def test_places_beyond_the_packed_bits(spark, monkeypatch):
+    """A text with more k-mers than packed places gives what the same selection with places of their own gives."""
+    text = " ".join(f"w{i % 700}" for i in range(2000))
+    frame = spark.createDataFrame([(text,)], "t string")
+    want = frame.select(fingerprint.signature(F.col("t"))).first()[0]
+    numbers = fingerprint.Numbers
+    monkeypatch.setattr(fingerprint, "Numbers", lambda wide=False: numbers(wide=True))
+    assert frame.select(fingerprint.signature(F.col("t"))).first()[0] == want
+
+
+def test_likeness_is_the_share_of_equal_parts(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(3, long), (2, long + " end"), (1, "short one"), (0, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in fingerprint.fingerprint_report(docs).collect()}
+    parts = lambda x: {p[:-8]: p for p in x.split(".")} if x else {}
+
+    def share(a, b):
+        bins = set(parts(a)) | set(parts(b))
+        return sum(parts(a).get(k) == parts(b).get(k) for k in bins) / len(bins) if bins else 1.0
+
+    for i, r in rows.items():
+        assert r["near_edited"] == share(r["fingerprint"], r["edited_fingerprint"])
+        assert r["near_next"] == share(r["fingerprint"], rows[(i - 1) % 4]["fingerprint"])

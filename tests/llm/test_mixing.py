@@ -88,3 +88,18 @@ def test_odd_documents(odd, nothing):
     blank = odd.where("text IS NULL")
     assert mixing.mixed(blank).count() == blank.count()
     assert mixing.mix_blocks(odd.withColumn("text", F.lit(None).cast("string"))).count() == odd.count()
+
+
+def test_clashing_names(corpus):
+    docs = corpus
+    for name in ("_of", "_full", "_last", "_copies", "_copy", "__full", "_salt"):
+        docs = docs.withColumn(name, F.lit(1))
+    assert mixing.mixed(docs, 2.0).count() == mixing.mixed(corpus, 2.0).count()
+
+
+def test_rows_without_an_id_are_dealt_like_others(spark):
+    rows = [(None, "w " * (1 + i % 3), "a") for i in range(60)] + [(i, "w w", "b") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = mixing.mix_blocks(docs, max_repeats=2.0, block_tokens=20).collect()
+    assert sum(r["source"] == "a" for r in found) == 60 and sum(r["source"] == "b" for r in found) == 10
+    assert all(sum(r["n_tokens"] for r in found if r["block"] == b) <= 30 for b in {r["block"] for r in found})

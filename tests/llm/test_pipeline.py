@@ -53,3 +53,16 @@ def test_every_operator_is_registered():
     for n in range(1, 11):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_stages_on_odd_and_empty_documents(spark, odd, nothing):
+    docs = odd
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        docs = written(stage(spark, docs, SF), name)
+        assert docs.count() > 0
+        assert stage(spark, nothing, SF).count() == 0
+        if number < 5:
+            assert docs.columns == odd.columns
+    rows = docs.collect()
+    assert all(r["ids"] is not None and len(r["ids"]) == 4 * r["length"] for r in rows)
+    assert len({(r["row_id"], r["piece"]) for r in rows}) == len(rows)

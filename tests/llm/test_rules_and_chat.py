@@ -158,3 +158,36 @@ def test_events_fold(spark):
     row = chat.format_chats(frame).withColumn("turns", chat.read_back(F.col("formatted"))).first()
     assert [tuple(t) for t in row["turns"]] == [("user", "hey"), ("assistant", "Yo</turn>"), ("user", "bye")]
     assert [row["formatted"][m["start"] : m["start"] + m["length"]] for m in row["loss_mask"]] == ["Yo&lt;/turn&gt;"]
+
+
+def test_the_mask_decides_the_loss_text(spark):
+    rows = [(1, 0, "user", "hi & <there>"), (1, 1, "assistant", "yes & no 🙂" * 900), (1, 2, "assistant", "<ok>")]
+    chats = chat.format_chats(chat.as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    learnt = chats.select(chat.under_mask(F.col("formatted"), F.col("loss_mask"))).first()[0]
+    assert learnt == rows[1][3] + rows[2][3]
+    moved = F.transform("loss_mask", lambda x: F.struct((x["start"] + 1).alias("start"), x["length"].alias("length")))
+    assert chats.select(chat.under_mask(F.col("formatted"), moved)).first()[0] != learnt
+
+
+def test_turns_go_through_all_kinds_of_events(spark):
+    rows = [(1, t, "assistant", "text " * t) for t in range(40)]
+    events = chat.as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r["op"] for r in events.collect()} == {"message", "delta", "edit", "regenerate"}
+
+
+def test_linked_pairs_are_those_of_all_pairs(leaky):
+    rows = secrets.keyed(leaky, ["k1", "k2"]).select("k1", "k2", secrets.parts_of(F.coalesce("text", F.lit(""))).alias("parts")).where(F.size("parts") > 0).dropDuplicates(["k1", "k2"]).cache()
+    parts = secrets.placed_parts(rows).collect()
+    by_text = {}
+    for r in parts:
+        by_text.setdefault((r["k1"], r["k2"]), []).append((secrets.ROLES[r["kind"]], r["start"], r["kind"]))
+    want = Counter((k, a[1:], b[1:]) for k, own in by_text.items() for a in own for b in own if a[0] < b[0] and abs(a[1] - b[1]) <= secrets.SCOPE)
+    found = secrets.linked_pairs(secrets.placed_parts(rows)).collect()
+    assert want and Counter(((r["k1"], r["k2"]), (r["a"]["start"], r["a"]["kind"]), (r["b"]["start"], r["b"]["kind"])) for r in found) == want
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh12 and on", 9)], "doc_id long, text string, n long")
+    for name in ("_k1", "_k2", "_cuts", "__k1", "K1"):
+        docs = docs.withColumn(name, F.lit(name))
+    assert secrets.redacted(docs).first()["text"] == "[SECRET] and on"

@@ -94,3 +94,28 @@ def test_many_equal_lengths_are_ranked_apart(spark):
     docs = spark.range(5000).selectExpr("id AS doc_id", "'same text' AS text")
     rows = packing.pack(docs, capacity=8).collect()
     assert len(rows) == 5000 and check_packed(rows, 8) == 2500
+
+
+@pytest.mark.parametrize("capacity", [40_000, 131_072])
+def test_large_capacities(spark, capacity):
+    texts = [(i, "word " * n) for i, n in enumerate([90_000, 140_000, 10, 10, 20_000, 39_000, 65_000, 1, 0, 30_000])]
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), capacity=capacity).collect()
+    assert check_packed(rows, capacity) <= -(-sum(r["length"] for r in rows) // capacity) + 1
+    assert sum(r["length"] for r in rows) == sum(n + 1 for n in (len(bpe_ids(t)) for _, t in texts))
+
+
+def bpe_ids(text):
+    return Tokenizer.from_file(tokenizer_file()).encode(text, add_special_tokens=False).ids
+
+
+def test_long_keys_are_not_kept():
+    counter = bpe.MergeCounter(tokenizer_file())
+    text = "漢字" * 400
+    assert counter.count(text) == len(bpe_ids(text)) and text not in counter
+
+
+def test_copies_of_a_document_are_apart(spark):
+    docs = spark.createDataFrame([(5, "one two three"), (5, "one two three"), (None, "x")], "doc_id long, text string")
+    rows = packing.pack(docs, capacity=2).collect()
+    pieces = Counter((r["row_id"], r["piece"]) for r in rows)
+    assert set(pieces.values()) == {1} and len({r["row_id"] for r in rows}) == 3
