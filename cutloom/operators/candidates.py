@@ -66,11 +66,22 @@ def shared_pauses(spans: DataFrame, track: str, least: int, width: int) -> DataF
 
 
 def answered(words: DataFrame, others: DataFrame, track: str, reach: int, width: int) -> DataFrame:
-    """The ``words`` (id, t) that another track's row of ``others`` lies within ``reach`` of: semi-join of their surroundings."""
-    around = words.select("id", F.col(track).alias("_own"), (F.col("t") - reach).alias("start"), (F.col("t") + reach + 1).alias("end"))
-    points = others.select(F.col(track).alias("_other"), F.col("t").alias("start"), (F.col("t") + 1).alias("end"))
-    near = intervals.overlap_join(around, points, width).where("_own <> _other").select("id").distinct()
-    return words.join(near, "id", "left_semi")
+    """The ``words`` (id, t, track) that another track's row of ``others`` (t, track) lies within ``reach`` of.
+
+    Time is cut into bins of ``width``, or of the reach if that is less. Of a bin, a word in it or beside it needs only the first and the last rows of two tracks:
+    if any track other than the word's own comes near enough there, one of these does. So no pairs are made, however dense the rows are.
+    """
+    width = min(width, reach)
+    bins = others.where(F.col("t").isNotNull() & F.col(track).isNotNull()).groupBy(F.floor(F.col("t") / width).alias("_bin"), F.col(track).alias("_other")).agg(F.min("t").alias("_first"), F.max("t").alias("_last"))
+    # a row number with a bound lets each task send on only what can win
+    by = lambda *order: F.row_number().over(Window.partitionBy("_bin").orderBy(*order))
+    first = bins.withColumn("_n", by("_first", "_other")).where("_n <= 2").select("_bin", "_other", F.col("_first").alias("_t"))
+    last = bins.withColumn("_n", by(F.desc("_last"), "_other")).where("_n <= 2").select("_bin", "_other", F.col("_last").alias("_t"))
+    ends = first.unionByName(last).groupBy("_bin").agg(F.collect_list(F.struct("_other", "_t")).alias("_ends"))
+    own, far = F.floor(F.col("t") / width), -(-reach // width)
+    beside = words.select("id", F.col(track).alias("_own"), "t", F.explode(F.sequence(own - far, own + far)).alias("_bin"))
+    heard = F.exists("_ends", lambda x: (x["_other"] != F.col("_own")) & (F.abs(x["_t"] - F.col("t")) <= reach))
+    return words.join(beside.join(ends, "_bin").where(heard).select("id"), "id", "left_semi")
 
 
 def restarts(words: DataFrame, keys: list[str], k: int = 4, least: float = 0.75) -> DataFrame:

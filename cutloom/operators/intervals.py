@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutloom.operators.running import with_running
+from cutloom.operators.running import same, with_running
 
 
 def binned(df: DataFrame, start: Column, end: Column, width: int) -> DataFrame:
@@ -39,13 +39,27 @@ def containing(cuts: DataFrame, spans: DataFrame, width: int, on: list[str] | No
 
 
 def merged(df: DataFrame, keys: list[str], slice_width: int) -> DataFrame:
-    """Overlapping and touching intervals of a key as one: keys, start, end, n_parts. Empty intervals are left out."""
-    rows = df.where("start < end").select(*keys, "start", "end")
-    swept = with_running(rows, keys, ["start", "end"], F.floor(F.col("start") / slice_width), reach=("max", "end"))
-    opened = swept.withColumn("opens", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), F.col("start"))).withColumn("follows", F.col("opens").isNull())
-    # of equal rows the one that opens an island comes first
-    island = with_running(opened, keys, ["start", "end", "follows"], F.floor(F.col("start") / slice_width), since=("max", "opens"))
-    return island.withColumn("island", F.coalesce("opens", "since")).groupBy(*keys, "island").agg(F.max("end").alias("end"), F.count("*").alias("n_parts")).select(*keys, F.col("island").alias("start"), "end", "n_parts")
+    """Overlapping and touching intervals of a key as one: keys, start, end, n_parts. Empty intervals are left out.
+
+    A slice is merged by itself in one sorted pass. Of the slices before, only how far they reach and which island reaches there matter: what
+    begins within that reach belongs to that island, and all else stands as it is.
+    """
+    rows = df.where("start < end").select(*keys, "start", "end", F.floor(F.col("start") / slice_width).alias("_slice"))
+    along = Window.partitionBy(*keys, "_slice").orderBy("start", "end")
+    opened = rows.withColumn("_reach", F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    opened = opened.withColumn("_opens", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), F.col("start")))
+    opened = opened.withColumn("_island", F.max("_opens").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    parts = opened.groupBy(*keys, "_slice", "_island").agg(F.max("end").alias("end"), F.count("*").alias("n_parts"))
+
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = parts.groupBy(*keys, "_slice").agg(F.max("_island").alias("_last"), F.max("end").alias("_far"))
+    slices = slices.withColumn("_reach", F.max("_far").over(earlier))
+    slices = slices.withColumn("_since", F.max(F.when(F.col("_reach").isNull() | (F.col("_last") > F.col("_reach")), F.col("_last"))).over(earlier))
+    carried = slices.select(*(F.col(k).alias(f"_k_{k}") for k in [*keys, "_slice"]), "_reach", "_since")
+
+    joined = parts.join(carried, same(parts, carried, [*keys, "_slice"], "_k_"))
+    island = F.when(F.col("_island") <= F.col("_reach"), F.col("_since")).otherwise(F.col("_island"))
+    return joined.groupBy(*keys, island.alias("start")).agg(F.max("end").alias("end"), F.sum("n_parts").alias("n_parts"))
 
 
 def removed_before(cuts: DataFrame, keys: list[str], slice_width: int) -> DataFrame:
@@ -56,11 +70,18 @@ def removed_before(cuts: DataFrame, keys: list[str], slice_width: int) -> DataFr
 
 
 def remapped(points: DataFrame, cuts: DataFrame, keys: list[str], slice_width: int) -> DataFrame:
-    """``points`` (keys, t, …) with ``new_t``, their time once ``cuts`` are taken out; null inside a cut."""
-    spans = removed_before(cuts, keys, slice_width)
-    found = asof(points, spans.select(*keys, F.col("start").alias("t"), F.struct("end", "length", "removed").alias("cut")), keys, slice_width, "cut")
-    inside = F.col("t") < F.col("cut.end")
-    return found.withColumn("new_t", F.when(F.col("cut").isNull(), F.col("t")).when(inside, None).otherwise(F.col("t") - F.col("cut.removed") - F.col("cut.length"))).drop("cut")
+    """``points`` (keys, t, …) with ``new_t``, their time once ``cuts`` are taken out; null inside a cut.
+
+    One sweep over both: a cut takes out what lies beyond the reach of those before it, and a point loses the sum of that.
+    """
+    a = points.withColumns({"_side": F.lit(1), "_end": F.lit(None).cast(dict(cuts.dtypes)["end"]), "_row": F.struct(*points.columns)}).select(*keys, "t", "_side", "_end", "_row")
+    b = cuts.where("start < end").select(*keys, F.col("start").alias("t"), F.lit(0).alias("_side"), F.col("end").alias("_end"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
+    at, order = F.floor(F.col("t") / slice_width), ["t", "_side", "_end"]
+    swept = with_running(a.unionByName(b), keys, order, at, _reach=("max", "_end"))
+    takes = F.greatest(F.col("_end") - F.greatest("t", "_reach"), F.lit(0))
+    swept = with_running(swept.withColumn("_takes", takes), keys, order, at, _removed=("sum", "_takes"))
+    new_t = F.when(F.col("t") < F.col("_reach"), None).otherwise(F.col("t") - F.coalesce("_removed", F.lit(0)))
+    return swept.where(F.col("_row").isNotNull()).select("_row.*", new_t.alias("new_t"))
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], slice_width: int, value: str, strict: bool = False) -> DataFrame:
