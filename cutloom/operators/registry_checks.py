@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,3 +77,15 @@ def statuses(texts: DataFrame, known: list[str]) -> DataFrame:
     found = F.regexp_extract("text", r"(?m)^status:\s*(\w+)", 1)
     status = F.when(found == "", "none").otherwise(found)
     return texts.groupBy(status.alias("status")).agg(F.count("*").alias("n")).withColumn("bad", ~F.col("status").isin(*known))
+
+
+def in_order(checks: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Checks in the order given, up to the first that fails: place, layer, n_bad, verdict.
+
+    A check is the table of what it finds bad and what that means, FAIL or WARN; one that finds nothing is a PASS. All are counted in one plan.
+    """
+    counted = [bad.agg(F.count("*").alias("n_bad")).select(F.lit(i).alias("place"), F.lit(name).alias("layer"), "n_bad", F.when(F.col("n_bad") > 0, level).otherwise("PASS").alias("verdict")) for i, (name, (bad, level)) in enumerate(checks.items(), 1)]
+    every = reduce(DataFrame.unionByName, counted)
+    # a row a check, so one task holds them all
+    before = Window.partitionBy(F.lit(0)).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return every.withColumn("_failed", F.max(F.col("verdict") == "FAIL").over(before)).where("NOT coalesce(_failed, false)").drop("_failed")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutloom.operators.running import with_running
+from cutloom.operators.running import same, with_running
 
 
 def tokens(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -28,10 +28,20 @@ def near_any(words: DataFrame, keys: list[str], test: Column, reach: int = 2) ->
 
 
 def with_neighbours(spans: DataFrame, keys: list[str], slice_width: int) -> DataFrame:
-    """``spans`` (keys, start, end, id) with ``prev_end`` and ``next_start`` of the spans before and after of their keys; null at the ends."""
-    forward = with_running(spans, keys, ["start", "id"], F.floor(F.col("start") / slice_width), prev_end=("last", "end"))
-    back = forward.withColumns({"_back": -F.col("start"), "_back_id": -F.col("id")})
-    return with_running(back, keys, ["_back", "_back_id"], F.floor(F.col("_back") / slice_width), next_start=("last", "start")).drop("_back", "_back_id")
+    """``spans`` (keys, start, end, id) with ``prev_end`` and ``next_start`` of the spans before and after of their keys; null at the ends.
+
+    Neighbours are found within slices of time; only the first start and the last end of a slice go on to the slices beside it. Null starts come first and have no
+    next; a null end is passed over for the one before.
+    """
+    cut = spans.withColumn("_slice", F.floor(F.col("start") / slice_width))
+    along = Window.partitionBy(*keys, "_slice").orderBy("start", "id")
+    own = cut.withColumns({"_prev": F.last("end", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)), "_next": F.lead("start").over(along)})
+    last = F.max(F.when(F.col("end").isNotNull(), F.struct("start", "id", "end")))["end"]
+    slices = cut.groupBy(*keys, "_slice").agg(F.min("start").alias("_first"), last.alias("_last"))
+    order = Window.partitionBy(*keys).orderBy("_slice")
+    beside = slices.select(*(F.col(k).alias(f"_k_{k}") for k in [*keys, "_slice"]), F.last("_last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.lead("_first").over(order).alias("_after"))
+    joined = own.join(beside, same(own, beside, [*keys, "_slice"], "_k_"))
+    return joined.select(*spans.columns, F.coalesce("_prev", "_before").alias("prev_end"), F.when(F.col("start").isNotNull(), F.coalesce("_next", "_after")).alias("next_start"))
 
 
 def gaps(spans: DataFrame, keys: list[str], slice_width: int) -> DataFrame:
@@ -53,3 +63,26 @@ def around(words: DataFrame, keys: list[str], k: int) -> DataFrame:
     """``words`` with ``pre``, the k words before, and ``post``, the word and the k - 1 after it."""
     order = Window.partitionBy(*keys).orderBy("pos")
     return words.withColumns({"pre": F.collect_list("word").over(order.rowsBetween(-k, -1)), "post": F.collect_list("word").over(order.rowsBetween(0, k - 1))})
+
+
+def gathered_sentences(words: DataFrame, keys: list[str], slice_width: int = 1000) -> DataFrame:
+    """Sentences of (keys, pos, word), each closed by a word that ends in a sign: keys, sentence (from 0), first_pos, last_pos, text, words.
+
+    Sentence numbers are counted by slices of positions; a sentence is one value.
+    """
+    closes = F.when(F.substring("word", -1, 1).isin(".", "?", "!"), 1).otherwise(0)
+    counted = with_running(words.withColumn("_closes", closes), keys, ["pos"], F.floor(F.col("pos") / slice_width), sentence=("sum", "_closes"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "word")))
+    found = counted.groupBy(*keys, F.coalesce("sentence", F.lit(0)).cast("bigint").alias("sentence")).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.transform(ordered, lambda x: x["word"]).alias("words"))
+    return found.withColumn("text", F.array_join("words", " "))
+
+
+def sentence_restarts(sentences: DataFrame, keys: list[str], least: float = 0.75) -> DataFrame:
+    """Sentences that share at least so much of both word sets with the sentence before: keys, sentence, overlap.
+
+    The sentence before is found by its number, so no key's sentences are gathered.
+    """
+    before = sentences.select(*(F.col(k).alias(f"_k_{k}") for k in keys), (F.col("sentence") + 1).alias("_k_sentence"), F.col("words").alias("_before"))
+    both = sentences.join(before, same(sentences, before, [*keys, "sentence"], "_k_"))
+    overlap = F.size(F.array_intersect("words", "_before")) / F.size(F.array_union("words", "_before"))
+    return both.select(*keys, "sentence", overlap.alias("overlap")).where(F.col("overlap") >= least)

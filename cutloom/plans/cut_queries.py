@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutloom.functions.scalars import content_hash, epoch_ms, to_samples
-from cutloom.operators import candidates, gates, lake, params, registry_checks, sequence, verification
+from cutloom.operators import candidates, gates, intervals, lake, params, registry_checks, sequence, verification
 from cutloom.plans import views
 from cutloom.plans.registry import query
+from cutloom.sources import logs
 from cutloom.tables import table
 
 MINUTE, HOUR, DAY = 60_000, 3_600_000, 24 * 3_600_000
@@ -37,18 +38,22 @@ judged AS (
   FROM facts)"""
 
 
-@query(f"""
-WITH {PLAN_SQL}
-SELECT *, CASE WHEN heard = 'REJECT_LOW_PROB_HALLUCINATION' OR rhythm = 'REJECT' OR strategy = 'REMOVE' THEN 'REJECT' WHEN contains(strategy, 'HUMAN_REVIEW') OR rhythm <> 'OK' THEN 'HUMAN_REVIEW' ELSE 'APPROVE' END AS verdict FROM judged""")
-def q81_verified_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks and errors as cuts, views as words, quiet sign-ups as silence: all four checks and the verdict."""
+def verified_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and errors as cuts, views as words, quiet sign-ups as silence."""
     spans = views.spans(spark, sf_dir)
     cuts = spans.where("track IN ('click', 'error')").select("id", F.col("track").alias("kind"), "user_id", "start", "end")
     words = spans.where("track = 'view'").select("start", "end", (F.col("value") / 100).alias("probability"))
     levels = spans.where("track = 'signup'").select("start", "end", F.col("value").alias("level"), F.lit(0).alias("side"))
     silence = verification.silences(levels, ["side"], HOUR, 60, 10_000)
-    found = verification.verified(cuts, words, silence, ["user_id"], ("click",), MINUTE, DAY)
-    return found.select("id", "n_words", "min_probability", "in_silence", "gap_before", "gap_after", "heard", "rhythm", "strategy", "verdict")
+    return verification.verified(cuts, words, silence, ["user_id"], ("click",), MINUTE, DAY)
+
+
+@query(f"""
+WITH {PLAN_SQL}
+SELECT *, CASE WHEN heard = 'REJECT_LOW_PROB_HALLUCINATION' OR rhythm = 'REJECT' OR strategy = 'REMOVE' THEN 'REJECT' WHEN contains(strategy, 'HUMAN_REVIEW') OR rhythm <> 'OK' THEN 'HUMAN_REVIEW' ELSE 'APPROVE' END AS verdict FROM judged""")
+def q81_verified_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and errors as cuts: all four checks and the verdict."""
+    return verified_cuts(spark, sf_dir).select("id", "n_words", "min_probability", "in_silence", "gap_before", "gap_after", "heard", "rhythm", "strategy", "verdict")
 
 
 EDGES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {'NULL' if c is None else repr(c)}, {v})" for s, c, v in EDGES) + ") p(scope, class, value)"
@@ -165,3 +170,77 @@ def q90_triage_and_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     at_edge = ~gates.inside_edges(start - begin, start - begin + length, F.lit(1706572800000 + 21_600_000 - begin), 21_600_000)
     guard = gates.list_guard(F.col("event_type"), ("click", "view", "purchase"), (F.col("event_type") == "view") & (F.col("value") > 120), at_edge)
     return table(spark, sf_dir, "events").select("event_id", triage.alias("triage"), guard.alias("guard"))
+
+
+SENTENCES_SQL = f"""
+SELECT conv_id, turn, before::BIGINT AS sentence, min(pos)::INT AS first_pos, max(pos)::INT AS last_pos, list(word ORDER BY pos) AS words, string_agg(word, ' ' ORDER BY pos) AS text
+FROM (SELECT *, coalesce(sum(CASE WHEN right(word, 1) IN ('.', '?', '!') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({views.TURN_WORDS_SQL}))
+GROUP BY conv_id, turn, before"""
+
+
+@query(f"SELECT conv_id, turn, sentence, first_pos, last_pos, text FROM ({SENTENCES_SQL})")
+def q92_gathered_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of each turn as text, with the positions of their words."""
+    return sequence.gathered_sentences(views.turn_words(spark, sf_dir), ["conv_id", "turn"]).select("conv_id", "turn", "sentence", "first_pos", "last_pos", "text")
+
+
+@query(f"""
+WITH s AS ({SENTENCES_SQL}), pairs AS (SELECT a.conv_id, a.turn, a.sentence, len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) AS overlap FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.sentence = b.sentence + 1)
+SELECT conv_id, turn, sentence, overlap FROM pairs WHERE overlap >= 0.3""")
+def q93_sentence_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that say much of the sentence before again."""
+    said = sequence.gathered_sentences(views.turn_words(spark, sf_dir), ["conv_id", "turn"])
+    return sequence.sentence_restarts(said, ["conv_id", "turn"], 0.3)
+
+
+@query(f"""
+SELECT conv_id, turn, role AS track, pos::INT AS pos, word, (pos - 1) * 300 AS start, CASE WHEN pos % 41 = 0 THEN (pos - 1) * 300 - 10 ELSE (pos - 1) * 300 + 20 * length(word) END AS "end", (pos * 37 % 103) / 100.0::DOUBLE AS probability,
+       CASE WHEN word = '' THEN 'no_word' WHEN pos % 41 = 0 THEN 'order' WHEN pos * 37 % 103 > 100 THEN 'probability' END AS fault
+FROM ({views.TURN_WORDS_SQL}) JOIN conversations USING (conv_id, turn)""")
+def q94_word_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts as JSON, made of the turns, read as timed words and checked."""
+
+    def timed(word, i):  # noqa: ANN001, ANN202
+        start = i * 300
+        end = F.when((i + 1) % 41 == 0, start - 10).otherwise(start + 20 * F.char_length(word))
+        return F.struct(word.alias("word"), (start / 1000).alias("start"), (end / 1000).alias("end"), (F.pmod((i + 1) * 37, F.lit(103)) / 100).alias("probability"))
+
+    document = F.to_json(F.struct(F.col("role").alias("track"), F.transform(F.split("text", " "), timed).alias("words")))
+    return logs.word_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", document.alias("text")))
+
+
+@query("""
+WITH c AS (
+  SELECT 1 AS place, 'orphans' AS layer, count(*) AS n_bad, 'FAIL' AS level FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT 2, 'long_spans', count(*), 'WARN' FROM events WHERE value > 100
+  UNION ALL SELECT 3, 'negative_values', count(*), 'FAIL' FROM events WHERE value < 0
+  UNION ALL SELECT 4, 'unlabelled', count(*), 'FAIL' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+  UNION ALL SELECT 5, 'short_turns', count(*), 'WARN' FROM conversations WHERE length(text) < 20)
+SELECT place, layer, n_bad, CASE WHEN n_bad > 0 THEN level ELSE 'PASS' END AS verdict FROM c WHERE place <= coalesce((SELECT min(place) FROM c WHERE n_bad > 0 AND level = 'FAIL'), 5)""")
+def q95_ordered_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of the tables in order, up to the first that fails."""
+    of = lambda name: table(spark, sf_dir, name)
+    events = of("events")
+    return registry_checks.in_order({
+        "orphans": (of("orders").join(of("customer"), F.col("o_custkey") == F.col("c_custkey"), "left_anti"), "FAIL"),
+        "long_spans": (events.where("value > 100"), "WARN"),
+        "negative_values": (events.where("value < 0"), "FAIL"),
+        "unlabelled": (of("documents").join(of("labels"), "doc_id", "left_anti"), "FAIL"),
+        "short_turns": (of("conversations").where("length(text) < 20"), "WARN"),
+    })
+
+
+@query(f"""
+WITH {PLAN_SQL},
+approved AS (SELECT c.* FROM cuts c JOIN judged j USING (id) WHERE NOT (heard = 'REJECT_LOW_PROB_HALLUCINATION' OR j.rhythm = 'REJECT' OR strategy = 'REMOVE')),
+opened AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY user_id ORDER BY start, "end", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM approved WHERE start < "end"),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY start, "end", id) AS n FROM opened),
+taken AS (SELECT user_id, min(start) AS s, max("end") AS e FROM numbered GROUP BY user_id, n)
+SELECT v.id, v.user_id, v.start AS t, CASE WHEN max(CASE WHEN s <= v.start AND v.start < e THEN 1 ELSE 0 END) = 1 THEN NULL ELSE v.start - coalesce(sum(CASE WHEN e <= v.start THEN e - s END), 0) END::BIGINT AS new_t
+FROM spans v LEFT JOIN taken USING (user_id) WHERE v.track = 'view' GROUP BY v.id, v.user_id, v.start""")
+def q96_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From candidates to the new timeline in one plan: cuts are verified, those not rejected are taken out, and every view gets its time in what is left."""
+    spans = views.spans(spark, sf_dir)
+    kept = verified_cuts(spark, sf_dir).where("verdict <> 'REJECT'").select("user_id", "start", "end")
+    points = spans.where("track = 'view'").select("id", "user_id", F.col("start").alias("t"))
+    return intervals.remapped(points, kept, ["user_id"], DAY)

@@ -14,6 +14,7 @@ LAKE = f"schema_version STRING, by_reason_key MAP<STRING, STRUCT<_subtypes MAP<S
 CASE = "row INT, case_id STRING, clip_id STRING, start DOUBLE, end DOUBLE, wav_path STRING, verdict STRING, note STRING"
 CASE_NOTE = "reason_key STRING, episode STRING, track STRING, risk ARRAY<STRING>, deleted_text STRING"
 DECISIONS = "run_id STRING, reviewer STRING, decisions ARRAY<STRUCT<clip_id STRING, verdict STRING, note STRING, decided_at STRING>>"
+WORDS = "track STRING, words ARRAY<STRUCT<word STRING, start DOUBLE, end DOUBLE, probability DOUBLE>>"
 TOOLS = "tools ARRAY<STRUCT<name STRING, description STRING, params ARRAY<STRING>, reads_only BOOLEAN, full_path STRING, script STRING, wraps_script STRING>>"
 
 
@@ -55,6 +56,37 @@ def texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def word_rows(documents: DataFrame) -> DataFrame:
+    """The words of transcripts (text: a JSON document with track and timed words, and any other columns): all other columns, track, pos, word, start and end in ms, probability, fault.
+
+    ``fault`` says what a word lacks: its text, its times, an end after its start, or a probability from 0 to 1 where one is given; null if nothing. Texts
+    that are no such document give no rows.
+    """
+    read = documents.withColumn("_t", F.from_json("text", WORDS)).drop("text")
+    each = read.select(*read.drop("_t").columns, F.col("_t.track").alias("track"), F.posexplode("_t.words").alias("_n", "_w"))
+    ms = lambda name: F.round(F.col(f"_w.{name}") * 1000).cast("bigint").alias(name)
+    timed = each.select(*each.drop("_n", "_w").columns, (F.col("_n") + 1).alias("pos"), F.col("_w.word").alias("word"), ms("start"), ms("end"), F.col("_w.probability").alias("probability"))
+    fault = F.when(F.coalesce("word", F.lit("")) == "", "no_word").when(F.col("start").isNull() | F.col("end").isNull(), "no_time").when(F.col("end") < F.col("start"), "order").when(~F.col("probability").between(0, 1), "probability")
+    return timed.withColumn("fault", fault)
+
+
+def words(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
+    """The words of all transcripts below ``root``, with the path of each."""
+    return word_rows(texts(spark, root, pattern))
+
+
+def write_version(rows: DataFrame, root: str, version: int) -> None:
+    """Writes one version of a table below ``root``; a version that is there already is an error."""
+    write_run(rows, f"{root}/version={version}")
+
+
+def frozen(spark: SparkSession, root: str, version: int | None = None) -> tuple[int, DataFrame]:
+    """A version of a table, the newest by default, and its number: later versions do not change what a run that holds it reads."""
+    if version is None:
+        version = spark.read.parquet(root).agg(F.max("version")).first()[0]
+    return version, spark.read.parquet(f"{root}/version={version}")
+
+
 def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, bytes, modified) of files below ``root``, whatever they hold; contents are not read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 
-from cutloom.operators import candidates, intervals
+from cutloom.operators import candidates, intervals, registry_checks, sequence
+from cutloom.sources import logs
 
 
 def rows(seed: int) -> list[tuple[int | None, int, int]]:
@@ -58,3 +61,53 @@ def test_answered(spark, reach, width):
     got = candidates.answered(spark.createDataFrame(words, "id int, track string, t bigint"), spark.createDataFrame(others, "track string, t bigint"), "track", reach, width)
     wanted = [i for i, k, t in words if None not in (k, t) and any(None not in (o, u) and o != k and abs(u - t) <= reach for o, u in others)]
     assert sorted(r["id"] for r in got.collect()) == wanted
+
+
+@pytest.mark.parametrize("width", [4, 60, 1000])
+def test_with_neighbours(spark, width):
+    spans = [(k, s, e, i) for i, (k, s, e) in enumerate(rows(9))] + [(1, None, 4, 900), (1, 20, None, 901)]
+    got = sequence.with_neighbours(spark.createDataFrame(spans, "k int, start bigint, end bigint, id int"), ["k"], width).collect()
+    assert len(got) == len(spans)
+    found = {r["id"]: (r["prev_end"], r["next_start"]) for r in got}
+    for key in {s[0] for s in spans}:
+        own = sorted((s for s in spans if s[0] == key), key=lambda s: (s[1] is not None, s[1] or 0, s[3]))
+        for at, (_, start, _, number) in enumerate(own):
+            ends = [s[2] for s in own[:at] if s[2] is not None]
+            after = own[at + 1][1] if at + 1 < len(own) and start is not None else None
+            assert found[number] == (ends[-1] if ends else None, after)
+
+
+def test_sentences_and_restarts(spark):
+    said = "we go home. we go home now. why ? yes".split(" ")
+    words = spark.createDataFrame([("a", i + 1, w) for i, w in enumerate(said)] + [(None, 1, "alone")], "k string, pos int, word string")
+    for width in (1, 3, 100):
+        found = sequence.gathered_sentences(words, ["k"], width)
+        rows = {(r["k"], r["sentence"]): (r["first_pos"], r["last_pos"], r["text"]) for r in found.collect()}
+        assert rows == {("a", 0): (1, 3, "we go home."), ("a", 1): (4, 7, "we go home now."), ("a", 2): (8, 9, "why ?"), ("a", 3): (10, 10, "yes"), (None, 0): (1, 1, "alone")}
+    # we, go of we, go, home., home, now.
+    assert [(r["k"], r["sentence"], r["overlap"]) for r in sequence.sentence_restarts(found, ["k"], 0.4).collect()] == [("a", 1, 0.4)]
+    assert sequence.sentence_restarts(found, ["k"]).count() == 0
+
+
+def test_checks_in_order(spark):
+    some, none = spark.range(3), spark.range(0)
+    said = registry_checks.in_order({"a": (none, "FAIL"), "b": (some, "WARN"), "c": (some, "FAIL"), "d": (none, "FAIL")}).orderBy("place").collect()
+    assert [(r["place"], r["layer"], r["n_bad"], r["verdict"]) for r in said] == [(1, "a", 0, "PASS"), (2, "b", 3, "WARN"), (3, "c", 3, "FAIL")]
+    assert registry_checks.in_order({"a": (none, "FAIL"), "b": (some, "WARN")}).count() == 2
+
+
+def test_word_transcripts_and_versions(spark, tmp_path):
+    words = [{"word": "so", "start": 0.1, "end": 0.35, "probability": 0.9}, {"word": "", "start": 1, "end": 2}, {"word": "x", "start": 2, "end": 1.5, "probability": 1}, {"word": "y", "start": None, "end": 3}, {"word": "z", "start": 3, "end": 3, "probability": 1.2}, {"word": "w", "start": 4, "end": 5}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "t.json").write_text(json.dumps({"track": "host", "words": words}))
+    (tmp_path / "in" / "odd.json").write_text("[no transcript")
+    found = logs.words(spark, str(tmp_path / "in")).orderBy("pos").collect()
+    assert [(r["track"], r["pos"], r["word"], r["start"], r["end"], r["fault"]) for r in found] == [("host", 1, "so", 100, 350, None), ("host", 2, "", 1000, 2000, "no_word"), ("host", 3, "x", 2000, 1500, "order"), ("host", 4, "y", None, 3000, "no_time"), ("host", 5, "z", 3000, 3000, "probability"), ("host", 6, "w", 4000, 5000, None)]
+
+    root = str(tmp_path / "versions")
+    logs.write_version(spark.range(3), root, 1)
+    number, held = logs.frozen(spark, root)
+    logs.write_version(spark.range(5), root, 2)
+    assert (number, held.count()) == (1, 3) and logs.frozen(spark, root)[0] == 2 and logs.frozen(spark, root, 1)[1].count() == 3
+    with pytest.raises(AnalysisException):
+        logs.write_version(spark.range(1), root, 2)
