@@ -57,10 +57,13 @@ def refined(cuts: DataFrame, boundaries: DataFrame) -> DataFrame:
 
 
 def shared_pauses(spans: DataFrame, track: str, least: int, width: int) -> DataFrame:
-    """Gaps of ``least`` or more on one track in which no other track has a span: track, start, end, id (of the span before)."""
+    """Gaps of ``least`` or more on one track in which no other track has a span: track, start, end, id (of the span before).
+
+    Spans of a track are merged first, so a gap meets what they cover and not each of them.
+    """
     after = sequence.with_neighbours(spans.select(track, "start", "end", "id"), [track], 100 * width)
     gaps = after.select(track, F.col("end").alias("start"), F.col("next_start").alias("end"), "id").where(F.col("end") - F.col("start") >= least)
-    others = spans.select(F.col(track).alias("_other"), "start", "end")
+    others = intervals.covered(spans, [track], 100 * width).withColumnRenamed(track, "_other")
     broken = intervals.overlap_join(gaps, others, width).where(F.col(track) != F.col("_other")).select("id")
     return gaps.join(broken, "id", "left_anti")
 

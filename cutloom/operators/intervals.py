@@ -62,6 +62,12 @@ def merged(df: DataFrame, keys: list[str], slice_width: int) -> DataFrame:
     return joined.groupBy(*keys, island.alias("start")).agg(F.max("end").alias("end"), F.sum("n_parts").alias("n_parts"))
 
 
+def covered(df: DataFrame, keys: list[str], slice_width: int) -> DataFrame:
+    """(keys, start, end): as few intervals as overlap what those of ``df`` overlap. Merged ones, and each empty interval once."""
+    empty = df.where("start = end").select(*keys, "start", "end").distinct()
+    return merged(df, keys, slice_width).select(*keys, "start", "end").unionByName(empty)
+
+
 def removed_before(cuts: DataFrame, keys: list[str], slice_width: int) -> DataFrame:
     """Merged ``cuts`` with ``removed``: the length that the cuts before each take out."""
     spans = merged(cuts, keys, slice_width).withColumn("length", F.col("end") - F.col("start"))

@@ -222,7 +222,8 @@ def q66_transients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loud spans of one track during which another is silent."""
     spans = views.spans(spark, sf_dir)
     loud = spans.where("track = 'error' AND value >= 100").select("id", "start", "end")
-    speech = intervals.overlap_join(loud, spans.where("track = 'view'").select("start", "end"), 120_000).select("id")
+    speech = intervals.covered(spans.where("track = 'view'"), ["track"], DAY).select("start", "end")
+    speech = intervals.overlap_join(loud, speech, 120_000).select("id")
     return loud.join(speech, "id", "left_anti").select("id", "start")
 
 

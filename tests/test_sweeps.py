@@ -111,3 +111,15 @@ def test_word_transcripts_and_versions(spark, tmp_path):
     assert (number, held.count()) == (1, 3) and logs.frozen(spark, root)[0] == 2 and logs.frozen(spark, root, 1)[1].count() == 3
     with pytest.raises(AnalysisException):
         logs.write_version(spark.range(1), root, 2)
+
+
+def test_covered_overlaps_the_same(spark):
+    spans = [s for s in rows(4) if s[1] <= s[2]]
+    cover = intervals.covered(spark.createDataFrame(spans, "k int, start bigint, end bigint"), ["k"], 50).collect()
+    for k in {s[0] for s in spans}:
+        own = [(s, e) for key, s, e in spans if key == k]
+        few = [(r["start"], r["end"]) for r in cover if r["k"] == k]
+        assert len(few) <= len(own)
+        for a in range(-60, 360, 3):
+            for b in (a, a + 1, a + 9):
+                assert any(s < b and a < e for s, e in own) == any(s < b and a < e for s, e in few), (k, a, b)
