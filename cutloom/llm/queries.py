@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm import bpe, chat, extract, fingerprint, mixing, packing, quality, secrets, simhash, toxicity
+from cutloom.llm import alignment, bpe, chat, extract, fingerprint, lexical, mixing, packing, quality, secrets, sharding, simhash, toxicity
 from cutloom.tables import table
 
 #: The text of both rows of conversation -7.
@@ -55,6 +55,18 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 def with_probe(conversations: DataFrame) -> DataFrame:
     """``conversations`` and conversation -7, whose texts look like marks of a template."""
     said = F.lit(PROBE)
@@ -62,9 +74,10 @@ def with_probe(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", "text").union(probe)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_main_text, op3_order_minhash, op4_token_counts, op5_secret_scan, op6_toxicity, op7_quality_rules, op8_chat_formatting, op9_best_fit_packing, op10_simhash_components)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_main_text, op3_order_minhash, op4_token_counts, op5_secret_scan, op6_toxicity, op7_quality_rules, op8_chat_formatting, op9_best_fit_packing, op10_simhash_components, op11_token_alignment, op12_lexical_search, op13_ring_sharding)}
 ORACLES: dict[str, str] = {
     "op1_source_mixing": mixing.SQL,
+    "op12_lexical_search": lexical.SQL,
     "op8_chat_formatting": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
