@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Spellings of a time that occur in the logs.
 TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSSX", "yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
@@ -51,16 +46,3 @@ def content_hash(*columns: str) -> Column:
 def as_list(x: Column) -> Column:
     """A field that holds one string or a JSON list of them, as an array."""
     return F.when(x.startswith("["), F.from_json(x, "array<string>")).when(x.isNotNull(), F.array(x))
-
-
-@F.pandas_udf(T.DoubleType())
-def match_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Twice the matched words of two word lists over all their words, matched in blocks from the longest down."""
-    for left, right in batches:
-        yield pd.Series([difflib.SequenceMatcher(None, list(a), list(b), autojunk=False).ratio() for a, b in zip(left, right, strict=True)])
-
-
-def register(spark) -> list[str]:
-    """Registers the Python functions for SQL; their names."""
-    spark.udf.register("match_ratio", match_ratio)
-    return ["match_ratio"]

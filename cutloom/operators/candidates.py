@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutloom.functions.scalars import clamp, match_ratio
-from cutloom.operators import intervals, sequence
+from cutloom.functions.scalars import clamp
+from cutloom.functions.sequences import edit_ratio
+from cutloom.operators import extremes, intervals, sequence
+from cutloom.operators.frames import sliding
 from cutloom.operators.running import same
 
 
@@ -36,15 +38,10 @@ def chain_extent(chain: DataFrame, keys: list[str]) -> DataFrame:
     return whole.join(ends, same(whole, ends, keys, "_k_")).select(*keys, "cut_start", "cut_end", "n")
 
 
-def within_neighbours(cuts: DataFrame, keys: list[str], edge: int, slice_width: int, pad: int = 20) -> DataFrame:
-    """``cuts`` (keys, start, end, id) widened by ``edge`` on both sides, but never closer than ``pad`` to the word before or after."""
-    found = sequence.with_neighbours(cuts, keys, slice_width)
-    return found.withColumns({"cut_start": F.greatest(F.col("start") - edge, F.col("prev_end") + pad), "cut_end": F.least(F.col("end") + edge, F.col("next_start") - pad)}).drop("prev_end", "next_start")
-
-
-def widened(cuts: DataFrame, keys: list[str], slice_width: int, edge: Column, pad: int = 20, onset: int = 30) -> DataFrame:
-    """``cuts`` (keys, start, end, id) widened by their own ``edge``: no closer than ``pad`` to the word before, and ``onset`` before the next, which is kept."""
+def widened(cuts: DataFrame, keys: list[str], edge: Column | int, slice_width: int, pad: int = 20, onset: int = 20) -> DataFrame:
+    """``cuts`` (keys, start, end, id) widened by ``edge`` on both sides to cut_start and cut_end: no closer than ``pad`` to the word before, and ``onset`` before the next, which is kept."""
     found = sequence.with_neighbours(cuts, keys, slice_width)
+    edge = F.lit(edge) if isinstance(edge, int) else edge
     return found.withColumns({"cut_start": F.greatest(F.col("start") - edge, F.col("prev_end") + pad), "cut_end": F.least(F.col("end") + edge, F.col("next_start") - onset)}).drop("prev_end", "next_start")
 
 
@@ -87,14 +84,20 @@ def answered(words: DataFrame, others: DataFrame, track: str, reach: int, width:
     return words.join(beside.join(ends, "_bin").where(heard).select("id"), "id", "left_semi")
 
 
-def restarts(words: DataFrame, keys: list[str], k: int = 4, least: float = 0.75) -> DataFrame:
-    """Places where the ``k`` words from here on resemble the ``k`` before by matching blocks, the longest first: keys, pos, ratio.
+def restarts(words: DataFrame, keys: list[str], k: int = 4, least: float = 0.75, gap: float | None = None, slice_width: int = sequence.WORDS) -> DataFrame:
+    """Places where the ``k`` words from here on resemble the ``k`` before in order: keys, pos, ratio (edit ratio, ``least`` or more).
 
-    Words that both sides hold bound the ratio from above, so places that cannot reach it are dropped before it is computed.
+    With ``gap``, words have start and end, and only places with so long a pause before the word count (``gap`` comes out too); a null time is no
+    pause. The first and last words of a key, without ``k`` on either side, are none.
     """
-    both = sequence.around(words, keys, k).where((F.size("pre") == k) & (F.size("post") == k))
-    possible = F.size(F.filter("pre", lambda x: F.array_contains(F.col("post"), x)))
-    return both.where(possible >= least * k).withColumn("ratio", match_ratio("pre", "post")).where(F.col("ratio") >= least).select(*keys, "pos", "ratio")
+    timed = [] if gap is None else ["start", "end"]
+    listed = F.collect_list("word")
+    frames = {"pre": (listed, -k, -1), "post": (listed, 0, k - 1)} | ({} if gap is None else {"_heard": (F.last("end"), -1, -1)})
+    both = sliding(words.select(*keys, "pos", "word", *timed), keys, "pos", slice_width, True, **frames).where((F.size("pre") == k) & (F.size("post") == k))
+    if gap is not None:
+        both = both.withColumn("gap", F.col("start") - F.col("_heard")).where(F.col("gap") >= gap)
+    alike = both.where(F.arrays_overlap("pre", "post")).withColumn("ratio", edit_ratio(F.col("pre"), F.col("post"), k)).where(F.col("ratio") >= least)
+    return alike.select(*keys, "pos", "ratio", *([] if gap is None else ["gap"]))
 
 
 def restarts_in_order(words: DataFrame, keys: list[str], k: int = 4) -> DataFrame:
@@ -109,18 +112,27 @@ def restarts_in_order(words: DataFrame, keys: list[str], k: int = 4) -> DataFram
     return both.withColumn("ratio", ratio).where("ratio IS NOT NULL").select(*keys, "pos", "ratio")
 
 
-def snapped(points: DataFrame, frames: DataFrame, reach: int, width: int) -> DataFrame:
+def snapped(points: DataFrame, frames: DataFrame, reach: int, slice_width: int) -> DataFrame:
     """``points`` (id, t) with ``snapped_t``: the frame (t, energy) of least energy within ``reach``, the earliest of equals; t itself where none is."""
-    around = points.select("id", F.col("t").alias("own_t"), (F.col("t") - reach).alias("start"), (F.col("t") + reach + 1).alias("end"))
-    spans = frames.select("energy", F.col("t").alias("start"), (F.col("t") + 1).alias("end"))
-    best = intervals.overlap_join(around, spans, width).groupBy("id").agg(F.min(F.struct("energy", "r_start"))["r_start"].alias("_best"))
-    return points.join(best, "id", "left").withColumn("snapped_t", F.coalesce("_best", "t")).drop("_best")
-
-
-def quiet_spot(cuts: DataFrame, quiet: DataFrame, reach: int, width: int) -> DataFrame:
-    """For each cut (id, t) the nearest quiet span (start, end) within ``reach`` of it, the longer, then earlier of equals: id, tone_start, tone_end."""
-    around = cuts.select("id", F.col("t").alias("cut_t"), (F.col("t") - reach).alias("start"), (F.col("t") + reach + 1).alias("end"))
-    distance = F.greatest(F.col("r_start") - F.col("cut_t"), F.col("cut_t") - F.col("r_end"), F.lit(0))
-    near = intervals.overlap_join(around, quiet.select("start", "end"), width)
-    best = near.groupBy("id").agg(F.min(F.struct(distance.alias("d"), (F.col("r_start") - F.col("r_end")).alias("l"), "r_start", "r_end")).alias("x"))
-    return best.select("id", F.col("x.r_start").alias("tone_start"), F.col("x.r_end").alias("tone_end"))
+    best = extremes.around(points, frames.select("t", F.struct("energy", "t").alias("best")), [], reach, slice_width, best=("min", "best"))
+    return points.join(best, "id", "left").withColumn("snapped_t", F.coalesce(F.col("best")["t"], "t")).drop("best")
+
+
+def quiet_spot(cuts: DataFrame, quiet: DataFrame, reach: int, slice_width: int) -> DataFrame:
+    """For each cut (id, t) the nearest quiet span (start, end) within ``reach`` (1 or more) of it, the longer, then earlier of equals: id, tone_start, tone_end.
+
+    The nearest one before, the nearest one after and the longest one around the cut are each found in a sweep or through dyadic cells; no pairs are made.
+    """
+    t, first = F.col("t"), F.lit(0)
+    by_end = quiet.select(F.col("end").alias("t"), F.struct(F.col("end").alias("e"), (F.col("end") - F.col("start")).alias("long")).alias("best"))
+    by_start = quiet.select(F.col("start").alias("t"), F.struct(F.col("start").alias("s"), (F.col("start") - F.col("end")).alias("l")).alias("best"))
+    before = extremes.swept(cuts, by_end, [], t, -1, first, F.col("_at"), slice_width, best=("max", "best"))
+    after = extremes.swept(cuts, by_start, [], t, -1, first, -F.col("_at"), slice_width, best=("min", "best"))
+    held = extremes.stabbed(cuts, quiet, [], F.struct((F.col("start") - F.col("end")).alias("l"), F.col("start").alias("s")))
+    spot = lambda d, s, e: F.struct(d.alias("d"), (s - e).alias("l"), s.alias("s"), e.alias("e"))
+    at, best = cuts.select("id", "t"), F.col("best")
+    left = at.join(before, "id").where(best["e"] > t - reach).select("id", spot(t - best["e"], best["e"] - best["long"], best["e"]).alias("x"))
+    right = at.join(after, "id").where(best["s"] <= t + reach).select("id", spot(best["s"] - t, best["s"], best["s"] - best["l"]).alias("x"))
+    inside = held.select("id", spot(F.lit(0).cast("bigint"), best["s"], best["s"] - best["l"]).alias("x"))
+    nearest = left.union(right).union(inside).groupBy("id").agg(F.min("x").alias("x"))
+    return nearest.select("id", F.col("x")["s"].alias("tone_start"), F.col("x")["e"].alias("tone_end"))

@@ -26,16 +26,16 @@ def reject_improbable(kind: Column, probability: Column, kinds: Sequence[str], l
     return F.when(kind.isin(*kinds) & (probability < least), "REJECT").otherwise("KEEP")
 
 
-def splice_strategy(probability: Column, gap_ms: Column, in_silence: Column, spans_boundary: Column, in_content: Column, least: float = 0.6, tight_ms: float = 50) -> Column:
-    """How to splice a cut, by the first of seven rules that holds."""
+def splice_strategy(heard: Column, rhythm: Column, location: Column) -> Column:
+    """How to splice a cut, by the first of seven rules over its three checks that holds."""
     return first_match(
         [
-            (probability < least, "REMOVE"),
-            (gap_ms < 0, "REMOVE"),
-            (gap_ms < tight_ms, "HUMAN_REVIEW"),
-            (in_silence, "BUTT_SPLICE"),
-            (spans_boundary, "CROSSFADE_50MS"),
-            (in_content, "CROSSFADE_100MS_HUMAN_REVIEW"),
+            (heard == "REJECT_LOW_PROB_HALLUCINATION", "REMOVE_FROM_EDL"),
+            (rhythm == "RHYTHM_INVALID_NEGATIVE_GAP", "REMOVE_FROM_EDL"),
+            (rhythm == "RHYTHM_TOO_TIGHT", "NEEDS_HUMAN_REVIEW"),
+            (location == "CUT_IN_SILENCE", "BUTT_SPLICE"),
+            (location == "CUT_SPANS_BOUNDARY", "CROSSFADE_50MS"),
+            (location == "CUT_IN_CONTENT_ZONE", "CROSSFADE_100MS_HUMAN_REVIEW"),
         ],
         "CROSSFADE_50MS",
     )
@@ -61,14 +61,6 @@ def preference_triage(hard_negative: Column, target: Column) -> Column:
     return first_match([(hard_negative, "drop"), (target, "keep")], "human_review")
 
 
-def ordered_checks(checks: Sequence[tuple[str, DataFrame]]) -> tuple[str, str | None]:
-    """(PASS, None), or (FAIL, name of the first check whose table of problems has a row). Later checks are not run."""
-    for name, problems in checks:
-        if not problems.isEmpty():
-            return "FAIL", name
-    return "PASS", None
-
-
 def artifact_risk(level_db: Column, review: float = -50, block: float = -25) -> Column:
     """OK below ``review`` dBFS, BLOCK from ``block`` on, HUMAN_REVIEW between or without a level."""
     return F.when(level_db < review, "OK").when(level_db >= block, "BLOCK").otherwise("HUMAN_REVIEW")

@@ -33,9 +33,9 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int, on: list[str] |
     return pairs.drop("_bin", "_salt")
 
 
-def containing(cuts: DataFrame, spans: DataFrame, width: int, on: list[str] | None = None) -> DataFrame:
+def containing(cuts: DataFrame, spans: DataFrame, width: int, on: list[str] | None = None, salts: int = 1) -> DataFrame:
     """Pairs of a cut and a span that covers all of it."""
-    return overlap_join(cuts, spans, width, on).where("r_start <= l_start AND r_end >= l_end")
+    return overlap_join(cuts, spans, width, on, salts).where("r_start <= l_start AND r_end >= l_end")
 
 
 def merged(df: DataFrame, keys: list[str], slice_width: int) -> DataFrame:

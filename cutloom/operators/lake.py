@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutloom.functions.scalars import cosine
 
 LEVELS = ["reason_key", "subtype", "filler_token"]
 
@@ -66,18 +65,6 @@ def changed(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, "old_value", "new_value", change.alias("change"))
 
 
-def similar_cases(queries: DataFrame, history: DataFrame, block: str, k: int = 5) -> DataFrame:
-    """The ``k`` cases of history most like each query, within its block: query_id, case_id, similarity, place.
-
-    Both have id, ``block`` and embedding. A case is not compared with itself; ties go by id. The limit by rank is applied before
-    rows are shuffled as well as after.
-    """
-    pairs = queries.select(F.col("id").alias("query_id"), block, F.col("embedding").alias("_q")).join(history.select(F.col("id").alias("case_id"), block, F.col("embedding").alias("_c")), block).where("query_id <> case_id")
-    scored = pairs.select("query_id", "case_id", cosine(F.col("_q"), F.col("_c")).alias("similarity"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "case_id")
-    return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-
-
 def confusion(rows: DataFrame, predicted: Column, actual: Column) -> DataFrame:
     """One row: tp, fp, fn, tn."""
     return rows.agg(F.count_if(predicted & actual).alias("tp"), F.count_if(predicted & ~actual).alias("fp"), F.count_if(~predicted & actual).alias("fn"), F.count_if(~predicted & ~actual).alias("tn"))

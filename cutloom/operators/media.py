@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cutloom.operators import intervals
+from cutloom.operators import extremes, intervals
+from cutloom.operators.quantiles import exact_quantiles
 from cutloom.operators.running import same
 
 
@@ -39,7 +40,7 @@ def offset_and_drift(pairs: DataFrame, least_fit: float = 0.99) -> DataFrame:
 def timeline_offset(one: DataFrame, other: DataFrame, segment: str) -> DataFrame:
     """One row: the median of the time differences of the segments (``segment``, t) that both timelines have, and their number."""
     pairs = one.select(segment, F.col("t").alias("_a")).join(other.select(segment, F.col("t").alias("_b")), segment)
-    return pairs.agg(F.percentile(F.col("_a") - F.col("_b"), F.lit(0.5)).alias("offset"), F.count("*").alias("n"))
+    return exact_quantiles(pairs.select((F.col("_a") - F.col("_b")).alias("d")), [], "d", {"offset": 0.5}).select("offset", "n")
 
 
 def with_context(spans: DataFrame, before: int, after: int) -> DataFrame:
@@ -60,11 +61,13 @@ def dominant(levels: DataFrame, window: str, track: str, level: str) -> DataFram
     return levels.groupBy(window).agg(best.alias("x")).select(window, f"x.{track}", f"x.{level}")
 
 
-def edge_levels(cuts: DataFrame, points: DataFrame, reach: int, width: int) -> DataFrame:
-    """For each cut (id, t): n, peak and mean square of the points (t, value) within ``reach`` of it; cuts without points are left out."""
-    around = cuts.select("id", (F.col("t") - reach).alias("start"), (F.col("t") + reach + 1).alias("end"))
-    near = intervals.overlap_join(around, points.select("value", F.col("t").alias("start"), (F.col("t") + 1).alias("end")), width)
-    return near.groupBy("id").agg(F.count("*").alias("n"), F.max(F.abs("value")).alias("peak"), F.avg(F.col("value") * F.col("value")).alias("mean_square"))
+def edge_levels(cuts: DataFrame, points: DataFrame, reach: int, slice_width: int) -> DataFrame:
+    """For each cut (id, t): n, peak and mean square of the points (t, value) within ``reach`` of it; cuts without points are left out, and a null value is silence."""
+    level = F.coalesce(F.abs("value"), F.lit(0.0))
+    rows = points.select("t", level.alias("peak"), (level * level).alias("square"), F.lit(1).cast("bigint").alias("one"))
+    sums = extremes.sums_around(cuts, rows, [], reach, slice_width, n="one", squares="square")
+    highest = extremes.around(cuts, rows, [], reach, slice_width, peak=("max", "peak"))
+    return sums.where("n > 0").join(highest, "id").select("id", "n", "peak", (F.col("squares") / F.col("n")).alias("mean_square"))
 
 
 def unknown_values(rows: DataFrame, key: str, column: str, allowed: list[str]) -> DataFrame:

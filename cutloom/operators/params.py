@@ -15,6 +15,12 @@ DEFAULTS = {
 }
 
 
+#: Cross-fade and room tone in ms by strategy: fixed values.
+SPLICES = {"BUTT_SPLICE": (0, 10), "CROSSFADE_50MS": (50, 0), "CROSSFADE_100MS_HUMAN_REVIEW": (100, 0)}
+#: Target gaps in ms before and after a cut by its class: fixed values.
+HEAD_PADS = {"filler_hesitation": (210, 110), "pause": (100, 120), "boundary_review": (180, 300)}
+
+
 def looked_up(rows: DataFrame, params: DataFrame, key: str, out: str) -> DataFrame:
     """``rows`` (class, profile, …) with the value of ``key``: by class, else by profile, else the default row.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutloom.operators.frames import sliding
 from cutloom.operators.running import same, with_running
 
 
@@ -20,11 +21,15 @@ def runs(words: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
     return islands.groupBy(*keys, "word", "island").agg(F.min("pos").alias("start_pos"), F.count("*").alias("n")).where(F.col("n") >= least).drop("island")
 
 
-def near_any(words: DataFrame, keys: list[str], test: Column, reach: int = 2) -> Column:
-    """Whether any of the ``reach`` words before or after, the word itself aside, meets ``test``."""
-    order = Window.partitionBy(*keys).orderBy("pos")
-    hit = F.max(test.cast("int"))
-    return F.coalesce(F.greatest(hit.over(order.rowsBetween(-reach, -1)), hit.over(order.rowsBetween(1, reach))), F.lit(0)) == 1
+#: Positions of a slice of words.
+WORDS = 4_096
+
+
+def with_near_any(words: DataFrame, keys: list[str], out: str, test: Column, reach: int = 2, slice_width: int = WORDS) -> DataFrame:
+    """``words`` (keys, pos, …) with boolean ``out``: whether any of the ``reach`` words before or after, the word itself aside, meets ``test``."""
+    hit = F.max("_hit")
+    found = sliding(words.withColumn("_hit", test.cast("int")), keys, "pos", slice_width, True, _before=(hit, -reach, -1), _after=(hit, 1, reach))
+    return found.withColumn(out, F.coalesce(F.greatest("_before", "_after"), F.lit(0)) == 1).drop("_hit", "_before", "_after")
 
 
 def with_neighbours(spans: DataFrame, keys: list[str], slice_width: int) -> DataFrame:
@@ -59,10 +64,10 @@ def sentences(points: DataFrame, keys: list[str], gap: int, slice_width: int) ->
     return counted.withColumn("sentence", (F.coalesce("_count", F.lit(0)) + F.col("_new")).cast("bigint")).drop("_prev", "_new", "_count")
 
 
-def around(words: DataFrame, keys: list[str], k: int) -> DataFrame:
+def around(words: DataFrame, keys: list[str], k: int, slice_width: int = WORDS) -> DataFrame:
     """``words`` with ``pre``, the k words before, and ``post``, the word and the k - 1 after it."""
-    order = Window.partitionBy(*keys).orderBy("pos")
-    return words.withColumns({"pre": F.collect_list("word").over(order.rowsBetween(-k, -1)), "post": F.collect_list("word").over(order.rowsBetween(0, k - 1))})
+    listed = F.collect_list("word")
+    return sliding(words, keys, "pos", slice_width, True, pre=(listed, -k, -1), post=(listed, 0, k - 1))
 
 
 def gathered_sentences(words: DataFrame, keys: list[str], slice_width: int = 1000) -> DataFrame:

@@ -10,50 +10,64 @@ from cutloom.operators import candidates, gates, intervals, lake, params, regist
 from cutloom.plans import views
 from cutloom.plans.registry import query
 from cutloom.sources import logs
-from cutloom.tables import table
+from cutloom.tables import table, written
 
 MINUTE, HOUR, DAY = 60_000, 3_600_000, 24 * 3_600_000
 #: Edges by class of a cut, in ms: fixed values.
 EDGES = (("default", None, 100.0), ("class", "click", 180.0), ("class", "purchase", 40.0))
 
+#: Times are packed by this factor, so that tracks are as dense as speech; a track is a fourth of the users.
+PACKED, TRACKS = 20, 4
+PACKED_SQL = f'SELECT id, track AS kind, user_id % {TRACKS} AS track, start // {PACKED} AS start, start // {PACKED} + ("end" - start) AS "end", value FROM ({views.SPANS_SQL})'
 PLAN_SQL = f"""
-spans AS ({views.SPANS_SQL}), cuts AS (SELECT id, track AS kind, user_id, start, "end" FROM spans WHERE track IN ('click', 'error')),
-words AS (SELECT start, "end", value / 100 AS probability FROM spans WHERE track = 'view'),
-evidence AS (SELECT c.id, count(w.start) AS n_words, min(w.probability) AS min_probability FROM cuts c LEFT JOIN words w ON w.start < c."end" AND c.start < w."end" GROUP BY c.id),
-frames AS (SELECT start, "end", row_number() OVER () AS rid FROM spans WHERE track = 'signup' AND value < 60 AND start < "end"),
-marked AS (SELECT *, CASE WHEN start <= max("end") OVER (ORDER BY start, "end", rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM frames),
-islands AS (SELECT start, "end", sum(opens) OVER (ORDER BY start, "end", rid) AS island FROM marked),
-silences AS (SELECT min(start) AS start, max("end") AS "end" FROM islands GROUP BY island HAVING max("end") - min(start) >= 10000),
-silent AS (SELECT DISTINCT c.id FROM cuts c JOIN silences s ON s.start <= c.start AND s."end" >= c."end" AND s.start < c."end" AND c.start < s."end"),
-gaps AS (SELECT id, start - lag("end") OVER w AS gap_before, lead(start) OVER w - "end" AS gap_after FROM cuts WINDOW w AS (PARTITION BY user_id ORDER BY start, id)),
+spans AS ({PACKED_SQL}), cuts AS (SELECT * FROM spans WHERE kind IN ('click', 'error')),
+words AS (SELECT track, start, "end", (start + "end") // 2 AS middle, value / 100 AS probability FROM spans WHERE kind = 'view'),
+evidence AS (
+  SELECT c.id, count(*) FILTER (w.start < c."end" AND c.start < w."end") AS n_words, min(w.probability) FILTER (w.start < c."end" AND c.start < w."end") AS min_probability,
+         c.start - max(w."end") FILTER (middle < c.start) AS gap_before, min(w.start) FILTER (middle >= c."end") - c."end" AS gap_after
+  FROM cuts c LEFT JOIN words w ON w.track = c.track GROUP BY c.id, c.start, c."end"),
+frames AS (SELECT track, start, "end", row_number() OVER () AS rid FROM spans WHERE kind = 'signup' AND value < 60 AND start < "end"),
+marked AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY track ORDER BY start, "end", rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM frames),
+islands AS (SELECT track, start, "end", sum(opens) OVER (PARTITION BY track ORDER BY start, "end", rid) AS island FROM marked),
+silences AS (SELECT track, min(start) AS start, max("end") AS "end" FROM islands GROUP BY track, island HAVING max("end") - min(start) >= 10000),
+held AS (SELECT c.id, bool_or(s.start <= c.start AND s."end" >= c."end") AS held FROM cuts c JOIN silences s ON s.track = c.track AND s.start < c."end" AND c.start < s."end" GROUP BY c.id),
 facts AS (
-  SELECT c.id, c.kind, n_words, min_probability, gap_before, gap_after, s.id IS NOT NULL AS in_silence, least(gap_before, gap_after) AS least_gap, kind = 'click' AND coalesce(min_probability < 0.6, FALSE) AS improbable
-  FROM cuts c JOIN evidence USING (id) JOIN gaps USING (id) LEFT JOIN silent s USING (id)),
+  SELECT c.id, c.kind, c.track, c.start, c."end", n_words, min_probability, gap_before, gap_after,
+    CASE WHEN kind = 'click' AND min_probability < 0.6 THEN 'REJECT_LOW_PROB_HALLUCINATION' WHEN n_words = 0 THEN 'NO_WORD' ELSE 'KEEP' END AS heard,
+    CASE WHEN held THEN 'CUT_IN_SILENCE' WHEN NOT held THEN 'CUT_SPANS_BOUNDARY' WHEN c.track IN (SELECT track FROM silences) THEN 'CUT_IN_CONTENT_ZONE' END AS location
+  FROM cuts c JOIN evidence USING (id) LEFT JOIN held USING (id)),
+paced AS (
+  SELECT *, CASE WHEN least(gap_before, gap_after) < 0 THEN 'RHYTHM_INVALID_NEGATIVE_GAP' WHEN gap_before < 50 AND coalesce(location, '') <> 'CUT_IN_SILENCE' THEN 'RHYTHM_REJECT'
+    WHEN gap_before < 120 OR gap_after < 120 THEN 'RHYTHM_TOO_TIGHT' WHEN gap_before > 300 OR gap_after > 450 THEN 'RHYTHM_DRAGGING' ELSE 'RHYTHM_OK' END AS rhythm FROM facts),
+routed AS (
+  SELECT *, CASE WHEN heard = 'REJECT_LOW_PROB_HALLUCINATION' OR rhythm = 'RHYTHM_INVALID_NEGATIVE_GAP' THEN 'REMOVE_FROM_EDL' WHEN rhythm = 'RHYTHM_TOO_TIGHT' THEN 'NEEDS_HUMAN_REVIEW'
+    WHEN location = 'CUT_IN_SILENCE' THEN 'BUTT_SPLICE' WHEN location = 'CUT_SPANS_BOUNDARY' THEN 'CROSSFADE_50MS' WHEN location = 'CUT_IN_CONTENT_ZONE' THEN 'CROSSFADE_100MS_HUMAN_REVIEW' ELSE 'CROSSFADE_50MS' END AS strategy FROM paced),
 judged AS (
-  SELECT id, n_words, min_probability, in_silence, gap_before, gap_after,
-    CASE WHEN improbable THEN 'REJECT_LOW_PROB_HALLUCINATION' WHEN n_words = 0 THEN 'NO_WORD' ELSE 'KEEP' END AS heard,
-    CASE WHEN least_gap < 50 AND NOT in_silence THEN 'REJECT' WHEN gap_before < 120 OR gap_after < 120 THEN 'TOO_TIGHT' WHEN gap_before > 300 OR gap_after > 450 THEN 'DRAGGING' ELSE 'OK' END AS rhythm,
-    CASE WHEN improbable THEN 'REMOVE' WHEN least_gap < 0 THEN 'REMOVE' WHEN least_gap < 50 THEN 'HUMAN_REVIEW' WHEN in_silence THEN 'BUTT_SPLICE' WHEN n_words > 1 THEN 'CROSSFADE_50MS'
-         WHEN n_words = 1 THEN 'CROSSFADE_100MS_HUMAN_REVIEW' ELSE 'CROSSFADE_50MS' END AS strategy
-  FROM facts)"""
+  SELECT *, CASE WHEN strategy = 'REMOVE_FROM_EDL' OR rhythm = 'RHYTHM_REJECT' THEN 'REJECT' WHEN contains(strategy, 'HUMAN_REVIEW') THEN 'HUMAN_REVIEW' ELSE 'APPROVE' END AS verdict,
+    CASE strategy WHEN 'BUTT_SPLICE' THEN 0 WHEN 'CROSSFADE_50MS' THEN 50 WHEN 'CROSSFADE_100MS_HUMAN_REVIEW' THEN 100 END AS crossfade_ms, CASE WHEN strategy = 'BUTT_SPLICE' THEN 10 WHEN strategy LIKE 'CROSSFADE%' THEN 0 END AS room_tone_ms
+  FROM routed)"""
+
+
+def packed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, kind, track, start, end, value): the events as a few tracks of dense spans."""
+    start = F.floor(F.col("start") / PACKED)
+    return views.spans(spark, sf_dir).select("id", F.col("track").alias("kind"), (F.col("user_id") % TRACKS).alias("track"), start.alias("start"), (start + F.col("end") - F.col("start")).alias("end"), "value")
 
 
 def verified_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks and errors as cuts, views as words, quiet sign-ups as silence."""
-    spans = views.spans(spark, sf_dir)
-    cuts = spans.where("track IN ('click', 'error')").select("id", F.col("track").alias("kind"), "user_id", "start", "end")
-    words = spans.where("track = 'view'").select("start", "end", (F.col("value") / 100).alias("probability"))
-    levels = spans.where("track = 'signup'").select("start", "end", F.col("value").alias("level"), F.lit(0).alias("side"))
-    silence = verification.silences(levels, ["side"], HOUR, 60, 10_000)
-    return verification.verified(cuts, words, silence, ["user_id"], ("click",), MINUTE, DAY)
+    """Clicks and errors as cuts, views as words, quiet sign-ups as silence, each of its own track."""
+    spans = packed_spans(spark, sf_dir)
+    cuts = spans.where("kind IN ('click', 'error')").drop("value")
+    words = spans.where("kind = 'view'").select("track", "start", "end", (F.col("value") / 100).alias("probability"))
+    levels = spans.where("kind = 'signup'").select("track", "start", "end", F.col("value").alias("level"))
+    silence = verification.silences(levels, ["track"], HOUR, 60, 10_000)
+    return verification.verified(cuts, words, silence, ["track"], ("click",), MINUTE, HOUR, salts=4)
 
 
-@query(f"""
-WITH {PLAN_SQL}
-SELECT *, CASE WHEN heard = 'REJECT_LOW_PROB_HALLUCINATION' OR rhythm = 'REJECT' OR strategy = 'REMOVE' THEN 'REJECT' WHEN contains(strategy, 'HUMAN_REVIEW') OR rhythm <> 'OK' THEN 'HUMAN_REVIEW' ELSE 'APPROVE' END AS verdict FROM judged""")
+@query(f"WITH {PLAN_SQL} SELECT id, n_words, min_probability, location, gap_before, gap_after, heard, rhythm, strategy, crossfade_ms, room_tone_ms, verdict FROM judged")
 def q81_verified_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks and errors as cuts: all four checks and the verdict."""
-    return verified_cuts(spark, sf_dir).select("id", "n_words", "min_probability", "in_silence", "gap_before", "gap_after", "heard", "rhythm", "strategy", "verdict")
+    """Clicks and errors as cuts: all four checks against their own track, the splice with its parameters, and the verdict."""
+    return verified_cuts(spark, sf_dir).select("id", "n_words", "min_probability", "location", "gap_before", "gap_after", "heard", "rhythm", "strategy", "params.crossfade_ms", "params.room_tone_ms", "verdict")
 
 
 EDGES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {'NULL' if c is None else repr(c)}, {v})" for s, c, v in EDGES) + ") p(scope, class, value)"
@@ -69,7 +83,7 @@ def q82_class_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame([(s, "edge_ms", c, v) for s, c, v in EDGES], "scope string, key string, class string, value double")
     spans = views.spans(spark, sf_dir).withColumns({"class": F.col("track"), "profile": F.lit(None).cast("string")})
     edged = params.looked_up(spans, known, "edge_ms", "edge").withColumn("edge", F.col("edge").cast("bigint"))
-    return candidates.widened(edged, ["user_id"], DAY, F.col("edge"), pad=20, onset=30).select("id", "edge", "cut_start", "cut_end")
+    return candidates.widened(edged, ["user_id"], F.col("edge"), DAY, pad=20, onset=30).select("id", "edge", "cut_start", "cut_end")
 
 
 @query(f"""
@@ -80,7 +94,7 @@ SELECT conv_id, turn, pos, word FROM near WHERE length(word) = 1 AND (foreign_ne
 def q83_never_cut_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single characters that are never cut: a word of letters is near, or the recogniser was not sure of them."""
     words = views.turn_words(spark, sf_dir).withColumn("probability", F.pmod(F.col("pos") * 37, F.lit(100)) / 100)
-    near = words.withColumn("foreign", sequence.near_any(words, ["conv_id", "turn"], F.col("word").rlike("^[A-Za-z]{2,}")))
+    near = sequence.with_near_any(words, ["conv_id", "turn"], "foreign", F.col("word").rlike("^[A-Za-z]{2,}"))
     return near.where(gates.single_character_guard(F.col("word"), F.col("foreign"), F.col("probability"))).select("conv_id", "turn", "pos", "word")
 
 
@@ -232,15 +246,15 @@ def q95_ordered_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {PLAN_SQL},
-approved AS (SELECT c.* FROM cuts c JOIN judged j USING (id) WHERE NOT (heard = 'REJECT_LOW_PROB_HALLUCINATION' OR j.rhythm = 'REJECT' OR strategy = 'REMOVE')),
-opened AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY user_id ORDER BY start, "end", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM approved WHERE start < "end"),
-numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY start, "end", id) AS n FROM opened),
-taken AS (SELECT user_id, min(start) AS s, max("end") AS e FROM numbered GROUP BY user_id, n)
-SELECT v.id, v.user_id, v.start AS t, CASE WHEN max(CASE WHEN s <= v.start AND v.start < e THEN 1 ELSE 0 END) = 1 THEN NULL ELSE v.start - coalesce(sum(CASE WHEN e <= v.start THEN e - s END), 0) END::BIGINT AS new_t
-FROM spans v LEFT JOIN taken USING (user_id) WHERE v.track = 'view' GROUP BY v.id, v.user_id, v.start""")
+opened AS (
+  SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY track ORDER BY start, "end", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens
+  FROM judged WHERE verdict = 'APPROVE' AND start < "end"),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY track ORDER BY start, "end", id) AS n FROM opened),
+taken AS (SELECT track, min(start) AS s, max("end") AS e FROM numbered GROUP BY track, n)
+SELECT v.id, v.track, v.start AS t, CASE WHEN max(CASE WHEN s <= v.start AND v.start < e THEN 1 ELSE 0 END) = 1 THEN NULL ELSE v.start - coalesce(sum(CASE WHEN e <= v.start THEN e - s END), 0) END::BIGINT AS new_t
+FROM spans v LEFT JOIN taken USING (track) WHERE v.kind = 'view' GROUP BY v.id, v.track, v.start""")
 def q96_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From candidates to the new timeline in one plan: cuts are verified, those not rejected are taken out, and every view gets its time in what is left."""
-    spans = views.spans(spark, sf_dir)
-    kept = verified_cuts(spark, sf_dir).where("verdict <> 'REJECT'").select("user_id", "start", "end")
-    points = spans.where("track = 'view'").select("id", "user_id", F.col("start").alias("t"))
-    return intervals.remapped(points, kept, ["user_id"], DAY)
+    """From candidates to the new timeline: cuts are verified once and written, those approved are taken out, and every view gets its time in what is left."""
+    approved = written(verified_cuts(spark, sf_dir).where("verdict = 'APPROVE'").select("track", "start", "end"), "approved_cuts")
+    points = packed_spans(spark, sf_dir).where("kind = 'view'").select("id", "track", F.col("start").alias("t"))
+    return intervals.remapped(points, approved, ["track"], HOUR)

@@ -56,12 +56,15 @@ def q11_gate_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey,
-       CASE WHEN l_discount < 0.02 THEN 'REMOVE' WHEN l_quantity - 5 < 0 THEN 'REMOVE' WHEN l_quantity - 5 < 10 THEN 'HUMAN_REVIEW' WHEN l_returnflag = 'R' THEN 'BUTT_SPLICE'
+       CASE WHEN l_discount < 0.02 THEN 'REMOVE_FROM_EDL' WHEN l_quantity - 5 < 0 THEN 'REMOVE_FROM_EDL' WHEN l_quantity - 5 < 10 THEN 'NEEDS_HUMAN_REVIEW' WHEN l_returnflag = 'R' THEN 'BUTT_SPLICE'
             WHEN l_linestatus = 'F' THEN 'CROSSFADE_50MS' WHEN l_tax >= 0.04 THEN 'CROSSFADE_100MS_HUMAN_REVIEW' ELSE 'CROSSFADE_50MS' END AS strategy
 FROM lineitem""")
 def q12_splice_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of seven ordered rules names the splice."""
-    strategy = gates.splice_strategy(F.col("l_discount"), F.col("l_quantity") - 5, F.col("l_returnflag") == "R", F.col("l_linestatus") == "F", F.col("l_tax") >= 0.04, least=0.02, tight_ms=10)
+    """The first of seven ordered rules over three checks names the splice."""
+    heard, gap = F.when(F.col("l_discount") < 0.02, "REJECT_LOW_PROB_HALLUCINATION"), F.col("l_quantity") - 5
+    rhythm = F.when(gap < 0, "RHYTHM_INVALID_NEGATIVE_GAP").when(gap < 10, "RHYTHM_TOO_TIGHT")
+    location = F.when(F.col("l_returnflag") == "R", "CUT_IN_SILENCE").when(F.col("l_linestatus") == "F", "CUT_SPANS_BOUNDARY").when(F.col("l_tax") >= 0.04, "CUT_IN_CONTENT_ZONE")
+    strategy = gates.splice_strategy(heard, rhythm, location)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", strategy.alias("strategy"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutloom.functions.scalars import content_hash
-from cutloom.operators import lake, media, rules, running
+from cutloom.operators import lake, media, quantiles, rules, running, similar
 from cutloom.plans.registry import query
 from cutloom.tables import table
 
@@ -45,9 +45,9 @@ WITH q AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 100 =
 s AS (SELECT q.vec_id AS query_id, h.vec_id AS case_id, list_cosine_similarity(q.embedding::DOUBLE[], h.embedding::DOUBLE[]) AS similarity FROM q JOIN embeddings h USING (label) WHERE q.vec_id <> h.vec_id)
 SELECT query_id, case_id, round(similarity, 6) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, case_id) AS place FROM s) WHERE place <= 5""")
 def q19_similar_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar cases of the same class for each query case."""
+    """The five most similar cases of the same class for each query case, by an index and its bounds."""
     history = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
-    found = lake.similar_cases(history.where("id % 100 = 0"), history, "label")
+    found = similar.similar(history.where("id % 100 = 0"), similar.built(history, "label"), "label", exact=True)
     return found.select("query_id", "case_id", F.round("similarity", 6).alias("similarity"), "place")
 
 
@@ -59,9 +59,9 @@ def q20_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lang, round(quantile_cont(n_chars, 0.25), 3) AS p25, round(quantile_cont(n_chars, 0.5), 3) AS median, round(quantile_cont(n_chars, 0.75), 3) AS p75 FROM documents GROUP BY lang")
 def q21_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact quartiles of a measure by class."""
-    p = lambda share: F.round(F.percentile("n_chars", F.lit(share)), 3)
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(p(0.25).alias("p25"), p(0.5).alias("median"), p(0.75).alias("p75"))
+    """Exact quartiles of a measure by class, however large a class is."""
+    found = quantiles.exact_quantiles(table(spark, sf_dir, "documents"), ["lang"], "n_chars", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return found.select("lang", *(F.round(c, 3).alias(c) for c in ("p25", "median", "p75")))
 
 
 @query("""
@@ -153,20 +153,10 @@ def q54_candidate_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.unionByName(events, allowMissingColumns=True).withColumn("state", F.lit("human_review_required"))
 
 
-@query("""
-WITH p AS (SELECT o_custkey, avg(o_totalprice) AS liking FROM orders GROUP BY 1)
-SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 1000 ORDER BY round(liking, 2) DESC NULLS LAST, c_custkey) AS shown_at FROM customer LEFT JOIN p ON o_custkey = c_custkey""")
-def q58_preference_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A preference orders the cases of a page and changes nothing else."""
-    liking = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("liking"))
-    order = Window.partitionBy("c_nationkey", F.floor(F.col("c_custkey") / 1000)).orderBy(F.desc_nulls_last(F.round("liking", 2)), "c_custkey")
-    return table(spark, sf_dir, "customer").join(liking, "c_custkey", "left").select("c_nationkey", "c_custkey", F.row_number().over(order).alias("shown_at"))
-
-
 @query("""
 WITH p AS (SELECT o_custkey, avg(o_totalprice) AS liking FROM orders GROUP BY 1)
 SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY round(liking, 2) DESC NULLS LAST, c_custkey) AS shown_at FROM customer LEFT JOIN p ON o_custkey = c_custkey""")
-def q58b_nation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q58_preference_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The preference order of all cases of a nation, sliced by liking; cases without one, which come last, by id."""
     liking = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg((-F.round(F.avg("o_totalprice"), 2)).alias("down"))
     liked = table(spark, sf_dir, "customer").join(liking, "c_custkey", "left").select("c_nationkey", "c_custkey", F.col("down").isNull().alias("without"), "down")

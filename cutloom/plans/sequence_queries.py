@@ -34,7 +34,7 @@ FROM ({views.TURN_WORDS_SQL})""")
 def q04_neighbour_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with a capital or digit at the head of a word at most two places away."""
     words = views.turn_words(spark, sf_dir)
-    return words.withColumn("guarded", sequence.near_any(words, ["conv_id", "turn"], F.col("word").rlike("^[A-Z0-9]")))
+    return sequence.with_near_any(words, ["conv_id", "turn"], "guarded", F.col("word").rlike("^[A-Z0-9]"))
 
 
 @query(f"""
@@ -84,6 +84,32 @@ def q27_self_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.restarts_in_order(views.words(spark, sf_dir), ["doc_id"])
 
 
+K = 6
+
+
+@query(f"""
+WITH timed AS (SELECT conv_id, turn, pos, word, (pos - 1) * 300 AS start, (pos - 1) * 300 + 20 * length(word) AS "end" FROM ({views.TURN_WORDS_SQL})),
+around AS (
+  SELECT conv_id, turn, pos, start - lag("end") OVER (PARTITION BY conv_id, turn ORDER BY pos) AS gap,
+         list(word) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN {K} PRECEDING AND 1 PRECEDING) AS pre,
+         list(word) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN CURRENT ROW AND {K - 1} FOLLOWING) AS post
+  FROM timed),
+-- the usual table of common subsequences, one row a word of post
+tabled AS (
+  SELECT *, list_reduce(
+    list_prepend(list_transform(range({K + 1}), lambda i: 0::BIGINT), list_transform(post, lambda y: list_transform(pre, lambda x: (x = y)::BIGINT))),
+    lambda above, hits: list_transform(
+      list_reduce(list_prepend([0::BIGINT], list_transform(range({K}), lambda i: [i])), lambda own, place: list_append(own, greatest(own[-1], above[place[1] + 2], above[place[1] + 1] + hits[place[1] + 1]))),
+      lambda v: v)) AS last
+  FROM around WHERE len(pre) = {K} AND len(post) = {K} AND gap >= 200)
+SELECT conv_id, turn, pos, last[-1] / {K}.0::DOUBLE AS ratio, gap FROM tabled WHERE last[-1] / {K}.0::DOUBLE >= 0.3""")
+def q97_edit_ratio_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places after a pause where the six words from here on resemble the six before by edit ratio."""
+    start = (F.col("pos") - 1) * 300
+    timed = views.turn_words(spark, sf_dir).withColumns({"start": start, "end": start + 20 * F.char_length("word")})
+    return candidates.restarts(timed, ["conv_id", "turn"], K, 0.3, gap=200)
+
+
 @query(f"""
 WITH spans AS ({views.SPANS_SQL}),
 marked AS (SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY track ORDER BY start, id) >= 600000 THEN 1 ELSE 0 END AS opens FROM spans)
@@ -104,24 +130,10 @@ def q61_sentence_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.turn_words(spark, sf_dir).groupBy("conv_id", "turn").agg(F.count_if(last.isin(".", "?", "!")).alias("n_sentences"), F.count_if(last == "?").alias("n_questions"), F.max("pos").cast("bigint").alias("n_words"))
 
 
-@query("""
-SELECT conv_id, turn, CASE WHEN length(text) < 200 THEN 'short' WHEN regexp_matches(text, '[0-9]') THEN 'figures' ELSE 'plain' END AS tier,
-       row_number() OVER (PARTITION BY CASE WHEN length(text) < 200 THEN 'short' WHEN regexp_matches(text, '[0-9]') THEN 'figures' ELSE 'plain' END, conv_id // 100 ORDER BY length(text) DESC, conv_id, turn) AS place
-FROM conversations""")
-def q44_priority_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns by review tier, ranked within a tier and page group (a tier alone would be one task)."""
-    from pyspark.sql import Window
-
-    size = F.char_length("text")
-    tiered = table(spark, sf_dir, "conversations").withColumn("tier", F.when(size < 200, "short").when(F.col("text").rlike("[0-9]"), "figures").otherwise("plain"))
-    order = Window.partitionBy("tier", F.floor(F.col("conv_id") / 100)).orderBy(F.desc(size), "conv_id", "turn")
-    return tiered.select("conv_id", "turn", "tier", F.row_number().over(order).alias("place"))
-
-
 @query("""
 SELECT conv_id, turn, tier, row_number() OVER (PARTITION BY tier ORDER BY length(text) DESC, conv_id, turn) AS place
 FROM (SELECT *, CASE WHEN length(text) < 200 THEN 'short' WHEN regexp_matches(text, '[0-9]') THEN 'figures' ELSE 'plain' END AS tier FROM conversations)""")
-def q44b_tier_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q44_priority_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns ranked within their whole review tier, a tier sliced by text length."""
     size = F.char_length("text")
     tiered = table(spark, sf_dir, "conversations").withColumn("tier", F.when(size < 200, "short").when(F.col("text").rlike("[0-9]"), "figures").otherwise("plain"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutloom.functions.scalars import epoch_ms, to_samples
-from cutloom.operators import candidates, intervals, media, params, sequence
+from cutloom.operators import candidates, frames, intervals, media, params, sequence, sync
 from cutloom.plans import views
 from cutloom.plans.registry import query
 from cutloom.tables import table
@@ -133,7 +133,7 @@ def q36_widened_to_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts widened to the spans that cover all of them; others stay as they are."""
     spans = views.spans(spark, sf_dir)
     cuts = spans.where("track = 'click'").select("id", "start", "end")
-    covers = intervals.containing(cuts, spans.where("track = 'error'").select(F.col("id").alias("span_id"), "start", "end"), 60_000)
+    covers = intervals.containing(cuts, spans.where("track = 'error'").select(F.col("id").alias("span_id"), "start", "end"), 60_000, salts=8)
     best = covers.groupBy("id").agg(F.min("r_start").alias("s"), F.max("r_end").alias("e"), F.count("*").alias("k"))
     return cuts.join(best, "id", "left").select("id", F.coalesce("s", "start").alias("cut_start"), F.coalesce("e", "end").alias("cut_end"), F.coalesce("k", F.lit(0)).alias("n_covering"))
 
@@ -156,7 +156,7 @@ SELECT id, greatest(start - 180, coalesce(lag("end") OVER w + 20, start - 180))
 FROM spans WINDOW w AS (PARTITION BY user_id ORDER BY start, id)""")
 def q47_neighbour_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts widened at their edges, but not into the words beside them."""
-    return candidates.within_neighbours(views.spans(spark, sf_dir), ["user_id"], 180, DAY).select("id", "cut_start", "cut_end")
+    return candidates.widened(views.spans(spark, sf_dir), ["user_id"], 180, DAY).select("id", "cut_start", "cut_end")
 
 
 @query(f"""
@@ -227,6 +227,46 @@ def q66_transients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loud.join(speech, "id", "left_anti").select("id", "start")
 
 
+@query("""
+WITH frames AS (SELECT event_type AS track, epoch_us(ts) // 600000000 AS frame, max(value) AS level FROM events GROUP BY ALL),
+around AS (SELECT *, quantile_cont(level, 0.5) OVER (PARTITION BY track ORDER BY frame RANGE BETWEEN 18 PRECEDING AND 18 FOLLOWING) AS median FROM frames)
+SELECT track, frame, level, round(median, 6) AS median FROM around WHERE level >= 2 * median""")
+def q98_peaks_over_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-minute frames of a track whose peak is twice the rolling median of three hours before and after."""
+    frame = F.floor(epoch_ms(F.col("ts")) / 600_000).alias("frame")
+    levels = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("track"), frame).agg(F.max("value").alias("level"))
+    return frames.peaks(levels, ["track"], "frame", "level", 18, 2.0, 1_008).withColumn("median", F.round("median", 6))
+
+
+#: Largest offset, stretch of time and cell of the vote, in ms; the drift that the second clock is given, in parts per million.
+MOST, STRETCH, CELL, DRIFT = 120_000, 6 * HOUR, 400, 35
+
+
+@query(f"""
+WITH spans AS ({SPANS}), a AS (SELECT start AS t FROM spans WHERE id % 7 <> 0), origin AS (SELECT min(start) AS o FROM spans),
+b AS (SELECT start + (start - o) * {DRIFT} // 1000000 + 120 AS t FROM spans, origin WHERE id % 5 <> 0),
+pairs AS (SELECT a.t AS t_a, b.t - a.t AS d FROM a JOIN b ON b.t BETWEEN a.t - {MOST} AND a.t + {MOST}),
+cells AS (SELECT t_a // {STRETCH} AS stretch, floor(d / {CELL})::BIGINT AS cell, count(*) AS n, sum(d) AS sum_d, sum(t_a) AS sum_t FROM pairs GROUP BY ALL),
+two AS (SELECT stretch, cell, sum(n) OVER w AS n, sum(sum_d) OVER w AS sum_d, sum(sum_t) OVER w AS sum_t FROM cells WINDOW w AS (PARTITION BY stretch ORDER BY cell RANGE BETWEEN CURRENT ROW AND 1 FOLLOWING)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stretch ORDER BY n DESC, cell) AS r FROM two) WHERE r = 1 AND n >= 3),
+peaks AS (SELECT stretch, n::BIGINT AS n, sum_d::BIGINT / n::BIGINT AS d, sum_t::BIGINT / n::BIGINT - (SELECT min(t) FROM a) AS t FROM best),
+placed AS (SELECT *, row_number() OVER (ORDER BY stretch) AS place, count(*) OVER () // 2 AS half FROM peaks),
+slope AS (SELECT quantile_cont((y.d - x.d) / (y.t - x.t), 0.5) AS s FROM placed x JOIN placed y ON y.place = x.place + x.half WHERE x.half > 0),
+rests AS (SELECT n, d - s * t AS rest FROM peaks, slope), middle AS (SELECT quantile_cont(rest, 0.5) AS m FROM rests)
+SELECT 0 AS pair, round(max(m), 2) AS offset_ms, round(max(s) * 1e6, 3) AS drift_ppm, round(sum(CASE WHEN abs(rest - m) <= {2 * CELL} THEN n ELSE 0 END) / (SELECT count(*) FROM a), 6) AS share,
+       CASE WHEN sum(CASE WHEN abs(rest - m) <= {2 * CELL} THEN n ELSE 0 END) / (SELECT count(*) FROM a) >= 0.5 THEN 'CORRECT' ELSE 'REFUSE' END AS decision
+FROM rests, middle, slope""")
+def q99_clock_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offset and drift of a second clock that hears most of the events and some that the first one misses, by votes of time differences."""
+    spans = views.spans(spark, sf_dir)
+    origin = spans.agg(F.min("start").alias("o")).first()["o"]
+    a = spans.where("id % 7 <> 0").select(F.lit(0).alias("pair"), F.col("start").alias("t"))
+    late = F.col("start") + F.floor((F.col("start") - origin) * DRIFT / 1_000_000) + 120
+    b = spans.where("id % 5 <> 0").select(F.lit(0).alias("pair"), late.alias("t"))
+    fit = sync.clock_fit(a, b, ["pair"], MOST, STRETCH, CELL, salts=4)
+    return fit.select("pair", F.round("offset_ms", 2).alias("offset_ms"), F.round("drift_ppm", 3).alias("drift_ppm"), F.round("share", 6).alias("share"), "decision")
+
+
 @query(f"SELECT id, greatest(start - 2000, 0) AS context_start, \"end\" + 3000 AS context_end FROM ({SPANS})")
 def q74_context_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans with what surrounds them, for previews."""

@@ -7,7 +7,7 @@ import pytest
 from cutloom.plans import registry
 
 
-@pytest.mark.parametrize(("name", "key", "place"), [("q44b_tier_places", "tier", "place"), ("q58b_nation_order", "c_nationkey", "shown_at")])
+@pytest.mark.parametrize(("name", "key", "place"), [("q44_priority_pages", "tier", "place"), ("q58_preference_order", "c_nationkey", "shown_at")])
 def test_places_count_through_the_whole_key(spark, name, key, place):
     found = defaultdict(list)
     for r in registry.QUERIES[name](spark, "/root/testdata/sf0.01").collect():
