@@ -1,29 +1,10 @@
-"""What the operators share: shared storage between stages, and tokenizer files."""
+"""What the operators share: shared storage between stages (as in ``cutloom.tables``), free names, caches and tokenizer files."""
 
 from __future__ import annotations
 
-import re
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, ``spark.checkpoint.dir``. Where it is unset, a session of one machine (master ``local``)
-    takes a folder in the warehouse; on a cluster that is an error, as the executors might not see each other's files."""
-    place = spark.conf.get("spark.checkpoint.dir", "")
-    if not place and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return place or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, computed once and written to the shared folder: later steps read the files, so a
-    lost executor costs a read and not the work before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from cutloom.tables import shared_dir, written  # noqa: F401
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

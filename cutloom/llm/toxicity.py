@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cutloom.llm.common import ChunkCache
+from cutloom.llm.common import ChunkCache, free_names
 
 #: Labelled documents that the model is fitted on at most; fewer if there are fewer.
 SAMPLE_DOCS = 8_000
@@ -184,12 +184,14 @@ def noisy_or(text: str, sentences: list[tuple[int, int, float]]) -> float:
     return 1 - math.exp(-sum(z if z > 30 else math.log1p(math.exp(z)) for z in distinct.values()))
 
 
-def scored(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``documents`` with ``score`` (0 to 1), and ``offending``: array of (start, end, score) of the sentences that reach ``threshold`` alone.
+def scored(documents: DataFrame, model: Model, threshold: float = THRESHOLD, score: str = "score", offending: str = "offending") -> DataFrame:
+    """``documents`` with columns ``score`` (0 to 1) and ``offending``: array of (start, end, score) of the sentences that reach ``threshold`` alone, one that
+    just reaches it too.
 
     Null, empty and wordless texts score 0; whole texts are read; repeated rows score alike; an empty table stays
-    empty; other columns pass through (ones named score or offending are replaced).
+    empty; other columns pass through (ones with the two names are replaced; ask for other names to keep them).
     """
+    (judged,) = free_names(documents, "judged")
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 2 ** HASH_BITS weights, whatever the input
     kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("offending", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])))])
     least = math.log(threshold / (1 - threshold))
@@ -206,11 +208,14 @@ def scored(documents: DataFrame, model: Model, threshold: float = THRESHOLD) ->
                 rows.append({"score": noisy_or(said, sentences), "offending": bad})
             yield pa.array(rows, pa.struct([("score", pa.float64()), ("offending", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))]))
 
-    judged = documents.withColumn("__judged", judge(F.col("text")))
-    return judged.withColumn("score", F.col("__judged.score")).withColumn("offending", F.col("__judged.offending")).drop("__judged")
+    both = documents.withColumn(judged, judge(F.col("text")))
+    return both.withColumn(score, F.col(judged)["score"]).withColumn(offending, F.col(judged)["offending"]).drop(judged)
 
 
 def toxicity_report(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE_DOCS) -> DataFrame:
-    """For each row: doc_id, held_out, score, predicted, n_offending (sentences that reach ``threshold`` alone)."""
+    """For each row: doc_id, held_out, score, predicted (1 from ``threshold`` on), n_offending (sentences that reach ``threshold`` alone).
+
+    Null, empty and wordless texts score 0; rows without an id are in the fold of an empty one; repeated rows score alike; an empty table gives no
+    rows; other columns are ignored."""
     judged = scored(documents.select("doc_id", "text"), learn(documents, labels, sample), threshold)
     return judged.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.size("offending").cast("bigint").alias("n_offending"))

@@ -106,7 +106,8 @@ def test_beyond_the_broadcast_and_small_caches(spark, sf, whole, monkeypatch):
     docs = table(spark, sf, "documents").limit(60)
     held = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     monkeypatch.setattr(alignment, "MOST_PAIRS", 10)
-    monkeypatch.setattr(alignment, "TASK_PAIRS", 50)
+    monkeypatch.setattr(alignment, "STEP_DOCS", 7)
+    monkeypatch.setattr(alignment, "JOINED", 3)
     assert rows(alignment.alignment_report(spark.createDataFrame(held, "doc_id long, text string"))) == in_order(expected(held, whole))
 
 
