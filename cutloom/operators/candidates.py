@@ -84,6 +84,27 @@ def answered(words: DataFrame, others: DataFrame, track: str, reach: int, width:
     return words.join(beside.join(ends, "_bin").where(heard).select("id"), "id", "left_semi")
 
 
+def without_backchannel(found: DataFrame, speech: DataFrame, roles: DataFrame, tokens: tuple[str, ...], track: str, role: str = "host", reach: int = 3_000, width: int = 60_000) -> DataFrame:
+    """``found`` (id, token, t, track) without what only answers another speaker: one of the ``tokens``, said on a track whose role (``roles``: track, role) is ``role``, while
+    another track speaks (``speech``: t, track) within ``reach`` of it.
+
+    Tracks without a role, and tokens or times that are null, are never taken for an answer.
+    """
+    said = found.where(F.col("token").isin(*tokens)).join(roles.where(F.col("role") == role).select(track), track, "left_semi")
+    return found.join(answered(said, speech, track, reach, width).select("id"), "id", "left_anti")
+
+
+def fillers_and_pauses(words: DataFrame, speech: DataFrame, roles: DataFrame, fillers: tuple[str, ...], backchannel: tuple[str, ...], track: str, least_pause: int, reach: int, width: int) -> DataFrame:
+    """One table of candidates (kind, id, track, start, end): filler words that are no backchannel, and pauses of all tracks.
+
+    ``words`` (id, track, token, start, end); ``speech`` (id, track, start, end) is all that is said. A pause has the id of the span before it.
+    """
+    spoken = words.where(F.col("token").isin(*fillers)).withColumn("t", F.col("start"))
+    kept = without_backchannel(spoken, speech.select(track, F.col("start").alias("t")), roles, backchannel, track, reach=reach, width=width)
+    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", track, "start", "end")
+    return named(kept, "filler").unionByName(named(shared_pauses(speech, track, least_pause, width), "pause"))
+
+
 def restarts(words: DataFrame, keys: list[str], k: int = 4, least: float = 0.75, gap: float | None = None, slice_width: int = sequence.WORDS) -> DataFrame:
     """Places where the ``k`` words from here on resemble the ``k`` before in order: keys, pos, ratio (edit ratio, ``least`` or more).
 

@@ -1,4 +1,4 @@
-"""The table side of media steps: file facts, frames, levels and offsets. Signal processing itself stays outside."""
+"""The table side of media steps: frames, levels and offsets. Signal processing itself stays outside; facts of files are read by ``sources.wav``."""
 
 from __future__ import annotations
 
@@ -10,21 +10,6 @@ from cutloom.operators.quantiles import exact_quantiles
 from cutloom.operators.running import same
 
 
-def little_endian(content: Column, at: int, size: int) -> Column:
-    """The unsigned number in ``size`` bytes of a binary from offset ``at`` on."""
-    digits = F.hex(F.substring(content, at + 1, size))
-    turned = F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))))
-    return F.conv(turned, 16, 10).cast("bigint")
-
-
-def wav_facts(files: DataFrame) -> DataFrame:
-    """(path, codec, channels, sample_rate, bits, duration_s) of files (path, content) with a plain 44-byte WAV header; others are left out."""
-    content = F.col("content")
-    waves = files.where((F.substring(content, 1, 4) == F.lit(b"RIFF")) & (F.substring(content, 9, 4) == F.lit(b"WAVE")))
-    rate = little_endian(content, 28, 4)
-    return waves.select("path", little_endian(content, 20, 2).alias("codec"), little_endian(content, 22, 2).alias("channels"), little_endian(content, 24, 4).alias("sample_rate"), little_endian(content, 34, 2).alias("bits"), F.try_divide(F.octet_length(content) - 44, rate).alias("duration_s"))
-
-
 def drift_fixture(spark: SparkSession, n: int, offset_ms: float, drift_ppm: float, step_ms: int = 1000) -> DataFrame:
     """(t_a, t_b): times of one clock, and of another with a known offset and drift."""
     t = F.col("id") * step_ms

@@ -17,10 +17,16 @@ def imported_names(sources: DataFrame, skipped: list[str]) -> DataFrame:
     return names.where("n <> ''").select(F.lower(F.element_at(F.split("n", r"\."), 1)).alias("name")).distinct()
 
 
-def declared_names(entries: DataFrame, stop: list[str]) -> DataFrame:
-    """Names in dependency entries (entry): parted at blanks and version signs, without numbers and ``stop`` words."""
-    parts = entries.select(F.explode(F.split(F.lower("entry"), r"[\s:>=<,]+")).alias("name"))
-    return parts.where((F.col("name") != "") & ~F.col("name").rlike("^[0-9.]+$") & ~F.col("name").isin(*stop)).distinct()
+def declared_names(top: DataFrame, tools: DataFrame, stop: list[str]) -> DataFrame:
+    """Names (name) that a registry declares: each entry of its ``top`` level (entry: a string taken whole, or a JSON object with a name), and the parts of each tool's entries.
+
+    The entries of ``tools`` (entry) are parted at blanks and version signs; whole numbers and ``stop`` words are no names, but a version with a dot stays.
+    """
+    named = F.when(F.startswith("entry", F.lit("{")), F.get_json_object("entry", "$.name")).otherwise(F.col("entry"))
+    whole = top.select(F.lower(named).alias("name")).where("name IS NOT NULL")
+    parts = tools.select(F.explode(F.split(F.lower("entry"), r"[\s:>=<,]+")).alias("name"))
+    parts = parts.where((F.col("name") != "") & ~F.col("name").rlike("^[0-9]+$") & ~F.col("name").isin(*stop))
+    return whole.union(parts).distinct()
 
 
 def normal(name: Column) -> Column:

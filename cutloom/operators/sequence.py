@@ -82,6 +82,20 @@ def gathered_sentences(words: DataFrame, keys: list[str], slice_width: int = 100
     return found.withColumn("text", F.array_join("words", " "))
 
 
+def sentences_by_gap(words: DataFrame, keys: list[str], gap: int, slice_width: int) -> DataFrame:
+    """Sentences of timed words (keys, pos, word, start, end) that a pause of ``gap`` or more parts: keys, sentence (from 0), first_pos, last_pos, start, end, words.
+
+    A pause is counted from the latest end so far. A word without times goes with the one before it.
+    """
+    along = F.floor(F.col("pos") / slice_width)
+    heard = with_running(words, keys, ["pos"], along, _heard=("max", "end"))
+    opened = heard.withColumn("_opens", F.when(F.col("start") - F.col("_heard") >= gap, 1).otherwise(0))
+    counted = with_running(opened, keys, ["pos"], along, _before=("sum", "_opens"))
+    number = (F.coalesce("_before", F.lit(0)) + F.col("_opens")).cast("bigint")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "word")))
+    return counted.groupBy(*keys, number.alias("sentence")).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.min("start").alias("start"), F.max("end").alias("end"), F.transform(ordered, lambda x: x["word"]).alias("words"))
+
+
 def sentence_restarts(sentences: DataFrame, keys: list[str], least: float = 0.75) -> DataFrame:
     """Sentences that share at least so much of both word sets with the sentence before: keys, sentence, overlap.
 

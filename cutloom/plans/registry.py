@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from cutloom.plans import cut_queries, decision_queries, history_queries, registry_queries, search_queries, sequence_queries, time_queries  # noqa: E402, F401
+from cutloom.plans import cut_queries, decision_queries, file_queries, history_queries, project_queries, registry_queries, search_queries, sequence_queries, time_queries  # noqa: E402, F401

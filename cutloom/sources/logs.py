@@ -38,9 +38,9 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CASE).json(path).withColumn("n", F.from_json("note", CASE_NOTE)).select("*", "n.*").drop("n")
 
 
-def decisions(spark: SparkSession, root: str, name: str = "*decisions.json") -> DataFrame:
-    """All decisions of the files that match ``name`` anywhere below ``root``: run_id, reviewer, clip_id, verdict, note, decided_at."""
-    rows = spark.read.schema(DECISIONS).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
+def decisions(spark: SparkSession, root: str, name: str = "*decisions.json", lines: bool = False) -> DataFrame:
+    """All decisions of the files that match ``name`` anywhere below ``root``: run_id, reviewer, clip_id, verdict, note, decided_at. A file is one document, or with ``lines`` one in each line."""
+    rows = spark.read.schema(DECISIONS).option("multiLine", not lines).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
     return rows.select("run_id", "reviewer", F.explode("decisions").alias("d")).select("run_id", "reviewer", "d.clip_id", "d.verdict", "d.note", parsed_time(F.col("d.decided_at")).alias("decided_at"))
 
 
@@ -59,15 +59,15 @@ def texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 def word_rows(documents: DataFrame) -> DataFrame:
     """The words of transcripts (text: a JSON document with track and timed words, and any other columns): all other columns, track, pos, word, start and end in ms, probability, fault.
 
-    ``fault`` says what a word lacks: its text, its times, an end after its start, or a probability from 0 to 1 where one is given; null if nothing. Texts
-    that are no such document give no rows.
+    ``fault`` says what a word lacks: its text, its times, an end after its start, or a probability from 0 to 1 where one is given; null if nothing. A text
+    that is no such document, or has no words, is one row with the fault ``no_document`` or ``no_words`` and no position.
     """
     read = documents.withColumn("_t", F.from_json("text", WORDS)).drop("text")
-    each = read.select(*read.drop("_t").columns, F.col("_t.track").alias("track"), F.posexplode("_t.words").alias("_n", "_w"))
+    each = read.select(*read.drop("_t").columns, F.col("_t.track").alias("track"), F.posexplode_outer("_t.words").alias("_n", "_w"), F.col("_t.words").isNull().alias("_none"))
     ms = lambda name: F.round(F.col(f"_w.{name}") * 1000).cast("bigint").alias(name)
     timed = each.select(*each.drop("_n", "_w").columns, (F.col("_n") + 1).alias("pos"), F.col("_w.word").alias("word"), ms("start"), ms("end"), F.col("_w.probability").alias("probability"))
-    fault = F.when(F.coalesce("word", F.lit("")) == "", "no_word").when(F.col("start").isNull() | F.col("end").isNull(), "no_time").when(F.col("end") < F.col("start"), "order").when(~F.col("probability").between(0, 1), "probability")
-    return timed.withColumn("fault", fault)
+    fault = F.when(F.col("_none"), "no_document").when(F.col("pos").isNull(), "no_words").when(F.coalesce("word", F.lit("")) == "", "no_word").when(F.col("start").isNull() | F.col("end").isNull(), "no_time").when(F.col("end") < F.col("start"), "order").when(~F.col("probability").between(0, 1), "probability")
+    return timed.withColumn("fault", fault).drop("_none")
 
 
 def words(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Live refresh: new decisions rebuild the lake and the gates; sessions and late events."""
+"""Live refresh: new decisions change the lake and the gates by what they change; sessions and late events."""
 
 from __future__ import annotations
 
@@ -10,25 +10,85 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cutloom.operators.lake import changed, label_lake
-from cutloom.operators.rules import latest
+from cutloom.operators.lake import changed
 
 
-def refresh_on_decisions(decisions: DataFrame, log: str, lake: str, checkpoint: str, keys: list[str], levels: list[str], regate: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Runs through what has arrived in the stream ``decisions`` (keys, levels, accepted, decided_at): each batch goes into ``log`` once,
-    and the lake is built anew from the latest decision of each key, as decisions may change."""
+#: A key's state: its latest decision.
+LATEST = "decided_us long, accepted boolean, levels array<string>"
+
+
+def deltas(decisions: DataFrame, keys: list[str], levels: list[str]) -> DataFrame:
+    """What each batch of the stream ``decisions`` (keys, levels, accepted, decided_at) changes in the roll-up: levels, accept, reject, each +1 or -1.
+
+    Each key's latest decision is its state. A later one takes the former one's count back and adds its own; an earlier or repeated one changes nothing. Of
+    decisions of one time an accepting one wins; those without a time are the earliest. A decision that is null counts for nothing.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in decisions.schema.fields}
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = state.get if state.exists else None
+        now = old
+        for batch in batches:
+            for us, accepted, *own in batch[["_us", "accepted", *levels]].itertuples(index=False):
+                made = (None if pd.isna(us) else int(us), None if pd.isna(accepted) else bool(accepted), ["unknown" if pd.isna(x) else x for x in own])
+                order = lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, bool(d[1]), [*d[2]])
+                now = made if now is None or order(made) > order(now) else now
+        rows = []
+        if now is not None and (old is None or (now[0], now[1], [*now[2]]) != (old[0], old[1], [*old[2]])):
+            state.update(now)
+            for sign, held in ((-1, old), (1, now)):
+                if held is not None and held[1] is not None:
+                    rows.append((*held[2], sign * held[1], sign * (not held[1])))
+        yield pd.DataFrame(rows, columns=[*levels, "accept", "reject"]).astype({"accept": "int64", "reject": "int64"})
+
+    timed = decisions.select(*keys, *levels, "accepted", F.unix_micros(F.col("decided_at")).alias("_us"))
+    out = ", ".join([*(f"{c} {kinds[c]}" for c in levels), "accept long, reject long"])
+    return timed.groupBy(*keys).applyInPandasWithState(fold, out, LATEST, "update", GroupStateTimeout.NoTimeout)
+
+
+def published(spark: SparkSession, lake: str) -> DataFrame | None:
+    """The newest whole version of a lake's leaves, or null where none is published. A version counts once its last file, the mark of success, is there."""
+    done = whole_versions(spark, lake)
+    return spark.read.parquet(f"{lake}/version={max(done)}") if done else None
+
+
+def whole_versions(spark: SparkSession, lake: str) -> list[int]:
+    """The numbers of the versions below ``lake`` that are written to the end."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(lake)
+    system = folder.getFileSystem(conf)
+    if not system.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(folder)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and system.exists(jvm.org.apache.hadoop.fs.Path(f"{lake}/{n}/_SUCCESS")))
+
+
+def rolled_up(leaves: DataFrame, levels: list[str]) -> DataFrame:
+    """The lake as ``operators.lake.label_lake`` gives it, from its leaves (levels, accept, reject)."""
+    rolled = leaves.rollup(*levels).agg(F.grouping_id().alias("gid"), F.sum("accept").alias("accept"), F.sum("reject").alias("reject"))
+    level, total = F.lit(len(levels)) - F.log2(F.col("gid") + 1).cast("int"), F.col("accept") + F.col("reject")
+    return rolled.select(level.cast("int").alias("level"), *levels, "accept", "reject", total.alias("total"), F.round(F.col("accept") / total, 3).alias("accept_rate"))
+
+
+def refresh_on_decisions(decisions: DataFrame, lake: str, checkpoint: str, keys: list[str], levels: list[str], regate: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """Runs through what has arrived in the stream ``decisions`` (keys, levels, accepted, decided_at) and keeps the leaves of the lake as versions below ``lake``.
+
+    A batch reads itself, the state of its keys and the leaves of the version before; its deltas make the next version, which readers see only when it is whole
+    (``published``). A batch that runs again writes its own version again from the same one. Leaves that nothing counts for any more go. ``regate`` gets the rolled-up lake.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        # a batch that runs again writes its own folder again
-        rows.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        every = spark.read.parquet(log)
-        now = label_lake(latest(every, keys, [F.desc_nulls_last("decided_at"), F.desc("accepted")]), levels)
-        now.write.mode("overwrite").parquet(lake)
+        before = [v for v in whole_versions(spark, lake) if v < number]
+        old = spark.read.parquet(f"{lake}/version={before[-1]}") if before else None
+        every = rows if old is None else old.unionByName(rows)
+        now = every.groupBy(*levels).agg(F.sum("accept").alias("accept"), F.sum("reject").alias("reject")).where("accept <> 0 OR reject <> 0")
+        now.write.mode("overwrite").parquet(f"{lake}/version={number}")
         if regate:
-            regate(spark.read.parquet(lake))
+            regate(rolled_up(spark.read.parquet(f"{lake}/version={number}"), levels))
 
-    return decisions.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = deltas(decisions, keys, levels).writeStream.outputMode("update").foreachBatch(batch)
+    return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def regate_diff(old: DataFrame, new: DataFrame, key: str = "case_id") -> DataFrame:
@@ -43,33 +103,10 @@ def counted_by_window(events: DataFrame, time: str, late: str, window: str, slid
 
 
 def sessions(events: DataFrame, key: str, time: str, gap_ms: int, late: str) -> DataFrame:
-    """Sessions of a stream: key, start_ms, end_ms, n; one is closed when no event of its key comes for ``gap_ms`` of event time."""
-
-    def fold(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            start, end, n = state.get
-            state.remove()
-            yield pd.DataFrame({key: [keys[0]], "start_ms": [start], "end_ms": [end], "n": [n]})
-            return
-        now = state.get if state.exists else None
-        closed = []
-        times = sorted(t for b in batches for t in (b[time].astype("datetime64[ms]").astype("int64")))
-        for t in times:
-            if now is None:
-                now = (t, t, 1)
-            elif t < now[0] - gap_ms or t - now[1] > gap_ms:
-                closed.append(now)
-                now = (t, t, 1)
-            else:
-                now = (min(now[0], t), max(now[1], t), now[2] + 1)
-        if now is not None:
-            state.update(now)
-            state.setTimeoutTimestamp(max(now[1] + gap_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [keys[0]] * len(closed), "start_ms": [c[0] for c in closed], "end_ms": [c[1] for c in closed], "n": [c[2] for c in closed]})
-
+    """Sessions of a stream: key, start_ms, end_ms, n; one is closed when no event of its key comes for more than ``gap_ms`` of event time."""
     timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
-    kind = dict(events.dtypes)[key]
-    return timed.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, start_ms long, end_ms long, n long", "start_ms long, end_ms long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    grown = timed.groupBy(F.session_window(time, f"{gap_ms + 1} milliseconds").alias("w"), key).agg(F.count("*").alias("n"), F.max(time).alias("last"))
+    return grown.select(key, F.unix_millis(F.col("w.start")).alias("start_ms"), F.unix_millis("last").alias("end_ms"), "n")
 
 
 def as_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -269,8 +269,9 @@ def test_imports_and_declarations(spark):
     text = "import os, numpy.linalg\nfrom  pandas.core import x\n  import re\nprint('import no')\n"
     sources = spark.createDataFrame([("/a/b.py", text), ("/a/venv/c.py", "import hidden")], "path string, text string")
     assert {r[0] for r in registry_checks.imported_names(sources, ["venv"]).collect()} == {"os", "numpy", "pandas", "re"}
-    entries = spark.createDataFrame([("Torch>=2.0",), ("python 3 ffmpeg: 6",)], "entry string")
-    assert {r[0] for r in registry_checks.declared_names(entries, ["python"]).collect()} == {"torch", "ffmpeg"}
+    top = spark.createDataFrame([("Scikit-Learn",), ('{"name": "NumPy", "version": "2"}',), ('{"version": "2"}',), (None,)], "entry string")
+    entries = spark.createDataFrame([("Torch>=2.0",), ("python 3 ffmpeg: 6",), (None,)], "entry string")
+    assert {r[0] for r in registry_checks.declared_names(top, entries, ["python"]).collect()} == {"scikit-learn", "numpy", "torch", "2.0", "ffmpeg"}
 
 
 def test_unregistered_needs_no_match_at_all(spark):

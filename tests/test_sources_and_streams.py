@@ -1,13 +1,15 @@
 """Readers, sinks and streams over files that the tests write."""
 
 import json
+import struct
+import wave
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from cutloom.operators import lake
-from cutloom.sources import logs
+from cutloom.operators import lake, rules
+from cutloom.sources import logs, wav
 from cutloom.streaming import refresh
 from cutloom.tables import table
 
@@ -63,19 +65,31 @@ def test_manifest_does_not_depend_on_order(spark, sf):
     assert whole(nation) == whole(nation.orderBy(F.desc("n_name")).repartition(5)) != whole(nation.where("n_nationkey > 0"))
 
 
-def test_refresh_takes_changed_decisions(spark, tmp_path):
-    place = {name: str(tmp_path / name) for name in ("in", "log", "lake", "check")}
-    kind = "case_id int, reason_key string, accepted boolean, decided_at timestamp"
-    seen = []
+def test_refresh_equals_a_full_rebuild(spark, tmp_path):
+    """Late, changed, replayed and undone decisions: after each batch the lake is what a rebuild from all decisions gives."""
+    place = {name: str(tmp_path / name) for name in ("in", "lake", "check")}
+    kind = "case_id int, reason_key string, subtype string, accepted boolean, decided_at timestamp"
+    levels, seen, arrived = ["reason_key", "subtype"], [], []
+    as_rows = lambda df: sorted((r["level"], r["reason_key"] or "", r["subtype"] or "", r["accept"], r["reject"], r["total"], r["accept_rate"]) for r in df.collect())
 
     def arrive(rows):
-        spark.createDataFrame(rows, "case_id int, reason_key string, accepted boolean, t string").withColumn("decided_at", F.to_timestamp("t")).drop("t").write.mode("append").parquet(place["in"])
-        refresh.refresh_on_decisions(refresh.as_stream(spark, place["in"], kind), place["log"], place["lake"], place["check"], ["case_id"], ["reason_key"], lambda df: seen.append(df.count())).awaitTermination(120)
-        return {(r["level"], r["reason_key"]): (r["accept"], r["reject"]) for r in spark.read.parquet(place["lake"]).collect()}
-
-    assert arrive([(1, "filler", True, "2026-01-01"), (2, "filler", False, "2026-01-01")]) == {(0, None): (1, 1), (1, "filler"): (1, 1)}
-    assert arrive([(1, "filler", False, "2026-01-02"), (3, "pause", True, "2026-01-02")]) == {(0, None): (1, 2), (1, "filler"): (0, 2), (1, "pause"): (1, 0)}
-    assert len(seen) == 2
+        arrived.extend(rows)
+        made = lambda rs: spark.createDataFrame(rs, "case_id int, reason_key string, subtype string, accepted boolean, t string").withColumn("decided_at", F.to_timestamp("t")).drop("t")
+        made(rows).write.mode("append").parquet(place["in"])
+        refresh.refresh_on_decisions(refresh.as_stream(spark, place["in"], kind), place["lake"], place["check"], ["case_id"], levels, lambda df: seen.append(as_rows(df))).awaitTermination(120)
+        newest = rules.latest(made(arrived), ["case_id"], [F.desc_nulls_last("decided_at"), F.desc("accepted")])
+        want = as_rows(lake.label_lake(newest, levels))
+        assert seen[-1] == want == as_rows(refresh.rolled_up(refresh.published(spark, place["lake"]), levels))
+
+    assert refresh.published(spark, place["lake"]) is None
+    arrive([(1, "filler", "a", True, "2026-01-02"), (2, "filler", "a", False, "2026-01-02"), (3, "pause", None, True, "2026-01-02"), (None, "noise", "x", True, None)])
+    arrive([(1, "filler", "a", False, "2026-01-03"), (2, "filler", "a", True, "2026-01-01"), (4, "filler", "b", True, "2026-01-03"), (4, "filler", "b", True, "2026-01-03")])
+    arrive([(1, "filler", "a", False, "2026-01-03"), (3, "stop", "c", False, "2026-01-04"), (2, "filler", "a", None, "2026-01-05"), (4, "filler", "b", False, "2026-01-03")])
+    # a version that was not finished is not seen, and the batch that made it is made again from the one before
+    versions = refresh.whole_versions(spark, place["lake"])
+    assert versions == [0, 1, 2]
+    (tmp_path / "lake" / "version=2" / "_SUCCESS").unlink()
+    assert refresh.whole_versions(spark, place["lake"]) == [0, 1]
 
 
 def test_regate_diff(spark):
@@ -112,16 +126,49 @@ def test_lake_excludes_reviewers(spark):
     assert (got["accept"], got["reject"]) == (1, 0)
 
 
-def test_wav_facts_and_drift(spark, tmp_path):
-    import wave
+def chunk(name, body, size=None):
+    return name + struct.pack("<I", len(body) if size is None else size) + body + b"\0" * (len(body) % 2)
 
-    from cutloom.operators import media
 
+def form(codec, channels, rate, bits, rest=b""):
+    return struct.pack("<HHIIHH", codec, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits) + rest
+
+
+def test_wav_files_by_chunk(spark, tmp_path):
     with wave.open(str(tmp_path / "a.wav"), "wb") as w:
         w.setnchannels(2), w.setsampwidth(3), w.setframerate(48_000)
         w.writeframes(b"\0" * 6 * 24_000)
-    (tmp_path / "b.wav").write_bytes(b"no wave at all")
-    row = media.wav_facts(spark.read.format("binaryFile").load(str(tmp_path))).collect()
-    assert [tuple(r)[1:] for r in row] == [(1, 2, 48_000, 24, 0.5)]
+    second = b"\1" * 96_000
+    extensible = form(0xFFFE, 1, 48_000, 16, struct.pack("<HHI", 22, 16, 4) + struct.pack("<H", 3) + b"\0" * 14)
+    riff = lambda *chunks, name=b"RIFF", size=None: chunk(name, b"WAVE" + b"".join(chunks), size)
+    made = {
+        "list.wav": riff(chunk(b"LIST", b"INFOodd"), chunk(b"JUNK", b"\0" * 28), chunk(b"fmt ", form(1, 1, 48_000, 16)), chunk(b"data", second)),
+        "after.wav": riff(chunk(b"data", second), chunk(b"fmt ", form(1, 1, 48_000, 16))),
+        "extensible.wav": riff(chunk(b"fmt ", extensible), chunk(b"fact", b"\0" * 4), chunk(b"data", second)),
+        "large.wav": riff(chunk(b"ds64", struct.pack("<QQQI", 0, 96_000, 0, 0)), chunk(b"fmt ", form(1, 1, 48_000, 16)), chunk(b"data", second, 0xFFFFFFFF), name=b"RF64", size=0xFFFFFFFF),
+        "cut.wav": riff(chunk(b"fmt ", form(1, 1, 48_000, 16)), chunk(b"data", second, 5_000_000)),
+        "none.wav": b"no wave at all", "empty.wav": b"", "bare.wav": riff(chunk(b"data", second)), "silent.wav": riff(chunk(b"fmt ", form(1, 1, 8_000, 8))),
+    }
+    (tmp_path / "below").mkdir()
+    for name, body in made.items():
+        (tmp_path / ("below/" * (name[0] == "e") + name)).write_bytes(body)
+    (tmp_path / "notes.txt").write_text("no sound")
+    spark.dataSource.register(wav.WavSource)
+    want = {
+        "a.wav": (1, 2, 48_000, 24, 144_000, 0.5, None), "list.wav": (1, 1, 48_000, 16, 96_000, 1.0, None), "after.wav": (1, 1, 48_000, 16, 96_000, 1.0, None), "extensible.wav": (3, 1, 48_000, 16, 96_000, 1.0, None),
+        "large.wav": (1, 1, 48_000, 16, 96_000, 1.0, None), "cut.wav": (1, 1, 48_000, 16, 96_000, 1.0, None), "none.wav": (None,) * 6 + ("no_wave",), "empty.wav": (None,) * 6 + ("no_wave",),
+        "bare.wav": (None, None, None, None, 96_000, None, "no_format"), "silent.wav": (1, 1, 8_000, 8, None, None, "no_data"),
+    }
+    read = lambda df: {r["path"].rsplit("/", 1)[1]: tuple(r)[2:] for r in df.collect()}
+    assert read(spark.read.format("wav_facts").option("path", str(tmp_path)).option("suffix", ".WAV").load()) == want
+    assert read(spark.read.format("wav_facts").option("path", f"file://{tmp_path}/a.wav").load()) == {"a.wav": want["a.wav"]}
+    del want["empty.wav"]  # Spark's listing passes over files of no length
+    assert read(wav.wav_facts(logs.files(spark, str(tmp_path), "*.wav"))) == want
+    assert wav.read_facts(str(tmp_path / "gone.wav"))[-1] == "unreadable: FileNotFoundError"
+
+
+def test_drift_of_matched_points(spark):
+    from cutloom.operators import media
+
     fit = media.offset_and_drift(media.drift_fixture(spark, 500, 120.0, 35.0)).first()
     assert fit["offset_ms"] == pytest.approx(120, abs=1e-3) and fit["drift_ppm"] == pytest.approx(35, abs=1e-3) and fit["decision"] == "CORRECT"

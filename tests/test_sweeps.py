@@ -102,7 +102,7 @@ def test_word_transcripts_and_versions(spark, tmp_path):
     (tmp_path / "in" / "t.json").write_text(json.dumps({"track": "host", "words": words}))
     (tmp_path / "in" / "odd.json").write_text("[no transcript")
     found = logs.words(spark, str(tmp_path / "in")).orderBy("pos").collect()
-    assert [(r["track"], r["pos"], r["word"], r["start"], r["end"], r["fault"]) for r in found] == [("host", 1, "so", 100, 350, None), ("host", 2, "", 1000, 2000, "no_word"), ("host", 3, "x", 2000, 1500, "order"), ("host", 4, "y", None, 3000, "no_time"), ("host", 5, "z", 3000, 3000, "probability"), ("host", 6, "w", 4000, 5000, None)]
+    assert [(r["track"], r["pos"], r["word"], r["start"], r["end"], r["fault"]) for r in found] == [(None, None, None, None, None, "no_document"), ("host", 1, "so", 100, 350, None), ("host", 2, "", 1000, 2000, "no_word"), ("host", 3, "x", 2000, 1500, "order"), ("host", 4, "y", None, 3000, "no_time"), ("host", 5, "z", 3000, 3000, "probability"), ("host", 6, "w", 4000, 5000, None)]
 
     root = str(tmp_path / "versions")
     logs.write_version(spark.range(3), root, 1)
