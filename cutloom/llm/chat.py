@@ -42,17 +42,17 @@ def messages(events: DataFrame) -> DataFrame:
     are empty; null seqs come first; events with one seq go by op (``delta`` last) and text; an unknown op is a
     ``delta``; deltas before any other event open the message.
     """
-    resets = F.col("op").isin("message", "edit", "regenerate")
-    order = Window.partitionBy("conv_id", "message_id").orderBy("seq", F.coalesce(~resets, F.lit(True)), "op", "text")
-    placed = events.withColumn("place", F.row_number().over(order))
-    whole = Window.partitionBy("conv_id", "message_id")
-    placed = placed.withColumn("last_reset", F.max(F.when(resets, F.col("place"))).over(whole))
-    live = F.when(F.col("last_reset").isNull() | (F.col("place") >= F.col("last_reset")), F.struct("place", F.coalesce("text", F.lit("")).alias("text")))
-    roles = F.when(F.col("role").isNotNull(), F.struct("place", "role"))
-    return placed.groupBy("conv_id", "message_id").agg(
-        F.min("seq").alias("seq"),
-        F.coalesce(F.min(roles)["role"], F.lit("")).alias("role"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(live)), lambda x: x["text"]), "").alias("text"),
+    delta = ~F.coalesce(F.col("op").isin("message", "edit", "regenerate"), F.lit(False))
+    event = F.struct("seq", delta.alias("delta"), "op", F.coalesce("text", F.lit("")).alias("text"), "role")
+    logged = events.groupBy("conv_id", "message_id").agg(F.array_sort(F.collect_list(event)).alias("log"))
+    reset = F.array_max(F.transform("log", lambda x, i: F.when(~x["delta"], i)))
+    live = F.slice("log", F.coalesce(reset, F.lit(0)) + 1, F.size("log"))
+    return logged.select(
+        "conv_id",
+        "message_id",
+        F.col("log")[0]["seq"].alias("seq"),
+        F.coalesce(F.get(F.filter("log", lambda x: x["role"].isNotNull()), F.lit(0))["role"], F.lit("")).alias("role"),
+        F.array_join(F.transform(live, lambda x: x["text"]), "").alias("text"),
     )
 
 
@@ -111,40 +111,16 @@ def format_chats(events: DataFrame, learn: str = "assistant") -> DataFrame:
     return rendered(messages(events.select("conv_id", "message_id", "seq", "op", "role", "text")), learn)
 
 
-def as_events(turns: DataFrame) -> DataFrame:
-    """Turns (conv_id, turn, role, text) as the log that a chat server might have kept of them; ``messages`` folds it to the turns again.
-
-    A turn whose text hash is odd was streamed: a first answer that was thrown away, a regeneration, and the text in up to three deltas. The others were
-    sent at once as a draft and edited. Equal rows are messages of their own.
-    """
-    copy = Window.partitionBy("conv_id", "turn", "said").orderBy("said")
-    told = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("role", "text").alias("said"))
-    told = told.withColumn("message_id", F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("")), "said", F.row_number().over(copy)))
-    third = F.floor(F.char_length("text") / 3).cast("int")
-    event = lambda op, text, role, n: F.struct(F.lit(op).alias("op"), text.alias("text"), role.alias("role"), F.lit(n).alias("n"))
-    nothing, text, role = F.lit(None).cast("string"), F.col("text"), F.col("role")
-    streamed = F.array(
-        event("message", F.lit("…"), role, 0),
-        event("delta", F.substring(text, F.lit(1), third), nothing, 1),
-        event("regenerate", nothing, nothing, 2),
-        event("delta", F.substring(text, F.lit(1), third), nothing, 3),
-        event("delta", F.substring(text, third + 1, third), nothing, 4),
-        event("delta", F.substring(text, 2 * third + 1, F.char_length(text)), nothing, 5),
-    )
-    drafted = F.array(event("message", F.concat(F.lit("draft of "), F.char_length(text).cast("string")), role, 0), event("edit", text, nothing, 1))
-    each = told.select("conv_id", "turn", "message_id", F.explode(F.when(F.pmod("said", F.lit(2)) == 1, streamed).otherwise(drafted)).alias("e"))
-    return each.select("conv_id", "message_id", F.struct("turn", "e.n").alias("seq"), "e.op", "e.role", "e.text")
-
-
 def chat_report(conversations: DataFrame, learn: str = "assistant") -> DataFrame:
     """For each conversation of (conv_id, turn, role, text) rows, read back from its formatted text: conv_id, n_turns,
     turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    Rows go through the log of ``as_events`` and are folded, rendered and read again; the loss columns are of the text that the loss mask
+    Each row is a ``message`` event of its own, which is folded, rendered and read again; the loss columns are of the text that the loss mask
     covers. Null conv_ids are one conversation; null turns come first; rows of one turn go by role and text, equal ones each count;
     null texts and roles are empty; an empty table gives an empty result; other columns are ignored. A very long conversation is one value.
     """
-    chats = format_chats(as_events(conversations), learn).withColumn("turns", read_back(F.col("formatted")))
+    events = conversations.select("conv_id", F.monotonically_increasing_id().alias("message_id"), F.col("turn").alias("seq"), F.lit("message").alias("op"), "role", "text")
+    chats = format_chats(events, learn).withColumn("turns", read_back(F.col("formatted")))
     chats = chats.withColumn("learnt", under_mask(F.col("formatted"), F.col("loss_mask")))
     return chats.select(
         "conv_id",

@@ -5,12 +5,38 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cutloom.llm import chat, quality, secrets
 from cutloom.llm.queries import PROBE, with_probe
 
 
+def as_events(turns):
+    """Turns (conv_id, turn, role, text) as the log that a chat server might have kept of them; ``messages`` folds it to the turns again.
+
+    A turn whose text hash is odd was streamed: a first answer that was thrown away, a regeneration, and the text in up to three deltas. The others were
+    sent at once as a draft and edited. Equal rows are messages of their own.
+    """
+    copy = Window.partitionBy("conv_id", "turn", "said").orderBy("said")
+    told = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("role", "text").alias("said"))
+    told = told.withColumn("message_id", F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("")), "said", F.row_number().over(copy)))
+    third = F.floor(F.char_length("text") / 3).cast("int")
+    event = lambda op, text, role, n: F.struct(F.lit(op).alias("op"), text.alias("text"), role.alias("role"), F.lit(n).alias("n"))
+    nothing, text, role = F.lit(None).cast("string"), F.col("text"), F.col("role")
+    streamed = F.array(
+        event("message", F.lit("…"), role, 0),
+        event("delta", F.substring(text, F.lit(1), third), nothing, 1),
+        event("regenerate", nothing, nothing, 2),
+        event("delta", F.substring(text, F.lit(1), third), nothing, 3),
+        event("delta", F.substring(text, third + 1, third), nothing, 4),
+        event("delta", F.substring(text, 2 * third + 1, F.char_length(text)), nothing, 5),
+    )
+    drafted = F.array(event("message", F.concat(F.lit("draft of "), F.char_length(text).cast("string")), role, 0), event("edit", text, nothing, 1))
+    each = told.select("conv_id", "turn", "message_id", F.explode(F.when(F.pmod("said", F.lit(2)) == 1, streamed).otherwise(drafted)).alias("e"))
+    return each.select("conv_id", "message_id", F.struct("turn", "e.n").alias("seq"), "e.op", "e.role", "e.text")
+
+
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen = Counter(zip(words, words[1:], words[2:], strict=False))
@@ -162,7 +188,7 @@ def test_events_fold(spark):
 
 def test_the_mask_decides_the_loss_text(spark):
     rows = [(1, 0, "user", "hi & <there>"), (1, 1, "assistant", "yes & no 🙂" * 900), (1, 2, "assistant", "<ok>")]
-    chats = chat.format_chats(chat.as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    chats = chat.format_chats(as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
     learnt = chats.select(chat.under_mask(F.col("formatted"), F.col("loss_mask"))).first()[0]
     assert learnt == rows[1][3] + rows[2][3]
     moved = F.transform("loss_mask", lambda x: F.struct((x["start"] + 1).alias("start"), x["length"].alias("length")))
@@ -171,7 +197,7 @@ def test_the_mask_decides_the_loss_text(spark):
 
 def test_turns_go_through_all_kinds_of_events(spark):
     rows = [(1, t, "assistant", "text " * t) for t in range(40)]
-    events = chat.as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    events = as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert {r["op"] for r in events.collect()} == {"message", "delta", "edit", "regenerate"}
 
 
