@@ -66,7 +66,13 @@ NO_SPACE = re.compile(r"\S")
 
 #: Log-odds that a block is content by its text: to begin with, by length, closing sign, shares of linked letters and of odd signs, few words, tag.
 BIAS, LENGTH, STOP, LINKED, ODD, FEW, PARAGRAPH, HEADING, ITEM, COPYRIGHT = -0.6, 0.55, 0.5, -1.6, -1.0, -0.3, 0.3, 0.4, -0.1, -1.5
-ODD_SIGN = re.compile(r"[^\w\s.,;:!?'\"()’”“»«-]")
+#: Letters of scripts that are written without spaces; one says about as much as so many Latin ones. Kana, Han, Hangul and full-width forms; Thai to Khmer.
+WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003134f]")
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003134f]")
+LETTERS_OF_WIDE = 3
+#: Signs that close a sentence, in several scripts.
+CLOSING = ".!?:\"'»”…。！？：」』）．؟۔।॥"
+ODD_SIGN = re.compile(r"[^\w\s.,;:!?'\"()’”“»«、。，；：！？「」『』（）《》・·؟۔।॥-]")
 #: What a page without markup has for each block.
 PLAIN = 1.0
 #: Costs of different labels: of a block and its element; of an element and the one around it, for each block inside, if they are parts of one
@@ -120,10 +126,11 @@ def odds_of(tag: str, attributes: str) -> float:
 
 
 def text_odds(text: str, tag: str, link_share: float) -> float:
-    z = BIAS + LENGTH * min(math.log1p(len(text) / 20), 3.5) + LINKED * link_share + ODD * len(ODD_SIGN.findall(text)) / len(text)
-    if text[-1] in ".!?:\"'»”…":
+    wide = 0 if text.isascii() else len(WIDE.findall(text))
+    z = BIAS + LENGTH * min(math.log1p((len(text) + (LETTERS_OF_WIDE - 1) * wide) / 20), 3.5) + LINKED * link_share + ODD * len(ODD_SIGN.findall(text)) / len(text)
+    if text[-1] in CLOSING:
         z += STOP
-    elif text.count(" ") < 2:
+    elif text.count(" ") < 2 and (text.isascii() or len(UNSPACED.findall(text)) < 8):
         z += FEW
     if tag in HEADINGS:
         z += HEADING

@@ -100,3 +100,16 @@ def test_report(spark):
     got = extract.page_report(pages).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == sorted((r[0] or 0, len(extract.main_text(r[2]))) for r in rows)
     assert extract.page_report(pages.limit(0)).count() == 0
+
+
+SPACELESS = {
+    "<nav><a href='/'>首页</a> <a href='/n'>新闻</a></nav><div><h1>标题</h1><p>今年春天，城里的老图书馆在修缮三年之后重新开放，第一天就有两千多名读者走进大门。</p><p>馆长说，最难的不是搬书，而是让旧书架重新站稳。</p></div><footer><a href='/c'>联系我们</a> 版权所有</footer>": [
+        "标题", "今年春天，城里的老图书馆在修缮三年之后重新开放，第一天就有两千多名读者走进大门。", "馆长说，最难的不是搬书，而是让旧书架重新站稳。"],
+    "<nav><a href='/'>ホーム</a> <a href='/n'>ニュース</a></nav><div><h1>古い図書館</h1><p>町の古い図書館が三年の改修を終えて、この春ふたたび開館した。初日には二千人をこえる人が訪れた。</p><p>館長は「本を運ぶより、棚を立て直すほうが難しかった」と話した。</p></div><footer><a href='/c'>お問い合わせ</a></footer>": [
+        "古い図書館", "町の古い図書館が三年の改修を終えて、この春ふたたび開館した。初日には二千人をこえる人が訪れた。", "館長は「本を運ぶより、棚を立て直すほうが難しかった」と話した。"],
+}
+
+
+def test_scripts_without_spaces():
+    for page, lines in SPACELESS.items():
+        assert extract.main_text(f"<html><body>{page}</body></html>").split("\n") == lines
