@@ -61,6 +61,17 @@ def registered_paths(tools: DataFrame, columns: list[str], prefix: str) -> DataF
     return tools.select(said.alias("p")).select(F.when(F.startswith("p", F.lit(prefix)), F.substring(F.col("p"), F.lit(len(prefix) + 1), F.char_length("p"))).otherwise(F.col("p")).alias("path"))
 
 
+def resolved(paths: DataFrame, files: DataFrame, roots: list[str]) -> DataFrame:
+    """``paths`` (path, …) with ``file``: the first of the ``roots``, in their order, below which it is among ``files`` (path), with that root before it; null where it is below none.
+
+    Each path is looked up below every root by an equi-join; an absolute path is looked up as it is.
+    """
+    tried = F.posexplode(F.when(F.startswith("path", F.lit("/")), F.array("path")).otherwise(F.array(*(F.concat(F.lit(r), "path") for r in roots))))
+    wanted = paths.select("path").distinct().select(F.col("path").alias("_path"), tried.alias("_n", "file"))
+    there = wanted.join(files.select(F.col("path").alias("file")).distinct(), "file").groupBy("_path").agg(F.min_by("file", "_n").alias("file"))
+    return paths.join(there, F.col("path") == F.col("_path"), "left").drop("_path")
+
+
 def allowed_paths(allowlists: DataFrame) -> DataFrame:
     """The files (path) of all buckets of allowlists (buckets: map to structs with an array ``files``)."""
     return allowlists.select(F.explode(F.map_values("buckets")).alias("b")).select(F.explode("b.files").alias("path")).distinct()

@@ -13,6 +13,7 @@ from cutloom.plans import views
 from cutloom.plans.decision_queries import auto_cuts, regate_sql
 from cutloom.plans.registry import query
 from cutloom.sources import logs
+from cutloom.streaming import refresh
 from cutloom.tables import shared_dir, table
 
 
@@ -85,3 +86,21 @@ def q106_frozen_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, first = logs.frozen(spark, path)
     logs.write_version(documents, path, held + 1)
     return first.groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH arrived AS (
+  SELECT user_id AS case_id, event_type AS reason_key, CASE WHEN value < 40 THEN TRUE WHEN value < 120 THEN FALSE END AS accepted, ts AS decided_at FROM events),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY decided_at DESC NULLS LAST, accepted DESC NULLS LAST, reason_key DESC) AS n FROM arrived) WHERE n = 1 AND accepted IS NOT NULL)
+SELECT (CASE WHEN grouping(reason_key) = 1 THEN 0 ELSE 1 END)::INT AS level, reason_key, count(*) FILTER (accepted) AS accept, count(*) FILTER (NOT accepted) AS reject, count(*) AS total, round(count(*) FILTER (accepted) / count(*), 3) AS accept_rate
+FROM latest GROUP BY ROLLUP (reason_key)""")
+def q114_streamed_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label lake after two batches of decisions of which many change earlier ones, kept up by a stream and read as published."""
+    place = new_folder(spark, "stream")
+    accepted = F.when(F.col("value") < 40, True).when(F.col("value") < 120, False)
+    arrived = table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.col("event_type").alias("reason_key"), accepted.alias("accepted"), F.col("ts").cast("timestamp").alias("decided_at"))
+    kind, levels = "case_id long, reason_key string, accepted boolean, decided_at timestamp", ["reason_key"]
+    for half in (0, 1):
+        arrived.where(F.pmod(F.xxhash64("decided_at"), F.lit(2)) == half).write.mode("append").parquet(f"{place}/in")
+        refresh.refresh_on_decisions(refresh.as_stream(spark, f"{place}/in", kind), f"{place}/lake", f"{place}/check", ["case_id"], levels).awaitTermination()
+    return refresh.rolled_up(refresh.published(spark, f"{place}/lake"), levels)

@@ -28,6 +28,18 @@ def gaps(spark: SparkSession, sf_dir: str, whitelisted: bool = False) -> DataFra
     return registry_checks.dependency_gaps(part.where("p_size < 40"), used, part.where("p_retailprice < 950"), aliases, free, part.where("p_retailprice > 1700") if whitelisted else None)
 
 
+@query("""
+WITH tools AS (SELECT s_suppkey, 'scripts/s' || s_suppkey || '.py' AS path FROM supplier),
+files AS (SELECT 'code/main/scripts/s' || s_suppkey || '.py' AS path FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'main/scripts/s' || s_suppkey || '.py' FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT s_suppkey, t.path, coalesce(a.path, b.path) AS file FROM tools t LEFT JOIN files a ON a.path = 'code/main/' || t.path LEFT JOIN files b ON b.path = 'main/' || t.path""")
+def q112_resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered scripts below the first of two roots that has them."""
+    key = F.col("s_suppkey")
+    tools = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("scripts/s"), key, F.lit(".py")).alias("path"))
+    below = lambda root, every: tools.where(key % every == 0).select(F.concat(F.lit(root), "path").alias("path"))
+    return registry_checks.resolved(tools, below("code/main/", 3).union(below("main/", 2)), ["code/main/", "main/"]).select("s_suppkey", "path", "file")
+
+
 @query(GAPS_SQL)
 def q29_dependency_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Installed names that nothing uses, and used names that nothing declares."""

@@ -238,6 +238,21 @@ def q98_peaks_over_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.peaks(levels, ["track"], "frame", "level", 18, 2.0, 1_008).withColumn("median", F.round("median", 6))
 
 
+@query(f"""
+WITH frames AS (SELECT event_type AS track, epoch_us(ts) // 600000000 AS frame, max(value) AS level FROM events GROUP BY ALL),
+around AS (SELECT *, quantile_cont(level, 0.5) OVER (PARTITION BY track ORDER BY frame RANGE BETWEEN 18 PRECEDING AND 18 FOLLOWING) AS median FROM frames),
+spoken AS (SELECT DISTINCT unnest(range(start // 600000, ("end" - 1) // 600000 + 1)) AS frame FROM ({SPANS}) WHERE track = 'view' AND "end" > start)
+SELECT frame, level, 'human_review_required' AS state FROM around WHERE track = 'error' AND level >= 1.5 * median AND frame NOT IN (SELECT frame FROM spoken)""")
+def q113_transients_without_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames in which one track stands out of its surroundings while nobody speaks on another; a person reviews them."""
+    spans = views.spans(spark, sf_dir)
+    frame = F.floor(F.col("start") / 600_000).alias("frame")
+    levels = spans.where("track = 'error'").groupBy("track", frame).agg(F.max("value").alias("level"))
+    spoken = media.frames(spans.where("track = 'view'"), 600_000).select("frame").distinct()
+    loud = frames.peaks(levels, ["track"], "frame", "level", 18, 1.5, 1_008)
+    return loud.join(spoken, "frame", "left_anti").select("frame", "level", F.lit("human_review_required").alias("state"))
+
+
 #: Largest offset, stretch of time and cell of the vote, in ms; the drift that the second clock is given, in parts per million.
 MOST, STRETCH, CELL, DRIFT = 120_000, 6 * HOUR, 400, 35
 

@@ -293,3 +293,10 @@ def test_times_and_lists(spark):
     assert got == ["17 10:00:00"] * 4 + ["17 00:00:00", None, None]
     lists = spark.createDataFrame([("uh",), ('["a", "b"]',), (None,)], "x string").select(scalars.as_list(F.col("x"))).collect()
     assert [r[0] for r in lists] == [["uh"], ["a", "b"], None]
+
+
+def test_paths_below_the_first_root_that_has_them(spark):
+    paths = spark.createDataFrame([(1, "x.py"), (2, "y.py"), (3, "z.py"), (4, "/abs/a.py"), (5, None), (6, "x.py")], "id int, path string")
+    files = spark.createDataFrame([("b/x.py",), ("a/x.py",), ("b/y.py",), ("/abs/a.py",), ("a/abs/a.py",)], "path string")
+    got = {r["id"]: r["file"] for r in registry_checks.resolved(paths, files, ["a/", "b/"]).collect()}
+    assert got == {1: "a/x.py", 2: "b/y.py", 3: None, 4: "/abs/a.py", 5: None, 6: "a/x.py"}
