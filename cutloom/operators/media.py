@@ -33,6 +33,11 @@ def with_context(spans: DataFrame, before: int, after: int) -> DataFrame:
     return spans.withColumns({"context_start": F.greatest(F.col("start") - before, F.lit(0)), "context_end": F.col("end") + after})
 
 
+def preview_segments(spans: DataFrame, sample: DataFrame, before: int, after: int) -> DataFrame:
+    """``spans`` (id, start, end, …) that the ``sample`` (id) names, with context_start and context_end around them, from 0 on. An id that comes twice in the sample counts once."""
+    return with_context(spans.join(sample.select("id"), "id", "left_semi"), before, after)
+
+
 def frames(spans: DataFrame, step: int) -> DataFrame:
     """The frames (id, frame, covered) of a grid of ``step`` that each span touches, with how much of a frame it covers."""
     touched = intervals.binned(spans.where("start < end"), F.col("start"), F.col("end"), step)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutloom.sources.logs import manifest
+
 
 def imported_names(sources: DataFrame, skipped: list[str]) -> DataFrame:
     """Top modules (name) that source files (path, text) import; files below a ``skipped`` folder are left out."""
@@ -96,6 +98,15 @@ def statuses(texts: DataFrame, known: list[str]) -> DataFrame:
     return texts.groupBy(status.alias("status")).agg(F.count("*").alias("n")).withColumn("bad", ~F.col("status").isin(*known))
 
 
+def governed(registry: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """One row for a registry: n, n_unknown (rows whose ``column`` is null or not among ``allowed``), verdict (FAIL with such rows), sha256 (the digest of all rows, whatever their order, to be frozen into a run)."""
+    unknown = F.count_if(F.coalesce(~F.col(column).isin(*allowed), F.lit(True)))
+    digest = manifest(registry, registry.columns[0]).where("key = '*'").select("sha256")
+    counts = registry.agg(F.count("*").alias("n"), unknown.alias("n_unknown"))
+    both = counts.withColumn("_one", F.lit(1)).join(digest.withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row each
+    return both.select("n", "n_unknown", F.when(F.col("n_unknown") > 0, "FAIL").otherwise("PASS").alias("verdict"), "sha256")
+
+
 def in_order(checks: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Checks in the order given, up to the first that fails: place, layer, n_bad, verdict.
 

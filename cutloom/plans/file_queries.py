@@ -12,7 +12,7 @@ from cutloom.operators import digests
 from cutloom.plans import views
 from cutloom.plans.decision_queries import auto_cuts, regate_sql
 from cutloom.plans.registry import query
-from cutloom.sources import logs
+from cutloom.sources import logs, wav
 from cutloom.streaming import refresh
 from cutloom.tables import shared_dir, table
 
@@ -104,3 +104,17 @@ def q114_streamed_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
         arrived.where(F.pmod(F.xxhash64("decided_at"), F.lit(2)) == half).write.mode("append").parquet(f"{place}/in")
         refresh.refresh_on_decisions(refresh.as_stream(spark, f"{place}/in", kind), f"{place}/lake", f"{place}/check", ["case_id"], levels).awaitTermination()
     return refresh.rolled_up(refresh.published(spark, f"{place}/lake"), levels)
+
+
+@query("""
+WITH f AS (SELECT event_type || '-' || user_id % 7 || '.wav' AS name, CASE event_type WHEN 'view' THEN 2 ELSE 1 END AS channels, CASE WHEN user_id % 7 < 3 THEN 48000 ELSE 8000 END AS sample_rate, count(*) AS frames FROM events GROUP BY ALL)
+SELECT name, 44 + frames * channels * 2 AS bytes, 1 AS codec, channels, sample_rate, 16 AS bits, round(frames / sample_rate, 9) AS duration_s FROM f""")
+def q117_wav_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silent files, as long as there are events of a kind, written and their headers read by the data source."""
+    path = new_folder(spark, "recordings")
+    name = F.concat("event_type", F.lit("-"), F.col("user_id") % 7, F.lit(".wav")).alias("name")
+    channels, rate = F.when(F.col("event_type") == "view", 2).otherwise(1), F.when(F.col("user_id") % 7 < 3, 48_000).otherwise(8_000)
+    wav.write_silence(table(spark, sf_dir, "events").groupBy(name, channels.alias("channels"), rate.alias("sample_rate"), F.lit(16).alias("bits")).agg(F.count("*").alias("frames")), path)
+    spark.dataSource.register(wav.WavSource)
+    read = spark.read.format("wav_facts").option("path", path).option("suffix", ".wav").load()
+    return read.select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "codec", "channels", "sample_rate", "bits", F.round("duration_s", 9).alias("duration_s"))

@@ -28,6 +28,18 @@ def gaps(spark: SparkSession, sf_dir: str, whitelisted: bool = False) -> DataFra
     return registry_checks.dependency_gaps(part.where("p_size < 40"), used, part.where("p_retailprice < 950"), aliases, free, part.where("p_retailprice > 1700") if whitelisted else None)
 
 
+PART_SUMS = ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::VARCHAR" for i in range(8))
+
+
+@query(f"""
+WITH rows AS (SELECT o_orderpriority, sha256('{{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '"}}') AS h FROM orders)
+SELECT count(*) AS n, count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')) AS n_unknown,
+       CASE WHEN count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, sha256(concat_ws(':', count(*)::VARCHAR, {PART_SUMS})) AS sha256 FROM rows""")
+def q115_governance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry's rows outside their domain, and the digest that a run freezes."""
+    return registry_checks.governed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"])
+
+
 @query("""
 WITH tools AS (SELECT s_suppkey, 'scripts/s' || s_suppkey || '.py' AS path FROM supplier),
 files AS (SELECT 'code/main/scripts/s' || s_suppkey || '.py' AS path FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'main/scripts/s' || s_suppkey || '.py' FROM supplier WHERE s_suppkey % 2 = 0)

@@ -288,6 +288,13 @@ def q74_context_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.with_context(views.spans(spark, sf_dir), 2000, 3000).select("id", "context_start", "context_end")
 
 
+@query(f"SELECT id, track, greatest(start - 2000, 0) AS context_start, \"end\" + 3000 AS context_end FROM ({SPANS}) WHERE id IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def q116_preview_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans that a sample names, with what surrounds them."""
+    sample = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("id"))
+    return media.preview_segments(views.spans(spark, sf_dir), sample, 2000, 3000).select("id", "track", "context_start", "context_end")
+
+
 @query("""
 SELECT quantile_cont(a - b, 0.5) AS "offset", count(*) AS n FROM
 (SELECT l_orderkey AS k, max(epoch_us(l_shipdate) // 86400000000) AS a FROM lineitem GROUP BY 1) JOIN (SELECT o_orderkey AS k, epoch_us(o_orderdate) // 86400000000 AS b FROM orders) USING (k)""")

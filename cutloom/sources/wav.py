@@ -127,3 +127,29 @@ def wav_facts(files: DataFrame) -> DataFrame:
             yield pd.DataFrame([read_facts(p) for p in batch["path"]], columns=names).astype({n: "Int64" for n in ("bytes", "codec", "channels", "sample_rate", "bits", "data_bytes")})
 
     return files.select("path").mapInPandas(read, FACTS)
+
+
+def silence(channels: int, sample_rate: int, bits: int, frames: int) -> bytes:
+    """A WAV file of so many silent frames."""
+    width = channels * bits // 8
+    form = struct.pack("<HHIIHH", 1, channels, sample_rate, sample_rate * width, width, bits)
+    body = b"WAVEfmt " + struct.pack("<I", 16) + form + b"data" + struct.pack("<I", frames * width) + b"\0" * (frames * width)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def write_silence(files: DataFrame, root: str) -> int:
+    """Writes a silent file below ``root`` for each of ``files`` (name, channels, sample_rate, bits, frames), as fixtures of timelines need them; their number. A file is in a task's memory while it is written."""
+
+    def write(rows: Iterator) -> Iterator:
+        import pandas as pd
+
+        system, inside, _ = located(root)
+        system.create_dir(inside, recursive=True)
+        for batch in rows:
+            for name, channels, rate, bits, frames in batch.itertuples(index=False):
+                with system.open_output_stream(f"{inside}/{name}") as out:
+                    out.write(silence(channels, rate, bits, frames))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    written = files.select("name", "channels", "sample_rate", "bits", "frames").mapInPandas(write, "n long")
+    return written.agg({"n": "sum"}).first()[0] or 0
