@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cutloom.functions.scalars import content_hash
+from cutloom.functions.scalars import content_hash, exact_avg
 from cutloom.operators import lake, media, quantiles, rules, running, similar
 from cutloom.plans.registry import query
 from cutloom.tables import table
@@ -157,8 +157,10 @@ def q54_candidate_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH p AS (SELECT o_custkey, avg(o_totalprice) AS liking FROM orders GROUP BY 1)
 SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY round(liking, 2) DESC NULLS LAST, c_custkey) AS shown_at FROM customer LEFT JOIN p ON o_custkey = c_custkey""")
 def q58_preference_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The preference order of all cases of a nation, sliced by liking; cases without one, which come last, by id."""
-    liking = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg((-F.round(F.avg("o_totalprice"), 2)).alias("down"))
+    """The preference order of all cases of a nation, sliced by liking; cases without one, which come last, by id. Orders of the same prices
+    are liked alike, in whatever order their rows are summed."""
+    # SQL rounds the double that is a hundred times as much
+    liking = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg((-F.round(exact_avg("o_totalprice") * 100) / 100).alias("down"))
     liked = table(spark, sf_dir, "customer").join(liking, "c_custkey", "left").select("c_nationkey", "c_custkey", F.col("down").isNull().alias("without"), "down")
     slices = F.struct("without", F.floor(F.col("down") / 1000), F.when(F.col("without"), F.floor(F.col("c_custkey") / 1000)))
     return running.with_place(liked, ["c_nationkey"], ["without", "down", "c_custkey"], slices).select("c_nationkey", "c_custkey", F.col("place").alias("shown_at"))
