@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutloom.operators.running import same, with_running
+from cutloom.operators.running import tasks_for, with_running
 
 
 def binned(df: DataFrame, start: Column, end: Column, width: int) -> DataFrame:
@@ -38,28 +38,31 @@ def containing(cuts: DataFrame, spans: DataFrame, width: int, on: list[str] | No
     return overlap_join(cuts, spans, width, on, salts).where("r_start <= l_start AND r_end >= l_end")
 
 
-def merged(df: DataFrame, keys: list[str], slice_width: int) -> DataFrame:
+def merged(df: DataFrame, keys: list[str], slice_width: int, tasks: int | None = None) -> DataFrame:
     """Overlapping and touching intervals of a key as one: keys, start, end, n_parts. Empty intervals are left out.
 
     A slice is merged by itself in one sorted pass. Of the slices before, only how far they reach and which island reaches there matter: what
-    begins within that reach belongs to that island, and all else stands as it is.
+    begins within that reach belongs to that island, and all else stands as it is. ``tasks``: over how many rows are dealt; without it they are counted.
     """
-    rows = df.where("start < end").select(*keys, "start", "end", F.floor(F.col("start") / slice_width).alias("_slice"))
-    along = Window.partitionBy(*keys, "_slice").orderBy("start", "end")
+    tasks = tasks or tasks_for(df)
+    # one struct names key and slice: in it nulls are equal, and rows are dealt once for windows, parts and join
+    at = F.struct(*keys, F.floor(F.col("start") / slice_width).alias("_slice"))
+    rows = df.where("start < end").select(at.alias("_at"), "start", "end").repartition(tasks, "_at")
+    along = Window.partitionBy("_at").orderBy("start", "end")
     opened = rows.withColumn("_reach", F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)))
     opened = opened.withColumn("_opens", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), F.col("start")))
     opened = opened.withColumn("_island", F.max("_opens").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    parts = opened.groupBy(*keys, "_slice", "_island").agg(F.max("end").alias("end"), F.count("*").alias("n_parts"))
+    parts = opened.groupBy("_at", "_island").agg(F.max("end").alias("end"), F.count("*").alias("n_parts"))
 
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = parts.groupBy(*keys, "_slice").agg(F.max("_island").alias("_last"), F.max("end").alias("_far"))
+    earlier = Window.partitionBy(*keys).orderBy("_at._slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = parts.groupBy("_at").agg(F.max("_island").alias("_last"), F.max("end").alias("_far")).withColumns({k: F.col("_at")[k] for k in keys}).repartition(tasks, *keys)
     slices = slices.withColumn("_reach", F.max("_far").over(earlier))
     slices = slices.withColumn("_since", F.max(F.when(F.col("_reach").isNull() | (F.col("_last") > F.col("_reach")), F.col("_last"))).over(earlier))
-    carried = slices.select(*(F.col(k).alias(f"_k_{k}") for k in [*keys, "_slice"]), "_reach", "_since")
 
-    joined = parts.join(carried, same(parts, carried, [*keys, "_slice"], "_k_"))
+    joined = parts.join(slices.select("_at", "_reach", "_since").repartition(tasks, "_at"), "_at")
     island = F.when(F.col("_island") <= F.col("_reach"), F.col("_since")).otherwise(F.col("_island"))
-    return joined.groupBy(*keys, island.alias("start")).agg(F.max("end").alias("end"), F.sum("n_parts").alias("n_parts"))
+    found = joined.select(*(F.col("_at")[k].alias(k) for k in keys), island.alias("start"), "end", "n_parts").repartition(tasks, *keys, "start")
+    return found.groupBy(*keys, "start").agg(F.max("end").alias("end"), F.sum("n_parts").alias("n_parts"))
 
 
 def covered(df: DataFrame, keys: list[str], slice_width: int) -> DataFrame:
@@ -70,8 +73,9 @@ def covered(df: DataFrame, keys: list[str], slice_width: int) -> DataFrame:
 
 def removed_before(cuts: DataFrame, keys: list[str], slice_width: int) -> DataFrame:
     """Merged ``cuts`` with ``removed``: the length that the cuts before each take out."""
-    spans = merged(cuts, keys, slice_width).withColumn("length", F.col("end") - F.col("start"))
-    swept = with_running(spans, keys, ["start"], F.floor(F.col("start") / slice_width), removed=("sum", "length"))
+    tasks = tasks_for(cuts)
+    spans = merged(cuts, keys, slice_width, tasks).withColumn("length", F.col("end") - F.col("start"))
+    swept = with_running(spans, keys, ["start"], F.floor(F.col("start") / slice_width), tasks, removed=("sum", "length"))
     return swept.withColumn("removed", F.coalesce("removed", F.lit(0)))
 
 
@@ -83,9 +87,10 @@ def remapped(points: DataFrame, cuts: DataFrame, keys: list[str], slice_width: i
     a = points.withColumns({"_side": F.lit(1), "_end": F.lit(None).cast(dict(cuts.dtypes)["end"]), "_row": F.struct(*points.columns)}).select(*keys, "t", "_side", "_end", "_row")
     b = cuts.where("start < end").select(*keys, F.col("start").alias("t"), F.lit(0).alias("_side"), F.col("end").alias("_end"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
     at, order = F.floor(F.col("t") / slice_width), ["t", "_side", "_end"]
-    swept = with_running(a.unionByName(b), keys, order, at, _reach=("max", "_end"))
+    tasks = tasks_for(a.unionByName(b))
+    swept = with_running(a.unionByName(b), keys, order, at, tasks, _reach=("max", "_end"))
     takes = F.greatest(F.col("_end") - F.greatest("t", "_reach"), F.lit(0))
-    swept = with_running(swept.withColumn("_takes", takes), keys, order, at, _removed=("sum", "_takes"))
+    swept = with_running(swept.withColumn("_takes", takes), keys, order, at, tasks, _removed=("sum", "_takes"))
     new_t = F.when(F.col("t") < F.col("_reach"), None).otherwise(F.col("t") - F.coalesce("_removed", F.lit(0)))
     return swept.where(F.col("_row").isNotNull()).select("_row.*", new_t.alias("new_t"))
 

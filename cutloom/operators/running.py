@@ -7,11 +7,14 @@ carries what came before. Both give what one window over the key would.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task gets about where rows are dealt by key: tables that grow take more tasks, not larger ones.
+ROWS_A_TASK = 250_000
 KINDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -20,15 +23,22 @@ def same(left: DataFrame, right: DataFrame, keys: list[str], renamed: str) -> Co
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[f"{renamed}{k}"]) for k in keys))
 
 
-def with_running(df: DataFrame, keys: list[str], order: list[str], slice_by: Column, **what: tuple[str, str]) -> DataFrame:
+def tasks_for(df: DataFrame) -> int:
+    """Tasks over which the rows of ``df``, which are counted here, are dealt: the session's number of shuffle partitions at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / ROWS_A_TASK))
+
+
+def with_running(df: DataFrame, keys: list[str], order: list[str], slice_by: Column, tasks: int | None = None, **what: tuple[str, str]) -> DataFrame:
     """``df`` with a column for each ``name=(kind, column)``: the aggregate over the rows before, without the row itself.
 
     kind: sum, max, min, or last (the last value that is not null). ``slice_by`` must not decrease along ``order``; ``order`` should
-    name rows uniquely. Null where nothing came before.
+    name rows uniquely. Null where nothing came before. ``tasks``: over how many rows are dealt; without it they are counted.
     """
-    cut = df.withColumn("_slice", slice_by)
-    before = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks or tasks_for(df)
+    # one struct names key and slice: in it nulls are equal, and rows are dealt once for window, totals and join
+    cut = df.withColumn("_at", F.struct(*keys, slice_by.alias("_slice"))).repartition(tasks, "_at")
+    before = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_at._slice").rowsBetween(Window.unboundedPreceding, -1)
     totals, carried, inner = [], [], cut
     for name, (kind, column) in what.items():
         if kind == "last":
@@ -39,9 +49,8 @@ def with_running(df: DataFrame, keys: list[str], order: list[str], slice_by: Col
             inner = inner.withColumn(f"_in_{name}", KINDS[kind](column).over(before))
             totals.append(KINDS[kind](column).alias(name))
             carried.append(KINDS[kind](name).over(earlier).alias(f"_c_{name}"))
-    by_slice = cut.groupBy(*keys, "_slice").agg(*totals)
-    renamed = by_slice.select(*(F.col(k).alias(f"_k_{k}") for k in [*keys, "_slice"]), *carried)
-    joined = inner.join(renamed, same(inner, renamed, [*keys, "_slice"], "_k_"), "left")
+    by_slice = cut.groupBy("_at").agg(*totals).select("_at", *(F.col("_at")[k].alias(k) for k in keys), *what).repartition(tasks, *keys)
+    joined = inner.join(by_slice.select("_at", *carried).repartition(tasks, "_at"), "_at", "left")
     for name, (kind, _) in what.items():
         own, old = F.col(f"_in_{name}"), F.col(f"_c_{name}")
         value = {"sum": F.when(own.isNull() & old.isNull(), None).otherwise(F.coalesce(own, F.lit(0)) + F.coalesce(old, F.lit(0))), "max": F.greatest(own, old), "min": F.least(own, old), "last": F.coalesce(own, old)}[kind]

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.errors import AnalysisException
 
-from cutloom.operators import candidates, intervals, registry_checks, sequence
+from cutloom.operators import candidates, intervals, registry_checks, running, sequence
 from cutloom.sources import logs
 
 
@@ -123,3 +123,18 @@ def test_covered_overlaps_the_same(spark):
         for a in range(-60, 360, 3):
             for b in (a, a + 1, a + 9):
                 assert any(s < b and a < e for s, e in own) == any(s < b and a < e for s, e in few), (k, a, b)
+
+
+def test_sweeps_take_more_tasks_for_more_rows(spark, monkeypatch):
+    """Rows of a task are bounded: 1,000 rows at 50 a task are 20 tasks, whatever the session's number; null keys are one key."""
+    monkeypatch.setattr(running, "ROWS_A_TASK", 50)
+    cuts = spark.range(1_000).selectExpr("IF(id % 50 = 7, NULL, id % 50) AS k", "id * 3 AS start", "id * 3 + 2 + id % 200 AS end")
+    swept = intervals.removed_before(cuts, ["k"], 365)
+    assert intervals.merged(cuts, ["k"], 365).rdd.getNumPartitions() == swept.rdd.getNumPartitions() == 20
+    want, rows = [], sorted(((-1 if r["k"] is None else r["k"]), r["start"], r["end"]) for r in cuts.collect())
+    for k, start, end in rows:
+        if want and want[-1][0] == k and start <= want[-1][2]:
+            want[-1][2:4] = max(want[-1][2], end), want[-1][3] + 1
+        else:
+            want.append([k, start, end, 1, want[-1][4] + want[-1][2] - want[-1][1] if want and want[-1][0] == k else 0])
+    assert sorted([-1 if r["k"] is None else r["k"], r["start"], r["end"], r["n_parts"], r["removed"]] for r in swept.collect()) == want
