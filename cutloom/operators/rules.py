@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutloom.operators.patterns import pattern_hits
+from cutloom.operators.running import tasks_for
+
+
+#: Tokens and reasons of rules up to which they are broadcast, so that cases do not travel to the few tasks of their tokens.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has at most FEW rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
 def matched_rules(cases: DataFrame, rules: DataFrame, most: int = 1) -> DataFrame:
@@ -22,9 +32,11 @@ def matched_rules(cases: DataFrame, rules: DataFrame, most: int = 1) -> DataFram
     by_token = rules.withColumn("token", F.explode("tokens")).withColumn("exact", F.lit(True)).drop("tokens", "reasons")
     by_reason = rules.where(F.size(F.coalesce("tokens", F.array().cast("array<string>"))) == 0).withColumn("reason", F.explode("reasons")).withColumn("exact", F.lit(False)).drop("tokens", "reasons")
     strip = lambda df: df.withColumnRenamed("context", "rule_context")
-    hits = cases.join(strip(by_token), "token").select(*cases.columns, "rule_id", "rule_context", "verdict", "priority", "ts", "exact")
-    hits = hits.union(cases.join(strip(by_reason), "reason").select(*cases.columns, "rule_id", "rule_context", "verdict", "priority", "ts", "exact"))
-    hits = hits.where(F.col("rule_context").isNull() | (F.col("rule_context") == F.col("context"))).distinct()
+    hits = cases.join(few(strip(by_token)), "token").select(*cases.columns, "rule_id", "rule_context", "verdict", "priority", "ts", "exact")
+    hits = hits.union(cases.join(few(strip(by_reason)), "reason").select(*cases.columns, "rule_id", "rule_context", "verdict", "priority", "ts", "exact"))
+    hits = hits.where(F.col("rule_context").isNull() | (F.col("rule_context") == F.col("context")))
+    # dealt by case before equal hits are dropped: no task holds more than its share, before or after the shuffle
+    hits = hits.repartition(tasks_for(hits), "case_id").distinct()
     return best_rules(hits, most).select(*cases.columns, "rule_id", "verdict", "exact", "place")
 
 
@@ -45,10 +57,11 @@ def matched_by_text(cases: DataFrame, rules: DataFrame, most: int = 1) -> DataFr
     by_pattern = named.withColumn("pattern", F.explode("patterns")).withColumn("exact", F.lit(True))
     hits = pattern_hits(cases, by_pattern, keys).join(by_pattern, "pattern").where(fits).select(*out)
     by_token = named.withColumn("token", F.explode("tokens")).withColumn("exact", F.lit(True))
-    hits = hits.union(cases.select(*keys).join(by_token, "token").where(fits).select(*out))
+    hits = hits.union(cases.select(*keys).join(few(by_token), "token").where(fits).select(*out))
     by_reason = named.where(none("tokens") & none("patterns")).withColumn("reason", F.explode("reasons")).withColumn("exact", F.lit(False))
-    hits = hits.union(cases.select(*keys).join(by_reason, "reason").where(fits).select(*out))
-    return best_rules(hits.distinct(), most).select(*keys, "rule_id", "verdict", "exact", "place")
+    hits = hits.union(cases.select(*keys).join(few(by_reason), "reason").where(fits).select(*out))
+    hits = hits.repartition(tasks_for(hits), "case_id").distinct()
+    return best_rules(hits, most).select(*keys, "rule_id", "verdict", "exact", "place")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

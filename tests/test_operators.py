@@ -300,3 +300,24 @@ def test_paths_below_the_first_root_that_has_them(spark):
     files = spark.createDataFrame([("b/x.py",), ("a/x.py",), ("b/y.py",), ("/abs/a.py",), ("a/abs/a.py",)], "path string")
     got = {r["id"]: r["file"] for r in registry_checks.resolved(paths, files, ["a/", "b/"]).collect()}
     assert got == {1: "a/x.py", 2: "b/y.py", 3: None, 4: "/abs/a.py", 5: None, 6: "a/x.py"}
+
+
+def test_rules_take_more_tasks_for_more_cases(spark, monkeypatch):
+    """Cases of one token are dealt over tasks by their number, and do not meet in the token's one task."""
+    monkeypatch.setattr(running, "ROWS_A_TASK", 50)
+    cases = spark.range(1_000).selectExpr("id AS case_id", "'so' AS token", "'few' AS reason", "IF(id % 2 = 0, 'low', 'high') AS context")
+    kind = "rule_id int, tokens array<string>, reasons array<string>, context string, verdict string, priority int, ts string"
+    known = spark.createDataFrame([(1, ["so"], [], None, "a", 1, None), (2, ["so"], [], "low", "b", 2, None), (3, [], ["few"], None, "c", 9, None)], kind)
+    found = rules.matched_rules(cases, known, 1)
+    assert found.rdd.getNumPartitions() == 50  # 2,500 hits
+    sizes = [len(part) for part in found.rdd.glom().collect()]
+    assert max(sizes) < 100 and sum(sizes) == 1_000
+    assert {(r["case_id"] % 2, r["rule_id"], r["exact"], r["place"]) for r in found.collect()} == {(0, 2, True, 1), (1, 1, True, 1)}
+
+
+def test_runs_take_more_tasks_for_more_cases(spark, sf, monkeypatch):
+    from cutloom.plans import registry
+
+    monkeypatch.setattr(running, "ROWS_A_TASK", 200)
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert all(run.rdd.getNumPartitions() == -(-rows // 200) for run in registry.decision_queries.auto_cuts(spark, sf))
