@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cutloom.operators import gates, params, rules
 from cutloom.operators.lake import changed
+from cutloom.operators.running import tasks_for
 from cutloom.plans.registry import query
 from cutloom.tables import table
 
@@ -80,7 +81,9 @@ FROM old o FULL OUTER JOIN new n USING (case_id) WHERE o.case_id IS NULL OR n.ca
 def auto_cuts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(case_id, auto_cut) of a run, and of one with a looser length gate that lacks some cases."""
     case = (F.col("l_orderkey") * 100_000_000 + F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("case_id")
-    run = lambda df: df.groupBy(case).agg(F.bool_or("auto_cut").alias("auto_cut"))
+    tasks = tasks_for(table(spark, sf_dir, "lineitem"))
+    # dealt before they are grouped: most cases are one row, so nothing is gained by grouping where rows lie
+    run = lambda df: df.select(case, "auto_cut").repartition(tasks, "case_id").groupBy("case_id").agg(F.bool_or("auto_cut").alias("auto_cut"))
     return run(gated(spark, sf_dir, 30)), run(gated(spark, sf_dir, 35).where("l_linenumber <> 7"))
 
 
