@@ -25,9 +25,11 @@ def key_range(key: Column, bits: int = BITS) -> Column:
 
 
 def leaves(rows: DataFrame, key: str, bits: int = BITS) -> DataFrame:
-    """(node, n, sha256) of each range: sums of the parts of the rows' digests, so no range is gathered or sorted. Equal rows count each."""
+    """(node, n, sha256) of each range: sums of the parts of the rows' digests, so no range is gathered or sorted. Equal rows count each.
+
+    A part has 32 bits, so sums of longs hold two billion rows a range; more are an error, not another digest."""
     each = rows.select(key_range(F.col(key), bits).alias("node"), content_hash(*rows.columns).alias("_sha"))
-    parts = [F.sum(F.conv(F.substring("_sha", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(8)]
+    parts = [F.sum(F.conv(F.substring("_sha", 1 + 8 * i, 8), 16, 10).cast("bigint")).cast("string") for i in range(8)]
     return each.groupBy("node").agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256).alias("sha256"))
 
 
@@ -43,13 +45,17 @@ def tree(rows: DataFrame, key: str, bits: int = BITS, step: int = STEP) -> DataF
     return reduce(DataFrame.union, levels)
 
 
+def by_range(rows: DataFrame, key: str, files: int, bits: int) -> DataFrame:
+    """``rows`` with ``part``, dealt over four times as many tasks as there are files, so that few files meet in one task whatever the session's number is."""
+    return rows.withColumn("part", key_range(F.col(key), bits)).repartition(4 * files * 2**bits, "part", F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(files)))
+
+
 def store_run(rows: DataFrame, path: str, key: str, files: int = 1, bits: int = BITS) -> str | None:
     """Writes a run below ``path``, its rows by range (in ``files`` files each) and its tree, and gives the root digest, null for an empty run. A run that is there already is an error.
 
     Keys are not null. There are two to the power of ``bits`` ranges; runs that are to be compared have as many.
     """
-    dealt = rows.withColumn("part", key_range(F.col(key), bits)).repartition("part", F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(files)))
-    dealt.write.mode("errorifexists").partitionBy("part").parquet(f"{path}/rows")
+    by_range(rows, key, files, bits).write.mode("errorifexists").partitionBy("part").parquet(f"{path}/rows")
     rows.limit(0).write.mode("errorifexists").parquet(f"{path}/schema")  # an empty run has no files that would tell it
     tree(stored_rows(rows.sparkSession, path).drop("part"), key, bits).coalesce(1).write.mode("errorifexists").parquet(f"{path}/tree")
     return root(rows.sparkSession, path)

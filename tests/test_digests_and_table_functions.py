@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import inspect
 import random
 
@@ -80,3 +81,15 @@ def test_clauses_and_frames(spark):
     framed = spark.sql("SELECT * FROM frames(TABLE({df}))", df=df).collect()
     plain = [(k, f, min(e, f * 100 + 100) - max(s, f * 100)) for k, _, _, s, e in words if s is not None for f in range(s // 100, -(-e // 100))]
     assert sorted(map(tuple, framed)) == sorted(plain)
+
+
+def test_few_ranges_meet_in_one_task(spark):
+    """The 32 ranges of a run are written by more tasks than the session's eight, a fifth of the rows in one at most."""
+    dealt = digests.by_range(spark.range(20_000).toDF("case_id"), "case_id", 1, 5)
+    sizes = [len(part) for part in dealt.rdd.glom().collect()]
+    assert len(sizes) == 128 and sum(sizes) == 20_000 and max(sizes) < 4_000
+    # sums of 32-bit parts as longs give what decimals gave
+    one = spark.createDataFrame([(1, True), (1, True), (1, False)], "case_id long, auto_cut boolean")
+    hashes = [hashlib.sha256(f'{{"auto_cut":{x},"case_id":1}}'.encode()).hexdigest() for x in ("true", "true", "false")]
+    sums = [str(sum(int(h[8 * i : 8 * i + 8], 16) for h in hashes)) for i in range(8)]
+    assert [(r["n"], r["sha256"]) for r in digests.leaves(one, "case_id").collect()] == [(3, hashlib.sha256(":".join(["3", *sums]).encode()).hexdigest())]
