@@ -2,8 +2,8 @@
 
 Such texts differ in about a sixth of a SimHash's bits, too many for the blocks of one 64-bit fingerprint (``simhash.links``). So a fingerprint has
 many words here, and the trie self-join has as many turns as there are blocks in it: two texts meet in a turn in which they agree in a whole
-block, and are a candidate pair if they differ in no more than a budget of the 128 bits after it. A pair at the least similarity
-meets in no turn with probability MISSED. Exact sets decide: within the components of candidates pairs are compared, a large component tile by
+block, the top of the turn's trie, and are a candidate pair if they differ in no more than a budget of the 128 bits after it, the levels below, which
+the join goes down one by one. A pair at the least similarity meets in no turn with probability MISSED. Exact sets decide: within the components of candidates pairs are compared, a large component tile by
 tile, and the components of the pairs found are the groups. Documents with one set are one node throughout.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutloom.llm.common import free_names, written
-from cutloom.llm.simhash import GROUP_ROWS, SALTS, SEED, components, stars
+from cutloom.llm.simhash import GROUP_ROWS, SALTS, SEED, components, stars, trie_links
 
 WIDTH = 5
 #: Pairs count from a similarity of SHARED / WHOLE.
@@ -30,8 +30,8 @@ MISSED = 0.0005
 CHECKED, BUDGET = 128, 33
 #: Bits of a block at least; there are more in larger tables, so that a block value keeps about 256 texts or fewer.
 LEAST_BITS, TEXTS_LOG2 = 14, 8
-#: Texts of a block value up to which all pairs are compared in one step.
-SMALL = 64
+#: Pairs of trie nodes that a task follows at once.
+NODES_AT_ONCE = 250_000
 #: Nodes of a slice of a part, and the slices of a part at most; two slices meet in a tile.
 SLICE, SLICES = 64, 32
 
@@ -88,36 +88,17 @@ def merged_labels(label: np.ndarray, members: np.ndarray) -> np.ndarray:
 
 
 def meetings(block: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """The star label of each text: texts (sorted by ``block``) are linked where they have one block and differ in at most BUDGET bits of ``one`` and ``two``.
+    """The star label of each text: texts are linked where they have one block and differ in at most BUDGET bits of ``one`` and ``two``.
 
-    The texts of a crowded block are linked to one pivot after another, until all are connected; a group of near copies takes one step for each, not one
-    for each pair.
+    The block is the exact top of a trie whose further levels are the bits of ``one``, then of ``two``; the self-join goes down from it bit by bit.
     """
     n = len(block)
-    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if n else np.zeros(0, np.int64)
-    sizes = np.diff(np.r_[starts, n])
-    near = lambda i, j: np.bitwise_count(one[i] ^ one[j]).astype(np.int64) + np.bitwise_count(two[i] ^ two[j]) <= BUDGET
-    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    few = (sizes > 1) & (sizes <= SMALL)
-    for size in np.unique(sizes[few]):
-        a, b = np.triu_indices(size, 1)
-        for of in np.array_split(starts[few & (sizes == size)], max(1, np.count_nonzero(sizes == size) * len(a) // 1_000_000)):
-            left, right = (of[:, None] + a).ravel(), (of[:, None] + b).ravel()
-            ok = near(left, right)
-            lefts.append(left[ok])
-            rights.append(right[ok])
-    for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-        members, label = np.arange(start, start + size), np.arange(size)
-        for i in range(size):
-            others = np.flatnonzero(label != label[i])
-            if not len(others):
-                break  # all are connected
-            linked = others[near(np.full(len(others), start + i), members[others])]
-            if len(linked):
-                lefts.append(np.full(len(linked), start + i))
-                rights.append(members[linked])
-                label = merged_labels(label, np.r_[i, linked])
-    return stars(np.concatenate(lefts), np.concatenate(rights), n)
+    if not n:
+        return np.zeros(0, np.int64)
+    order = np.lexsort((two, one, block))
+    rows = np.stack([block[order].astype(np.uint64), one[order], two[order]], axis=1)
+    label = trie_links(rows, 64, BUDGET, pivots=True, at_once=NODES_AT_ONCE)
+    return stars(order, order[label], n)
 
 
 def candidates(nodes: DataFrame, n: int, bits: int, turns: int) -> DataFrame:

@@ -6,6 +6,7 @@ each block, by that block's value; the block is the top of the trie, where both
 are the same. Below it the join goes down level by level: a pair of nodes becomes its pairs of
 children, those that part at the level differ in one bit more, and a pair over the budget is
 pruned. A task hands on a spanning star of each connected group that it finds, never all pairs.
+``near`` goes down the same trie with fingerprints of several words.
 """
 
 from __future__ import annotations
@@ -80,15 +81,19 @@ def stars(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
         label = after
 
 
-def trie_links(values: np.ndarray, exact_bits: int, budget: int, starts: Pairs | None = None) -> np.ndarray:
-    """The star label of each of the distinct, sorted unsigned ``values``, linked where they differ in at most ``budget`` bits.
+def trie_links(values: np.ndarray, exact_bits: int, budget: int, starts: Pairs | None = None, pivots: bool = False, at_once: int = PAIRS_AT_ONCE) -> np.ndarray:
+    """The star label of each of the sorted unsigned ``values``, linked where they differ in at most ``budget`` bits. Values of several words are rows.
 
     ``starts`` are pairs of trie nodes at depth ``exact_bits`` (without them each node and itself): ranges [a0, a1) and [b0, b1) of values, and
     the bits in which the two nodes differ. The join goes down from them level by level, and prunes a pair of nodes when its bits
-    exceed the budget; where few values are left below a pair they are compared at once.
+    exceed the budget; where few values are left below a pair they are compared at once. With ``pivots`` the values of a larger node are
+    compared with its first one, and a pair of nodes whose values are all connected is pruned too: its links would change nothing.
+    ``at_once`` pairs of nodes, and of values, are held at a time.
     """
     n = len(values)
     label = np.arange(n)
+    words = [values] if values.ndim == 1 else [np.ascontiguousarray(w) for w in values.T]
+    compared = words[exact_bits // 64 :]
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def fold() -> None:
@@ -98,15 +103,23 @@ def trie_links(values: np.ndarray, exact_bits: int, budget: int, starts: Pairs |
         held.clear()
 
     def keep(left: np.ndarray, right: np.ndarray) -> None:
-        near = np.bitwise_count(values[left] ^ values[right]) <= budget
+        bits = np.bitwise_count(compared[0][left] ^ compared[0][right])
+        for word in compared[1:]:
+            bits = bits + np.bitwise_count(word[left] ^ word[right])
+        near = bits <= budget
         if near.any():
             held.append((left[near], right[near]))
         if sum(len(x) for x, _ in held) > LINKS_AT_ONCE:
             fold()
 
     def all_of(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> None:
-        """Compares every value of each small pair of nodes."""
+        """Compares every value of each small pair of nodes, about ``at_once`` pairs of values at a time."""
         size = (a1 - a0) * (b1 - b0)
+        if len(size) > 1 and size.sum() > at_once:
+            half = len(size) // 2
+            all_of(a0[:half], a1[:half], b0[:half], b1[:half])
+            all_of(a0[half:], a1[half:], b0[half:], b1[half:])
+            return
         which = np.repeat(np.arange(len(size)), size)
         at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
         wide = (b1 - b0)[which]
@@ -115,11 +128,17 @@ def trie_links(values: np.ndarray, exact_bits: int, budget: int, starts: Pairs |
         once = ~own | (left < right)
         keep(left[once], right[once])
 
+    def first_of(of0: np.ndarray, to0: np.ndarray, to1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(left, right): for each node [to0, to1) the value ``of0`` and every value of the node."""
+        size = to1 - to0
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return np.repeat(of0, size), np.repeat(to0, size) + at
+
     zeros: dict[int, np.ndarray] = {}
-    todo = [(exact_bits, *(starts or pairs_of_nodes(values, exact_bits, 0)))]
+    todo = [(exact_bits, *(starts or pairs_of_nodes(words[0], exact_bits, 0)))]
     while todo:
         depth, a0, a1, b0, b1, bits = todo.pop()
-        if len(a0) > PAIRS_AT_ONCE:
+        if len(a0) > at_once:
             half = len(a0) // 2
             todo += [(depth, *(x[:half] for x in (a0, a1, b0, b1, bits))), (depth, *(x[half:] for x in (a0, a1, b0, b1, bits)))]
             continue
@@ -130,8 +149,20 @@ def trie_links(values: np.ndarray, exact_bits: int, budget: int, starts: Pairs |
         a0, a1, b0, b1, bits = (x[~small] for x in (a0, a1, b0, b1, bits))
         if not len(a0):
             continue
+        if depth == 64 * len(words):
+            # no bits are left: both nodes are within the budget with all their values
+            keep(*first_of(a0, a0, a1))
+            keep(*first_of(a0, b0, b1))
+            continue
+        if pivots:
+            own = a0 == b0
+            keep(*first_of(a0[own], a0[own], a1[own]))
+            fold()
+            changes = np.r_[0, np.cumsum(label[1:] != label[:-1])]
+            open_ = (changes[a0] != changes[a1 - 1]) | (changes[b0] != changes[b1 - 1]) | (label[a0] != label[b0])
+            a0, a1, b0, b1, bits = (x[open_] for x in (a0, a1, b0, b1, bits))
         if depth not in zeros:
-            zeros[depth] = np.r_[0, np.cumsum((values >> np.uint64(63 - depth)) & np.uint64(1) == 0)]
+            zeros[depth] = np.r_[0, np.cumsum((words[depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1) == 0)]
         count = zeros[depth]
         am, bm, same = a0 + count[a1] - count[a0], b0 + count[b1] - count[b0], a0 == b0
         children = [
@@ -154,7 +185,7 @@ def trie_links(values: np.ndarray, exact_bits: int, budget: int, starts: Pairs |
 
 def pairs_of_nodes(values: np.ndarray, depth: int, mask: int) -> Pairs:
     """Where the trie join of sorted ``values`` starts: at ``depth``, each node with itself or, with a ``mask``, every two nodes whose prefixes differ by it."""
-    tops = values >> np.uint64(64 - depth)
+    tops = values >> np.uint64(64 - depth) if depth < 64 else values
     starts = np.flatnonzero(np.r_[True, tops[1:] != tops[:-1]])
     ends = np.r_[starts[1:], len(values)]
     if not mask:

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from cutloom.llm import near
+from cutloom.llm import near, simhash
 from cutloom.tables import table
 
 
@@ -79,6 +80,44 @@ def test_a_crowded_block_is_connected_step_by_step():
     assert sorted({(int(x), int(w), i >= 300) for i, (x, w) in enumerate(zip(label, which, strict=True))}) == [(0, 0, False), (1, 1, False), (2, 2, False), (300, 0, True), (301, 1, True), (302, 2, True)]
 
 
+def plain_labels(rows, budget):
+    """The least row that links connect each row with, by brute force: rows (top, one, two) are linked where they have one top and few other bits differ."""
+    top, one, two = rows.T
+    linked = (top[:, None] == top) & (np.bitwise_count(one[:, None] ^ one).astype(int) + np.bitwise_count(two[:, None] ^ two) <= budget)
+    label = np.arange(len(rows))
+    for _ in rows:
+        label = np.where(linked, label, len(rows)).min(axis=1)
+    return label.tolist()
+
+
+def words_near_each_other(pick, n, flips):
+    """Rows (top, one, two) of three tops: copies of four fingerprints with some bits turned, some of them equal."""
+    base = pick.integers(0, 2**64, (4, 2), dtype=np.uint64)
+    turned = np.packbits(pick.random((n, 2, 64)) < flips, axis=-1).view("<u8")[:, :, 0]
+    turned[:: n // 5] = 0
+    rows = np.c_[np.arange(n, dtype=np.uint64) % np.uint64(3), base[np.arange(n) % 4] ^ turned]
+    return rows[np.lexsort(rows.T[::-1])]
+
+
+@pytest.mark.parametrize("pivots", [False, True])
+@pytest.mark.parametrize("flips", [0.0, 0.1, 0.16])
+def test_the_trie_of_several_words_links_what_all_pairs_link(flips, pivots):
+    rows = words_near_each_other(np.random.default_rng(4), 120, flips)
+    assert simhash.trie_links(rows, 64, near.BUDGET, pivots=pivots, at_once=50).tolist() == plain_labels(rows, near.BUDGET)
+
+
+def test_blocks_meet_by_the_trie(monkeypatch):
+    """Below a block the join goes down the trie, and the order of the texts does not matter."""
+    pick = np.random.default_rng(6)
+    rows, went = words_near_each_other(pick, 90, 0.1), []
+    trie = near.trie_links
+    monkeypatch.setattr(near, "trie_links", lambda values, *a, **k: went.append(len(values)) or trie(values, *a, **k))
+    mixed = pick.permutation(90)
+    block, one, two = rows[mixed].T
+    got = near.meetings(block.astype(np.int64), one, two)
+    assert got.tolist() == plain_labels(rows[mixed], near.BUDGET) and went == [90]
+
+
 def test_odd_rows(odd, nothing):
     docs = odd.collect()
     kept = near.deduplicated(odd)
