@@ -75,3 +75,25 @@ def test_sentences_by_gap(spark, width):
         want.append((key, len([w for w in want if w[0] == key]), own))
     got = sequence.sentences_by_gap(spark.createDataFrame(words, "k int, pos long, word string, start long, end long"), ["k"], 600, width).collect()
     assert sorted((r["k"], r["sentence"], r["words"]) for r in got) == want
+
+
+@pytest.mark.parametrize("width", [1, 7, 400])
+def test_review_package(spark, width):
+    """Cuts and words of all lengths, turned, empty and without times or a track, against plain loops; pairs are not gathered by cut."""
+    pick = random.Random(width)
+
+    def span():
+        start = pick.randint(-300, 900)
+        return pick.choice(["a", "b"]), start, start + pick.choice([-6, 0, 1, 5, 30, 64, 1000])
+
+    cuts = [(i, "x", *span()) for i in range(80)] + [(100, "x", None, 0, 9), (101, "x", "a", None, 9), (102, "x", "a", 0, None)]
+    words = [(*span()[:1], 500 - i, f"w{i}", *span()[1:]) for i in range(150)] + [(None, 1, "n", 0, 9), ("a", 2, "n", None, 9), ("a", 3, "n", 0, None)]
+    want = {}
+    for i, _, track, start, end in cuts:
+        near = [w for w in words if None not in (track, start, end, w[0], w[3], w[4]) and w[0] == track and w[3] < end + 4 and start - 4 < w[4]]
+        want[i] = ([w[2] for w in sorted(near, key=lambda w: w[1])], sum(w[3] >= start and w[4] <= end for w in near))
+    got = project.review_package(spark.createDataFrame(words, "track string, pos long, word string, start long, end long"), spark.createDataFrame(cuts, "id long, kind string, track string, start long, end long"), F.lit("r"), 4, width, ["track"])
+    rows = got.collect()
+    assert {r["id"]: (r["heard"], r["n_taken"]) for r in rows} == want and len(rows) == len(cuts)
+    assert {r["id"]: r["beside"] for r in rows if r["id"] < 100} == {c[0]: sum(d[2] == c[2] and d[3] is not None and abs(d[3] - c[3]) <= 4 for d in cuts) - 1 for c in cuts[:80]}
+    assert "keys=[id#" not in got._jdf.queryExecution().toString()
