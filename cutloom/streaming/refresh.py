@@ -1,49 +1,25 @@
-"""Live refresh: new decisions change the lake and the gates by what they change; sessions and late events."""
+"""Live refresh: new decisions change their keys' state, and the lake and the gates follow from it; sessions and late events."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cutloom.operators.lake import changed
 
 
-#: A key's state: its latest decision.
-LATEST = "decided_us long, accepted boolean, levels array<string>"
+def latest(decisions: DataFrame, keys: list[str], levels: list[str]) -> DataFrame:
+    """Each key's latest decision of the stream ``decisions`` (keys, levels, accepted, decided_at), a row a key that is its state: keys, decided_at, accepted, levels.
 
-
-def deltas(decisions: DataFrame, keys: list[str], levels: list[str]) -> DataFrame:
-    """What each batch of the stream ``decisions`` (keys, levels, accepted, decided_at) changes in the roll-up: levels, accept, reject, each +1 or -1.
-
-    Each key's latest decision is its state. A later one takes the former one's count back and adds its own; an earlier or repeated one changes nothing. Of
-    decisions of one time an accepting one wins; those without a time are the earliest. A decision that is null counts for nothing.
+    An earlier or repeated decision changes nothing. Of decisions of one time an accepting one wins, then the greatest levels; those without a time are the
+    earliest. A null level is 'unknown'. Spark's own aggregate keeps the state: rows meet it without Python, and no call is made for a key.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in decisions.schema.fields}
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else None
-        now = old
-        for batch in batches:
-            for us, accepted, *own in batch[["_us", "accepted", *levels]].itertuples(index=False):
-                made = (None if pd.isna(us) else int(us), None if pd.isna(accepted) else bool(accepted), ["unknown" if pd.isna(x) else x for x in own])
-                order = lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, bool(d[1]), [*d[2]])
-                now = made if now is None or order(made) > order(now) else now
-        rows = []
-        if now is not None and (old is None or (now[0], now[1], [*now[2]]) != (old[0], old[1], [*old[2]])):
-            state.update(now)
-            for sign, held in ((-1, old), (1, now)):
-                if held is not None and held[1] is not None:
-                    rows.append((*held[2], sign * held[1], sign * (not held[1])))
-        yield pd.DataFrame(rows, columns=[*levels, "accept", "reject"]).astype({"accept": "int64", "reject": "int64"})
-
-    timed = decisions.select(*keys, *levels, "accepted", F.unix_micros(F.col("decided_at")).alias("_us"))
-    out = ", ".join([*(f"{c} {kinds[c]}" for c in levels), "accept long, reject long"])
-    return timed.groupBy(*keys).applyInPandasWithState(fold, out, LATEST, "update", GroupStateTimeout.NoTimeout)
+    # nulls are the least of a struct's values
+    order = F.struct("decided_at", "accepted", *(F.coalesce(c, F.lit("unknown")).alias(c) for c in levels))
+    return decisions.groupBy(*keys).agg(F.max(order).alias("_latest")).select(*keys, "_latest.*")
 
 
 def published(spark: SparkSession, lake: str) -> DataFrame | None:
@@ -73,21 +49,18 @@ def rolled_up(leaves: DataFrame, levels: list[str]) -> DataFrame:
 def refresh_on_decisions(decisions: DataFrame, lake: str, checkpoint: str, keys: list[str], levels: list[str], regate: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Runs through what has arrived in the stream ``decisions`` (keys, levels, accepted, decided_at) and keeps the leaves of the lake as versions below ``lake``.
 
-    A batch reads itself, the state of its keys and the leaves of the version before; its deltas make the next version, which readers see only when it is whole
-    (``published``). A batch that runs again writes its own version again from the same one. Leaves that nothing counts for any more go. ``regate`` gets the rolled-up lake.
+    A batch reads itself and the state, a row a key, and never the decisions before: they change their keys' rows, whose counts make the next version, which readers
+    see only when it is whole (``published``). A batch that runs again writes its own version again. A decision that is null counts for nothing; leaves that nothing
+    counts for any more go. ``regate`` gets the rolled-up lake.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        before = [v for v in whole_versions(spark, lake) if v < number]
-        old = spark.read.parquet(f"{lake}/version={before[-1]}") if before else None
-        every = rows if old is None else old.unionByName(rows)
-        now = every.groupBy(*levels).agg(F.sum("accept").alias("accept"), F.sum("reject").alias("reject")).where("accept <> 0 OR reject <> 0")
+        now = rows.groupBy(*levels).agg(F.count_if("accepted").alias("accept"), F.count_if(~F.col("accepted")).alias("reject")).where("accept <> 0 OR reject <> 0")
         now.write.mode("overwrite").parquet(f"{lake}/version={number}")
         if regate:
-            regate(rolled_up(spark.read.parquet(f"{lake}/version={number}"), levels))
+            regate(rolled_up(rows.sparkSession.read.parquet(f"{lake}/version={number}"), levels))
 
-    stream = deltas(decisions, keys, levels).writeStream.outputMode("update").foreachBatch(batch)
+    stream = latest(decisions, keys, levels).writeStream.outputMode("complete").foreachBatch(batch)
     return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

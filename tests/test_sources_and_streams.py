@@ -92,6 +92,28 @@ def test_refresh_equals_a_full_rebuild(spark, tmp_path):
     assert refresh.whole_versions(spark, place["lake"]) == [0, 1]
 
 
+def test_refresh_keeps_its_state_without_a_call_for_each_key(spark, tmp_path):
+    """Many keys, ties and nulls: each batch the lake of all decisions, by an aggregate of Spark's with a row of state a key and no Python in its plan."""
+    place = {name: str(tmp_path / name) for name in ("in", "lake", "check")}
+    kind, levels = "case_id int, reason_key string, accepted boolean, decided_at timestamp", ["reason_key"]
+    n = F.col("id")
+    at = F.timestamp_micros(F.lit(1_767_225_600_000_000) + n % 3)
+    for start in (0, 4_000):
+        key = F.when(n % 11 != 0, (n % 2_000).cast("int")).alias("case_id")
+        reason = F.when(n % 5 == 0, "unknown").when(n % 5 > 1, F.concat(F.lit("r"), n % 5)).alias("reason_key")
+        made = spark.range(start, start + 6_000).select(key, reason, F.when(n % 7 < 3, n % 7 < 2).alias("accepted"), F.when(n % 13 != 0, at).alias("decided_at"))
+        made.write.mode("append").parquet(place["in"])
+        query = refresh.refresh_on_decisions(refresh.as_stream(spark, place["in"], kind), place["lake"], place["check"], ["case_id"], levels)
+        query.awaitTermination(120)
+        arrived = spark.read.schema(kind).parquet(place["in"])
+        best = rules.latest(arrived.fillna("unknown", levels), ["case_id"], [F.desc_nulls_last("decided_at"), F.desc_nulls_last("accepted"), F.desc("reason_key")])
+        want = {r["reason_key"]: (r["accept"], r["reject"]) for r in lake.label_lake(best, levels).where("level = 1").collect()}
+        assert {r["reason_key"]: (r["accept"], r["reject"]) for r in refresh.published(spark, place["lake"]).collect()} == want and len(want) == 4
+        state = query.lastProgress["stateOperators"][0]
+        assert (state["operatorName"], state["numRowsTotal"]) == ("stateStoreSave", arrived.select("case_id").distinct().count())
+        assert "Python" not in query._jsq.explainInternal(False) and "Pandas" not in query._jsq.explainInternal(False)
+
+
 def test_regate_diff(spark):
     old, new = spark.createDataFrame([(1, True), (2, False)], "case_id int, auto_cut boolean"), spark.createDataFrame([(1, True), (2, True)], "case_id int, auto_cut boolean")
     assert [tuple(r) for r in refresh.regate_diff(old, new).collect()] == [(2, False, True, "changed")]
